@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import bpe, mixing, token_counts, url_filter
+from siftloom.llm import bpe, mixing, ngram_join, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Where the public tokenizer files lie; a parameter, never copied.
@@ -32,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
@@ -84,6 +89,28 @@ FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source,
 LATERAL (SELECT (c.whole + CASE WHEN c.best.off < c.target - c.whole * c.source_size AND s.bucket <= c.best.bucket THEN 1 ELSE 0 END)::INT AS repeats) r
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+                      ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 3, 1) + 1)]) END AS s
+  FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS class_id, len(any_value(s)) AS n FROM sets GROUP BY list_sort(s)),
+grams AS (SELECT class_id, n, unnest(s) AS g FROM classes),
+common AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS inter
+           FROM grams a JOIN grams b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * inter >= 85 * (n - inter)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT class_id, class_id FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles,
+       CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE l.component_id END AS component_id,
+       CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.class_id END AS class_id
+FROM sets s JOIN classes c ON list_sort(s.s) = c.s JOIN least l USING (class_id)
+"""
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -104,4 +131,4 @@ FROM fits
     " OR ".join(f"plain = '{n}.{e}' OR ends_with(plain, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS),
 )
 
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL}
