@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import bpe, mixing, ngram_join, token_counts, url_filter
+from siftloom.llm import bpe, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Where the public tokenizer files lie; a parameter, never copied.
 TOKENIZERS = "/opt/tokenizers"
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 # Fixed values of op10: the rules, and a list of canonical hosts.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -23,11 +24,23 @@ def tokenizer_path(name: str = BPE_FILE) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_counts.length_histogram(lengths)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
@@ -46,7 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op9_bpe": op9_bpe,
