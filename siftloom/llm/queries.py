@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import bpe, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
+from siftloom.llm import bpe, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Where the public tokenizer files lie; a parameter, never copied.
@@ -49,6 +49,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
