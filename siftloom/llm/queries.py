@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftloom.llm import bpe, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
+from siftloom.llm import bpe, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Where the public tokenizer files lie; a parameter, never copied.
@@ -41,6 +42,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_candidates", "n_secrets", "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op8_media": op8_media,
