@@ -81,19 +81,30 @@ def batches(turns: DataFrame) -> DataFrame:
 def flush_writer(store: str, letters: str, extra: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: turns are masked, chunked and appended to ``store``; those with a null text go to ``letters`` by identifiers alone.
 
-    The path of a batch is its id, so a repeated batch overwrites itself. Raw text never leaves the masking step.
+    The path of a batch is its id, so a repeated batch overwrites itself;
+    indices go on from those of earlier batches. Raw text never leaves the
+    masking step.
     """
 
     def write(flushed: DataFrame, batch_id: int) -> None:
         turns = flushed.select("conv_id", "batch", F.posexplode(F.arrays_zip("turn_ids", "texts")).alias("at", "x")).select("conv_id", "batch", "at", F.col("x.turn_ids").alias("turn_id"), redact("x.texts", extra).alias("masked"))
         good, bad = turns.where("masked.text is not null"), turns.where("masked.text is null")
         keyed = good.select("conv_id", F.struct("batch", "at").alias("turn"), F.col("masked.text").alias("text"))
-        conversation_chunks(keyed, turn_col="turn").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        conversation_chunks(keyed, turn_col="turn", stored=_stored(flushed, store, batch_id)).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         bad.groupBy("conv_id", "batch").agg(F.min_by("turn_id", "at").alias("dedup_key")).write.mode("overwrite").parquet(f"{letters}/batch={batch_id}")
 
     return write
 
 
+def _stored(flushed: DataFrame, store: str, batch_id: int) -> DataFrame | None:
+    """How many chunks each conversation has from earlier batches."""
+    spark = flushed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(store).where(F.col("batch") < batch_id).groupBy("conv_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+
+
 def first_turns(turns: DataFrame, at: str, delay: str = "1 day") -> DataFrame:
     """Turns of a stream, each id once within the watermark."""
     return turns.withWatermark(at, delay).dropDuplicatesWithinWatermark(["conv_id", "turn_id"])
