@@ -86,10 +86,9 @@ def test_stream(spark, tmp_path):
     data = [(1, "a", "see postgres://u:pa55word@h/db now"), (1, "a", "repeat"), (1, "b", "z" * 4000), (2, "c", "short")]
     spark.createDataFrame(data, "conv_id long, turn_id string, text string").coalesce(1).write.json(source)
     turns = limits.file_queue(spark, source, "conv_id long, turn_id string, text string")
-    q = conversations.batches(turns).writeStream.foreachBatch(conversations.flush_writer(store, letters)).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert q.exception() is None
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers keep the query awake
+    q = conversations.batches(turns).writeStream.foreachBatch(conversations.flush_writer(store, letters)).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
     got = [r for r in rows(spark.read.parquet(store), "conv_id", "chunk_index", "content") if r[0] == 1]  # a slow machine may time the other one out
     again = spark.createDataFrame([(1, 9, ["x"], ["later"])], "conv_id long, batch long, turn_ids array<string>, texts array<string>")
     conversations.flush_writer(store, letters)(again, 1_000)
