@@ -1,0 +1,417 @@
+"""Each operator on small hostile tables against brute force, round trips or held-out accuracy."""
+
+import hashlib
+import itertools
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftloom.llm import bpe, common, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, queries, secret_scan, token_counts, url_filter
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, words string, bucket int, rep long, label string"
+LONG = "alpha beta gamma delta. " * 3000
+TEXTS = [
+    None, "", "   \n\t", "one", "one two three", "one two three", "a b c d e f g h i j k l m n o p q r s t u v w x y z",
+    "A B C D e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz", "nul \x00 \u00a0 \U0001f600 \ufdd0 \u0085 \x1c end",
+    LONG, LONG + "tail", "x" * 20_000, "L\nL\nL\nother\n\n", "token = \"" + "0123456789abcdef" * 2 + "01234567\" and more",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", None, "fr"][i % 3], ["b", "a", None][i % 3], -1, "s", "w", 7, 9, "x") for i, t in enumerate(TEXTS)]
+    rows += [rows[4], (None, "one two three", None, "a", 0, "s", "w", 7, 9, "x")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def collected(df, key="doc_id"):
+    return sorted(df.collect(), key=lambda r: (r[key] is None, r[key] if r[key] is not None else 0))
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# -- op7 ------------------------------------------------------------------
+
+
+def brute_jaccard(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            ra, rb = sorted((find(a), find(b)))
+            parent[rb] = ra
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_edges(spark, docs, empty):
+    got = ngram_join.jaccard_classes(docs)
+    assert got.count() == docs.count()
+    want = brute_jaccard([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect() if r.doc_id is not None} == want
+    assert [r.component_id for r in got.where("doc_id is null").collect()] == [None]
+    assert ngram_join.jaccard_classes(empty).count() == 0
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_random(spark, n, percent):
+    rng = np.random.default_rng(n)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(30):  # groups of near copies with and without their original, around a shared passage
+        base = [f"w{rng.integers(4000)}" for _ in range(int(rng.integers(3, 150)))] + (passage if g % 3 == 0 else [])
+        for c in range(int(rng.integers(1, 9))):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 5)) if c or g % 2 else 0):
+                at = int(rng.integers(len(copy)))
+                copy[at : at + int(rng.integers(0, 2))] = [f"e{rng.integers(10**6)}"] * int(rng.integers(0, 3))
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n, percent).collect()}
+    assert got == brute_jaccard(rows, n, percent)
+
+
+def test_prefix_bounds():
+    assert ngram_join.prefix_length(100, 85) == 16 and ngram_join.prefix_length(1, 85) == 1
+
+
+# -- op9, op2 -------------------------------------------------------------
+
+BPE = queries.tokenizer_path()
+
+
+@pytest.fixture(scope="module")
+def hf():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+def test_bpe_matches_the_library(hf):
+    rng = np.random.default_rng(1)
+    letters = list("abe' sthlrn\n\t\x1c\x85\u00a0\u3000é😀１2!.中<|endoftext|>") + ["<|endoftext|>", "  ", "'ll"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 80)))) for _ in range(1500)]
+    texts += [t for t in TEXTS if t] + ["a" * 3000, " " * 500, "etaoin" * 400]
+    codec = bpe.SpeculativeBPE(bpe.load_vocabulary(BPE))
+    ours = list(codec.encode_batch(texts))
+    assert ours == [e.ids for e in hf.encode_batch(texts, add_special_tokens=False)]
+    assert [codec.decode(x) for x in ours] == [hf.decode(x, skip_special_tokens=False) for x in ours]
+    for w in ("etaoinshrdlu" * 30, "aaaaaa" * 20):
+        assert codec.merged(w.encode()) == codec.merged_long(w.encode())
+
+
+def test_bpe_frames(spark, docs, empty, hf):
+    want = {r.doc_id: hf.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    got = bpe.round_trip(docs, BPE).collect()
+    assert len(got) == docs.count()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id]), digest(",".join(map(str, want[r.doc_id]))), digest(texts[r.doc_id])) for r in got)
+    ids = bpe.encode(docs, BPE)
+    assert {r.doc_id: r.text for r in bpe.decode(ids, BPE).collect()} == texts
+    assert bpe.round_trip(empty, BPE).count() == 0
+
+
+def test_token_counts(spark, docs, empty, hf):
+    lengths = [len(hf.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()]
+    hist = token_counts.length_histogram(token_counts.encoded_lengths(docs, BPE))
+    for r in hist.collect():
+        n = r.n_tokens
+        assert (r.n_docs, r.docs_from, r.tokens_from) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert (r.docs_below, r.tokens_below, r.truncated_total) == (sum(x < n for x in lengths), sum(x for x in lengths if x < n), sum(min(x, n) for x in lengths))
+    assert [tuple(r) for r in token_counts.at_limits(hist, [0, 5, 10**6]).collect()] == [(c, sum(lengths), sum(min(x, c) for x in lengths), sum(x > c for x in lengths)) for c in (0, 5, 10**6)]
+    assert [r.n_tokens for r in token_counts.quantiles(hist, [0.0, 0.5, 1.0]).collect()] == [min(lengths), sorted(lengths)[-(-len(lengths) // 2) - 1], max(lengths)]
+    none = token_counts.length_histogram(token_counts.encoded_lengths(empty, BPE))
+    assert none.count() == 0 and [r.n_tokens for r in token_counts.quantiles(none, [0.5]).collect()] == [None] and token_counts.at_limits(none, [5]).first().total == 0
+
+
+# -- op3 ------------------------------------------------------------------
+
+
+def test_quality_counts(docs, empty):
+    got = quality_rules.judge(docs).collect()
+    assert len(got) == docs.count()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        t = texts[r.doc_id] or ""
+        w = words(t)
+        threes = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(threes)
+        repeated = len({i + k for i, x in enumerate(threes) if n[x] > 1 for k in range(3)})
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeated), t[:40]
+        assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w)) and not (r.kept and r.base_failed)
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_many_repeated_windows(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{rng.integers(6)}" for _ in range(2000))
+    w = text.split()
+    threes = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(threes)
+    assert sum(v > 1 for v in n.values()) > quality_rules.FEW
+    got = quality_rules.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first()
+    assert got.n_repeat_words == len({i + k for i, x in enumerate(threes) if n[x] > 1 for k in range(3)})
+
+
+def test_quality_rules_on_labels(spark):
+    labelled = common.table(spark, SF, "labels").where("quality = 1").select("doc_id")
+    got = queries.QUERIES["op3_quality_rules"](spark, SF).join(labelled, "doc_id")
+    row = got.agg(F.avg(F.when(~F.col("base_failed"), F.col("kept").cast("int"))).alias("kept")).first()
+    assert row.kept >= 0.97
+
+
+# -- op1, op4 -------------------------------------------------------------
+
+
+def test_isotonic():
+    assert quality_classifier.isotonic(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 1.0, 2.0])).tolist() == [0, 0.5, 0.5, 1]
+
+
+def test_quality_classifier(spark, docs, empty):
+    sf = SF.replace("0.001", "0.01")
+    scored = quality_classifier.score_quality(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    held = scored.where("held_out").join(common.table(spark, sf, "labels"), "doc_id")
+    assert held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] >= 0.95
+    assert scored.where("score < 0 or score > 1 or score is null").count() == 0
+    labels = spark.createDataFrame([(5, None), (6, 1), (6, 0), (None, 1), (7, 0)], "doc_id long, quality int")
+    assert quality_classifier.score_quality(docs, labels).count() == docs.count()
+    assert {r.score for r in quality_classifier.score_quality(docs, labels.where("false")).collect()} == {0.5}
+    assert quality_classifier.score_quality(empty, labels).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    lattice = language_id.Lattice(["a", "b", "ab", "▁", "▁a"])
+    probs = np.array([[0.3, 0.1], [0.2, 0.1], [0.1, 0.5], [0.2, 0.1], [0.2, 0.2], [0, 0], [1e-7, 1e-7]])
+
+    def brute(word, p):
+        if not word:
+            return 1.0
+        return sum(p[lattice.ids.get(word[:k], 6 if k == 1 else 5)] * brute(word[k:], p) for k in range(1, len(word) + 1))
+
+    got = lattice.log_probabilities(["ab", "abab", "x"], probs)
+    for row, word in zip(got, ("▁ab", "▁abab", "▁x"), strict=True):
+        assert np.exp(row) == pytest.approx([brute(word, probs[:, k]) for k in range(2)])
+    counts = lattice.expected(["ab"], np.array([2.0]), probs[:, 0])
+    assert (counts * [1, 1, 2, 1, 2, 0, 1]).sum() == pytest.approx(6)
+
+
+def test_language_id(spark, docs, empty):
+    model = queries.tokenizer_path(queries.PIECE_FILE)
+    d = common.table(spark, SF, "documents")
+    got = language_id.identify(d, model).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
+    edge = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert [(edge[i].lang_pred, edge[i].score) for i in (0, 1, 2)] == [("und", 0.0)] * 3 and edge[3].lang_pred in ("en", "fr")
+    assert language_id.identify(empty, model).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string")), model).collect()} == {"und"}
+
+
+# -- op5 ------------------------------------------------------------------
+
+
+def test_secrets(spark, docs, empty):
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    found = got[14]
+    assert found.n_secrets == 1 and found.redacted == f'token = "{secret_scan.MASK}" and more' and (found.findings[0].start, found.findings[0].stop) == (9, 49)
+    assert got[0].redacted is None and got[1].redacted == "" and all(got[i].n_secrets == 0 for i in range(14)) and got[9].redacted == TEXTS[9]
+    assert secret_scan.scan(empty).count() == 0
+    masked = secret_scan.redact(docs)
+    assert masked.columns == docs.columns and masked.where("doc_id = 14").first().text == found.redacted and masked.count() == docs.count()
+
+
+def test_secrets_of_many_kinds(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(4)]
+    cases = [
+        (f"api_key = {hexes[0]} then \ufdd0 secret: \"{hexes[1]}\" end", 2), (f"see commit {hexes[2]} for this", 0), ("card 4929963689861572 was used", 0),
+        ("id 41012ddd-e923-4403-a4f2-88ba57878686", 0), ("https://user:" + hexes[3][:12] + "@host.example.com/x", 1), ("-----BEGIN RSA PRIVATE KEY-----", 1), ("mail chachau.26@mail6.example.com now", 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert [got[i].n_secrets for i in range(len(cases))] == [n for _, n in cases]
+    for i, (t, _) in enumerate(cases):
+        out = t
+        for f in reversed(got[i].findings):
+            out = out[: f.start] + secret_scan.MASK + out[f.stop :] if f.is_secret else out
+        assert got[i].redacted == out
+
+
+def test_forest_on_unseen_findings(spark):
+    seen = secret_scan.default_forest(spark)
+    fresh = secret_scan.synthetic_findings(spark, 5000).where("id >= 4000" if "id" in secret_scan.synthetic_findings(spark, 1).columns else "true").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = secret_scan.scan(fresh.select("doc_id", "text", "path"), seen, path_col="path").join(fresh.select("doc_id", "label"), "doc_id")
+    assert rows.agg(F.avg(((F.col("n_secrets") > 0) == (F.col("label") > 0)).cast("int"))).first()[0] > 0.97
+
+
+# -- op6 ------------------------------------------------------------------
+
+
+def brute_targets(sizes, share=1.5, weights=(5, 2, 1), cap=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, budget, target = set(order), share * sum(sizes.values()), {}
+    while left:
+        level = budget / sum(weight[s] for s in left)
+        over = {s for s in left if cap * sizes[s] < weight[s] * level}
+        if not over:
+            return target | {s: weight[s] * level for s in left}
+        target |= {s: cap * sizes[s] for s in over}
+        budget -= sum(cap * sizes[s] for s in over)
+        left -= over
+    return target
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count() and sorted(r.size for r in got) == sorted(len(words(r.text)) for r in docs.collect())
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(words(r.text))
+    want = brute_targets(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_is_near_its_targets(spark):
+    d = common.table(spark, SF.replace("0.001", "0.01"), "documents")
+    rows = mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert all(abs(r.taken - r.target) <= r.largest for r in rows)
+
+
+# -- op8 ------------------------------------------------------------------
+
+
+def test_media(spark, docs, empty):
+    got = media.text_media(docs)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        data = texts[r.doc_id]
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        stored = media.to_png(data)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.error) == (len(stored), hashlib.sha256(stored).hexdigest(), None)
+    assert media.text_media(empty).count() == 0
+
+
+def test_damaged_members_stand_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/archives"
+    df = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(50)], "doc_id long, text string").coalesce(1)
+    media.store_texts(df, path)
+    file = next((tmp_path / "archives").glob("*.zip"))
+    data = bytearray(file.read_bytes())
+    data[60] ^= 0xFF
+    file.write_bytes(data)
+    split = spark.read.format("media_archive").option("splitbytes", "1000").load(path)
+    rows = media.media_features(split).collect()
+    assert len(rows) == 50 and sum(r.error is not None for r in rows) == 1 and split.rdd.getNumPartitions() > 3
+    assert sorted(r.doc_id for r in rows) == list(range(50))
+
+
+def test_png_damage():
+    good = media.to_png(b"abc")
+    assert media.from_png(good) == (b"abc" + bytes(61), 3)
+    for bad in (b"", good[:20] + b"x" + good[21:], b"GIF"):
+        with pytest.raises((ValueError, KeyError)):
+            media.from_png(bad)
+
+
+# -- op10 -----------------------------------------------------------------
+
+
+def test_url_filter(spark, empty):
+    urls = [
+        None, "", "no scheme", "http://", "https://A.Example.ORG/en/12?x#y", "https://example.org/es/1", "http://notexample.org", "http://x.example.com/fr/1", "http://x.com/de/",
+        "https://m.free-bets.example.com/de2/1", "http://user@Spam.net:80/a//b/", "http://spam.net/a/b#t", "http://spam.net/a", "x://h?://z", "http://org/",
+    ]
+    pages = spark.createDataFrame([(i, u, "c") for i, u in enumerate([*urls, urls[5]])], "page_id long, url string, verdict string")
+    listed = spark.createDataFrame([("free-bets.example.com/",), ("spam.net/a/b",), (None,), ("spam.net/a/b",)], "key string")
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, listed, queries.RULES).orderBy("page_id").collect()]
+    assert [g[1:] for g in got] == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.org", "/en/12", "example.org/en/1", "block"), ("example.org", "/es/1", "example.org/es/", "block"),
+        ("notexample.org", "", None, "allow"), ("x.example.com", "/fr/1", "com/fr/", "allow"), ("x.com", "/de/", "com/de/", "block"), ("m.free-bets.example.com", "/de2/1", None, "block"),
+        ("user@spam.net:80", "/a//b/", None, "block"), ("spam.net", "/a/b", None, "block"), ("spam.net", "/a", None, "allow"), ("h", "", None, "allow"), ("org", "/", "org/", "allow"), ("example.org", "/es/1", "example.org/es/", "block"),
+    ]
+    assert url_filter.filter_urls(pages.where("false"), listed, queries.RULES).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, listed.where("false"), ()).collect()} == {"allow"}
+
+
+def test_bloom_never_misses(spark):
+    keys = spark.range(3000).selectExpr("concat('h', id, '.example/') AS key")
+    urls = spark.range(6000).selectExpr("concat('http://h', id, '.example/x') AS url")
+    assert url_filter.listed_urls(urls, keys).count() == 3000
+    plan = url_filter.bloom_blocks(keys, "key", 64)
+    assert plan.count() <= 64
+
+
+# -- registered SQL and the pipeline --------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    cursor = c.execute(queries.SQL[name])
+    at = [[d[0] for d in cursor.description].index(x) for x in columns]
+    show = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
+    assert sorted(tuple(show(r[x]) for x in columns) for r in df.collect()) == sorted(tuple(show(r[i]) for i in at) for r in cursor.fetchall())
+
+
+def test_pipeline(spark, docs, empty, tmp_path, hf):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "tokens"] and p.ORACLE_SQL is None
+    now = common.table(spark, SF, "documents")
+    labels = common.table(spark, SF, "labels")
+    for name, stage in p.STAGES:
+        made = stage(spark, now, SF)
+        before, after = now.collect(), made.collect()
+        if name == "quality":
+            kept = {r.doc_id for r in quality_classifier.score_quality(now, labels).where("predicted = 1").collect()}
+            assert sorted(after) == sorted(r for r in before if r.doc_id in kept)
+        elif name == "near_duplicates":
+            want = brute_jaccard([(r.doc_id, r.text) for r in before], 5, 80)
+            assert sorted(r.doc_id for r in after) == sorted(i for i, (_, c) in want.items() if i == c)
+        elif name == "secrets":
+            masked = re.compile(r'(?i)(token = ")[0-9a-f]{40}"')
+            assert sorted((r.doc_id, r.text) for r in after) == sorted((r.doc_id, masked.sub(rf'\1{secret_scan.MASK}"', r.text)) for r in before)
+        elif name == "mixing":
+            repeats = {r.doc_id: r.repeats for r in mixing.mix(now).collect()}
+            assert Counter(r.doc_id for r in after) == Counter({i: n for i, n in repeats.items() if n})
+        else:
+            assert sorted((r.doc_id, r.n_tokens) for r in after) == sorted((r.doc_id, len(hf.encode(r.text, add_special_tokens=False).ids)) for r in before)
+        if name != "tokens":
+            assert made.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            now = common.cut(made)
+    hostile = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in p.STAGES:
+        assert stage(spark, hostile, SF).count() >= 0 and stage(spark, empty.select(hostile.columns), SF).count() == 0
