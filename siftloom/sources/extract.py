@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.session import ship
 from siftloom.sources.formats import matches, resolve
 
 MAX_CELLS, MAX_CHARS, HEADER_EVERY = 500_000, 5_000_000, 50
@@ -408,6 +409,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def extract_files(files: DataFrame, name_col: str = "path", content_col: str = "content", mime_col: str | None = None) -> DataFrame:
     """A row for each file: name, file_type, text, error."""
+    ship(files.sparkSession)
     mime = F.col(mime_col) if mime_col else F.lit(None).cast("string")
     rows = files.select(F.col(name_col).alias("name"), mime.alias("mime"), F.col(content_col).cast("binary").alias("content"))
 
@@ -424,6 +426,7 @@ def extract_files(files: DataFrame, name_col: str = "path", content_col: str = "
 
 def html_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The text of each page: page_id, text; null stays null."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.text import chunk_uuid
+from siftloom.session import ship
 
 
 def write_partitions(rows: DataFrame, path: str, by: Sequence[str] = ("workspace_id",)) -> None:
@@ -52,6 +53,7 @@ class HashingEncoder:
 
 def embedded(rows: DataFrame, encoder: Encoder, text_col: str = "content", batch: int = 32) -> DataFrame:
     """``rows`` with ``embedding``; null and blank texts have the zero vector."""
+    ship(rows.sparkSession)
     schema = f"{rows.schema.simpleString()[7:-1]}, embedding: array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

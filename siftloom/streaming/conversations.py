@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftloom.functions.text import redact
 from siftloom.operators.chunking import conversation_chunks
+from siftloom.session import ship
 
 SEEN, FLUSH_CHARS, WAIT_MS, IDLE_MS = 2000, 4000, 90_000, 24 * 3600 * 1000
 BATCH_SCHEMA = "conv_id long, batch long, reason string, turn_ids array<string>, texts array<string>"
@@ -75,6 +76,7 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 def batches(turns: DataFrame) -> DataFrame:
     """Flushed batches of a stream of turns (conv_id long, turn_id string, text string)."""
+    ship(turns.sparkSession)
     return turns.select("conv_id", "turn_id", "text").groupBy("conv_id").applyInPandasWithState(step, BATCH_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -116,6 +118,8 @@ def batches_offline(turns: DataFrame) -> DataFrame:
     One conversation is one group, as in the stream.
     """
 
+    ship(turns.sparkSession)
+
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         buffer, out = Buffer(), []
         for turn_id, text in frame.sort_values("nth")[["turn_id", "text"]].itertuples(index=False):

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftloom.session import ship
+
 
 def fixed_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
     """Hits of each key in windows of ``seconds`` from the epoch: key, window_start, hits, rejected. Works on streams with a watermark too."""
@@ -15,6 +17,7 @@ def fixed_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int
 
 def token_bucket(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
     """Each event with ``allowed``: a bucket of ``limit`` tokens a key, refilled at limit / seconds; events of one time in the order of ``event_id``."""
+    ship(events.sparkSession)
     schema = events.select(key, at, "event_id").schema
     rate = limit / seconds
 
