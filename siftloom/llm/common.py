@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.session import ship
+
 #: One word, and one run of what separates words; both read alike in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -53,7 +55,8 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session's bound is lower."""
+    """Send the package to the workers, and bound the rows of an Arrow batch, unless the session's bound is lower."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:

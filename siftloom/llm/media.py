@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from siftloom.llm.common import fresh_path, small_batches
+from siftloom.session import ship
 
 #: Samples of a row of an image; payloads are padded to a multiple of it.
 WIDTH = 64
@@ -275,6 +276,7 @@ def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """The members of the archives under ``path``; ``error`` tells what could not be read, with a null payload."""
+    ship(spark)
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").load(path)
 
