@@ -35,7 +35,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+c AS (
+  SELECT doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(text)::BIGINT AS chars,
+         (length(text) - length(regexp_replace(text, '[#*$%%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digit,
+         length(text) - length(regexp_replace(text, '[.,;:?\x27"()\-]', '', 'g')) AS point, length(text) - length(regexp_replace(text, '!', '', 'g')) AS bang,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM w),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g, unnest(range(1, len(w) - 1)) AS i FROM c),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeats) GROUP BY 1),
+base AS (
+  SELECT c.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, COALESCE(n, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * COALESCE(n, 0) > 50 * n_words AS base_failed,
+         [chars - word_chars, n_symbols, upper, digit, point, bang, word_chars - n_symbols - upper - digit - point - bang] AS classes
+  FROM c LEFT JOIN covered USING (doc_id)),
+hits AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM c) WHERE word IN (%s) GROUP BY 1, 2),
+good AS (SELECT doc_id, n_words, classes, unnest([lang, '*']) AS lang FROM base WHERE NOT base_failed),
+words AS (SELECT lang, sum(n_words) AS words FROM good GROUP BY 1),
+known AS (SELECT lang, words FROM words WHERE words >= 0.001 * (SELECT words FROM words WHERE lang = '*')),
+class_sums AS (SELECT lang, i, sum(x) AS n FROM (SELECT lang, unnest(range(7)) AS i, unnest(classes) AS x FROM good) GROUP BY 1, 2),
+class_refs AS (SELECT lang, i, n::DOUBLE / sum(n) OVER (PARTITION BY lang) AS q FROM class_sums JOIN known USING (lang)),
+word_refs AS (SELECT lang, word, sum(n)::DOUBLE / any_value(words) AS q FROM hits JOIN good USING (doc_id) JOIN known USING (lang) GROUP BY 1, 2),
+other_refs AS (SELECT lang, 1 - COALESCE(sum(q), 0) AS q FROM known LEFT JOIN word_refs USING (lang) GROUP BY 1),
+own AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM known) THEN lang ELSE '*' END AS lang FROM base),
+char_pairs AS (
+  SELECT doc_id, x::DOUBLE / chars AS p, q
+  FROM (SELECT doc_id, chars, unnest(range(7)) AS i, unnest(classes) AS x FROM base) JOIN own USING (doc_id) JOIN class_refs USING (lang, i) WHERE x > 0),
+word_pairs AS (
+  SELECT doc_id, n::DOUBLE / n_words AS p, COALESCE(q, 0) AS q FROM hits JOIN base USING (doc_id) JOIN own USING (doc_id) LEFT JOIN word_refs r ON r.lang = own.lang AND r.word = hits.word
+  UNION ALL
+  SELECT doc_id, (n_words - found)::DOUBLE / n_words, q FROM (SELECT doc_id, n_words, COALESCE((SELECT sum(n) FROM hits h WHERE h.doc_id = b.doc_id), 0) AS found FROM base b) JOIN own USING (doc_id) JOIN other_refs USING (lang)
+  WHERE n_words > found),
+char_js AS (SELECT doc_id, sqrt(greatest(0, (1 + sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END - q)) / 2)) AS d FROM char_pairs GROUP BY 1),
+word_js AS (SELECT doc_id, sqrt(greatest(0, (1 + sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END - q)) / 2)) AS d FROM word_pairs GROUP BY 1),
+judged AS (
+  SELECT base.*, CASE WHEN NOT base_failed AND n_words >= %d THEN char_js.d END AS cd, CASE WHEN NOT base_failed AND n_words >= %d THEN word_js.d END AS wd
+  FROM base LEFT JOIN char_js USING (doc_id) LEFT JOIN word_js USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
+       NOT base_failed AND NOT COALESCE(cd > %s, false) AND NOT COALESCE(wd > %s, false) AS kept
+FROM judged
+""" % (
+    ", ".join(f"'{w}'" for w in quality_rules.COMMON_WORDS),
+    quality_rules.CHAR_WORDS,
+    quality_rules.WORD_WORDS,
+    quality_rules.CHAR_DISTANCE,
+    quality_rules.WORD_DISTANCE,
+)
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -159,4 +212,4 @@ FROM fits
     " OR ".join(f"plain = '{n}.{e}' OR ends_with(plain, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS),
 )
 
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL}
