@@ -102,8 +102,9 @@ _VERDICT = "CASE WHEN coalesce(n, 0) = 0 THEN 'insufficient' WHEN top < 0.5 THEN
 _FIRST = "f AS (SELECT query_id, chunk_id, document_id, score / (10 * (1 + query_id % 9)) AS score FROM kw WHERE pos <= 5 AND query_id % 5 > 0 AND (query_id % 7 > 0 OR pos = 1))"
 
 
-def _first(t: Tables) -> DataFrame:
-    kept = _keyword(t, 5).where("query_id % 5 > 0 AND (query_id % 7 > 0 OR pos = 1)")
+def _first(keyword: DataFrame) -> DataFrame:
+    """A page that is thinned and scaled by query, so that every verdict occurs."""
+    kept = keyword.where("pos <= 5 AND query_id % 5 > 0 AND (query_id % 7 > 0 OR pos = 1)")
     return kept.withColumn("score", F.col("score") / (10 * (1 + F.col("query_id") % 9)))
 
 
@@ -111,7 +112,7 @@ def _first(t: Tables) -> DataFrame:
 SELECT item_id AS query_id, coalesce(n, 0) AS n_results, top AS top_score, greatest(0, least(1, coalesce(top, 0)))::DOUBLE AS confidence, {_VERDICT} AS verdict,
 CASE WHEN coalesce(n, 0) = 0 THEN 'no_results' WHEN top < 0.5 THEN 'low_top_score' WHEN n < 2 THEN 'low_result_count' ELSE 'ok' END AS reason FROM benchmark LEFT JOIN g ON query_id = item_id""")
 def quality_gate_verdict(t: Tables) -> DataFrame:
-    return search.verdicts(_queries(t), _first(t))
+    return search.verdicts(_queries(t), _first(_keyword(t, 5)))
 
 
 @query(f"""WITH {_BM25}, {_FIRST}, g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1), v AS (SELECT item_id AS query_id, {_VERDICT} AS verdict FROM benchmark LEFT JOIN g ON query_id = item_id)
@@ -119,8 +120,8 @@ SELECT query_id, chunk_id, score, NULL::VARCHAR AS retry FROM f JOIN v USING (qu
 UNION ALL SELECT query_id, chunk_id, score, 'keyword' FROM kw JOIN v USING (query_id) WHERE verdict = 'low_confidence' AND pos <= 5
 UNION ALL SELECT query_id, chunk_id, score, 'wider' FROM kw JOIN v USING (query_id) WHERE verdict = 'insufficient' AND pos <= 10""")
 def fallback_topk(t: Tables) -> DataFrame:
-    keyword = _keyword(t, 10)
-    return search.with_fallback(_queries(t), _first(t), keyword.where("pos <= 5"), keyword).select("query_id", "chunk_id", "score", "retry")
+    keyword = _keyword(t, 10).persist()  # ten rows a query, read by all legs
+    return search.with_fallback(_queries(t), _first(keyword), keyword.where("pos <= 5"), keyword).select("query_id", "chunk_id", "score", "retry")
 
 
 @query("""WITH r AS (SELECT query_id, chunk_id, document_id, score FROM (SELECT custkey % 5 AS query_id, orderkey AS chunk_id, custkey AS document_id, price AS score FROM (SELECT o_orderkey AS orderkey, o_custkey AS custkey, round(o_totalprice / 1000, 1) AS price FROM orders)))
