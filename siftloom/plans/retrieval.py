@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.operators import evaluation, search
+from siftloom.operators import evaluation, reuse, search
 from siftloom.plans.registry import Tables, query
 
 _BM25 = r"""
@@ -233,3 +233,10 @@ def eval_scorecard(t: Tables) -> DataFrame:
 def eval_case_merge(t: Tables) -> DataFrame:
     cases = t.orders.select(F.col("o_orderstatus").alias("workspace_id"), F.col("o_orderpriority").alias("query"), F.array(F.col("o_custkey") % 7, F.col("o_custkey") % 11).alias("expected"), (F.col("o_orderkey") % 3).alias("grade"))
     return evaluation.merged_cases(cases).withColumn("expected", F.array_join("expected", ","))
+
+
+@query()
+def reuse_detection(t: Tables) -> DataFrame:
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    chunks = vectors.select(F.col("doc_id").alias("chunk_id"), F.col("label").alias("document_id"), F.col("text").alias("content"), "embedding")
+    return reuse.reuse_events(chunks.where("chunk_id % 100 = 0"), chunks, None, 0.1, 0.01)

@@ -107,3 +107,23 @@ def test_entry_without_optional_parts():
     import __spark_entry__
 
     assert "bm25_topk" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_reuse(spark):
+    from siftloom.operators import reuse
+
+    text = "a passage that is long enough to count as one of its kind"
+    stored = spark.createDataFrame([(1, 10, text + "!", [1.0, 0.0]), (2, 20, text, [1.0, 0.01]), (3, 30, "q" * 60, [1.0, 0.0]), (4, 40, text, [0.0, 1.0])], "chunk_id int, document_id int, content string, embedding array<float>")
+    new = spark.createDataFrame([(9, 20, text, [1.0, 0.0]), (8, 20, "short", [1.0, 0.0])], "chunk_id int, document_id int, content string, embedding array<float>")
+    got = reuse.reuse_events(new, stored)
+    assert rows(got, "new_chunk", "chunk_id") == [(9, 1)] and rows(reuse.reuse_counts(got), "chunk_id", "reuse_count") == [(1, 1)]
+    ledger = spark.createDataFrame([(20, 10, 1)], "new_document int, document_id int, chunk_id int")
+    assert reuse.reuse_events(new, stored, ledger).count() == 0
+
+
+def test_clean(spark):
+    from siftloom.functions.sanitise import clean, cleaned
+
+    assert clean(" e\u0301\u200b\x07\n b ", 4) == "\u00e9\n b" and clean("a \n b", one_line=True) == "a b"
+    df = spark.createDataFrame([("a\x00 ",), (None,)], "t string")
+    assert [r.t for r in df.select(cleaned(F.col("t")).alias("t")).collect()] == ["a", None]
