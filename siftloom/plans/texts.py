@@ -180,9 +180,15 @@ def extract_files(t: Tables) -> DataFrame:
     return extract.extract_files(files)
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(source || ':user:' || doc_id || ':0')) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_uuid FROM h""")
 def chunk_ids(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", fn.chunk_uuid("source", F.lit("user"), "doc_id", F.lit(0)).alias("chunk_uuid"), fn.namespace("Workspace", "source").alias("collection"))
+    return t.documents.select("doc_id", fn.chunk_uuid("source", F.lit("user"), "doc_id", F.lit(0)).alias("chunk_uuid"))
+
+
+@query()
+def collection_names(t: Tables) -> DataFrame:
+    return t.documents.select("source", fn.namespace("Workspace", "source").alias("collection")).distinct()
 
 
 _STOP = ", ".join(f"'{w}'" for w in fn.STOPWORDS)
