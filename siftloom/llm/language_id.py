@@ -65,14 +65,27 @@ class Lattice:
 
     def __init__(self, pieces: Sequence[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
+        self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.ids
         self.none, self.unknown = len(pieces), len(pieces) + 1
 
     def table(self, words: Sequence[str], n: int) -> np.ndarray:
         """For words of n letters: the id of the piece from i of length k + 1, as (words, n, k)."""
-        get, none, unknown = self.ids.get, self.none, self.unknown
-        longest = min(LONGEST, n)
-        flat = [get(w[i : i + k], unknown if k == 1 else none) if i + k <= n else none for w in words for i in range(n) for k in range(1, longest + 1)]
-        return np.array(flat, dtype=np.int32).reshape(len(words), n, longest)
+        get, longest = self.starts.get, min(LONGEST, n)
+        out = np.full((len(words), n, longest), self.none, dtype=np.int32)
+        out[:, :, 0] = self.unknown
+        places, found, at = [], [], 0
+        for w in words:
+            for i in range(n):
+                end = i + 1
+                # no piece starts with what none starts with
+                while end <= n and (piece := get(w[i:end])) is not None:
+                    if piece >= 0:
+                        places.append(at + end - i - 1)
+                        found.append(piece)
+                    end += 1
+                at += longest
+        out.reshape(-1)[places] = found
+        return out
 
     def forward(self, table: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Sums of all segmentations of each prefix: (words, n + 1, languages)."""
@@ -125,9 +138,11 @@ class Lattice:
 def sample_of(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text) of the rows to learn from; written."""
     rows = docs.where("lang is not null and doc_id is not null").where(fold("doc_id") != 0)
-    named = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
-    keys = rows.select("doc_id", "lang").join(F.broadcast(named), "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    named = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    keys = rows.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("hash")).join(F.broadcast(named), "lang")
+    # about twice the rows that are wanted go on, so a frequent language is no large group
+    keys = keys.where(F.col("hash") / F.lit(2.0**63) * F.col("count") < 2 * per_language)
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id")
     chosen = keys.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id").distinct()
     # per_language * MAX_LANGUAGES ids at most
     return cut(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").repartition(PARTS), "sample")
