@@ -17,7 +17,7 @@ from siftloom.llm.bpe import broadcast_vocabulary, codec_of, encoded_batches
 from siftloom.llm.common import cut, small_batches
 
 #: Lengths that share a block of the running sums; a block has as many rows at most.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
