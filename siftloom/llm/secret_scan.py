@@ -1,10 +1,11 @@
 """Secret scans: candidates by pattern, judged by a random forest over what they and their surroundings look like.
 
-A candidate is a long run of key-like characters with a digit, a private key
-header, or the user and password of an address. The forest removes false
-positives by length, character transitions, dictionary coverage, path and
-neighbouring words. It is grown on labelled findings and compiled into SQL
-conditions, so scanning is DataFrame functions within a row: no shuffle.
+Whatever may be a secret is a candidate: a whole private key block, what stands
+before the @ of an address, any value behind a secret-like name, a known prefix
+and any long run of key-like characters. The forest removes false positives by
+length, character transitions, dictionary coverage, path and neighbouring
+words. It is grown on labelled findings and compiled into SQL conditions, so
+scanning is DataFrame functions within a row: no shuffle.
 """
 
 from __future__ import annotations
@@ -26,14 +27,27 @@ TREES, DEPTH, SEED, THRESHOLD = 16, 6, 7, 0.5
 FINDINGS = 4000
 
 # What candidates, their neighbours and their parts look like.
+# Groups are possessive, so that texts of any length are read without backtracking or a deep stack.
+_NAME = r"(?i:secret|token|passw|passphrase|pwd|api[_ -]?key|auth|bearer|credential|access[_ -]?key|private)"
+#: The short look back comes first, as it spares most words the long one.
+_BEHIND_NAME = rf"(?<=[=:>\s\"'])(?<=[=:]>?\s{{0,4}}[\"']?)(?<={_NAME}[A-Za-z0-9_.-]{{0,24}}[\"'\]]{{0,2}}\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}[\"']?)(?![\s=:>\"'])(?!(?i:bearer|basic)\s)(?![A-Za-z][A-Za-z0-9+.-]{{0,20}}://)"
+_QUOTED = r"(?<=\")(?:[^\"\\\r\n]|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')"
+#: To the next blank; a closing mark ends it where a blank or the next assignment follows.
+_PLAIN = r"(?:[^\s\"',;&)\]}]|[\"'](?=[A-Za-z0-9])|[,;&)\]}](?!\s|$|[\"',;&)\]}]|[A-Za-z_][A-Za-z0-9_.-]{0,40}\s{0,2}[=:]))++"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
-    r"|(?<=://)[^\s/:@]{1,64}:[^\s/:@]{4,128}(?=@)"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,32}PRIVATE KEY(?: BLOCK)?-----|(?:\s++[A-Za-z0-9+/=]{16,}+)*+)"
+    r"|(?<![A-Za-z0-9])(?:(?<=://)[^\s/:@\"'<>]*+:(?:[^\s:@\"'<>]|:(?!//))++(?:@[^\s@/,;\"'<>]++(?=@))*+(?=@)"
+    rf"|{_BEHIND_NAME}(?:{_QUOTED}|{_PLAIN})"
+    r"|(?<=[ \t])(?<=(?i:rer|sic)[ \t]{1,2})(?<=(?i:bearer|authorization[\"']?[=:]\s?[\"']?basic)[ \t]{1,2})[A-Za-z0-9._~+/-][A-Za-z0-9._~+/=-]*+"
+    r"|(?<![^\s\"'=(,;<>\[])[A-Za-z0-9._+%-]++:[^\s@/:\"'<>]++(?=@)"
+    r"|(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_(?:live|test)_|xox[abprs]-|AIza|eyJ|npm_)(?=[A-Za-z0-9_.+/=-]{8})(?:[A-Za-z0-9_+/=-]|\.(?=[A-Za-z0-9_-]))++"
+    r"|(?:(?<![A-Za-z0-9+/_-])(?!(?<=:)//)|(?<=://))[A-Za-z0-9+/_-]{16,}+={0,2})"
 )
-SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api[_ -]?key|apikey|auth|bearer|credential|access[_ -]?key|private)"
+SECRET_WORDS = r"(?i)(secret|token|passw|passphrase|pwd|api[_ -]?key|apikey|auth|bearer|credential|access[_ -]?key|private)"
 OTHER_WORDS = r"(?i)(sha[0-9]*|md5|hash|commit|checksum|digest|uuid|guid|isbn|phone|card|order|version|build|example|sample|dummy|placeholder|revision|image|base64|account|invoice)"
-KNOWN_START = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|xox[bap]-|AIza|eyJ|npm_)"
+KNOWN_START = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_(live|test)_|xox[abprs]-|AIza|eyJ|npm_)"
+#: What stands where a value would: names of variables, calls, templates, masks and empty words.
+REFERENCE = r"(?i)[(){}\[\]<>]|^[$]|^[a-z_]+([.][a-z_]+)+$|^(your|example|placeholder|change[_-]?me|none|null|nil|true|false|required|optional|string|str|int|bool|undefined|todo)([^a-z]|$)|^[*x.#_-]+$"
 DICTIONARY = (
     "about access account action address admin after agent alert align annual archive article artist asset author average backup banner basic before bench block board border "
     "bottom branch bridge browser bucket buffer build button cache camera cancel center change channel chapter chart check class client close cloud cluster code color column "
@@ -48,12 +62,21 @@ DICTIONARY = (
     "style submit summary support switch system table target task team template test text theme thumb time title today tool total track train travel type update upload user "
     "value vendor version video view visit volume week widget width window work world your"
 ).split()
+#: A secret-like name and what joins it to its value, right before a candidate.
+VALUED = rf"({_NAME}[A-Za-z0-9_.-]{{0,24}}[\x22\x27\]]{{0,2}}\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}[\x22\x27]?|(?i)bearer\s+|basic\s+)$"
 CHECKED_PATH = r"(?i)(^|[/_.-])(test|tests|spec|mock|mocks|example|examples|sample|samples|fixture|fixtures|docs?)([/_.-]|$)"
 
+#: Parts of the long words of several languages.
+SYLLABLES = ("th", "er", "ung", "tion", "keit", "sch", "en", "lich", "ment", "eur", "que", "ent", "ing", "hers", "ein", "ver", "ge", "aus", "con", "por", "ado", "mente", "st", "ie", "zu", "on", "ou", "an", "rat", "her", "tz", "ell")
+
+#: What stands for a secret in examples and code.
+REFERENCES = ("os.environ[x]", "getenv(TOKEN)", "config.get(x)", "settings.password", "<your-token>", "<password>", "********", "xxxxxxxx", "null", "none", "true", "false", "required", "string", "$(PASSWORD)", "$TOKEN", "get_password()", "changeme", "{{ secret }}", "str")
+
 #: Names of the forest's inputs, in order.
 FEATURES = (
     "length", "digits", "capitals", "small", "switches", "vowel_steps", "distinct", "hexadecimal", "only_digits", "dictionary", "slashes",
     "in_address", "checked_path", "secret_words", "assigned", "other_words", "quoted", "known_start", "structural", "before_at",
+    "behind_scheme", "port", "blanks", "symbols", "reference", "valued",
 )
 
 
@@ -83,11 +106,17 @@ def _features(c: str, before: str, after: str, path: str) -> str:
         "checked_path": flag(f"{path} rlike {_raw(CHECKED_PATH)}"),
         "secret_words": flag(f"{before} rlike {_raw(SECRET_WORDS)}"),
         "assigned": flag(f"{before} rlike {_raw(r'[=:][ ]?[' + chr(34) + r'\x27]?$')}"),
-        "other_words": flag(f"{before} rlike {_raw(OTHER_WORDS)}"),
+        "other_words": flag(f"concat({before}, regexp_extract({c}, '^[a-z0-9]+[-_:]', 0)) rlike {_raw(OTHER_WORDS)}"),
         "quoted": flag(f"{after} rlike {_raw('^[' + chr(34) + r'\x27]')}"),
         "known_start": flag(f"{c} rlike {_raw(KNOWN_START)}"),
-        "structural": flag(f"{c} rlike {_raw('^-----BEGIN|^[^:]+:[^:]+$')}"),
+        "structural": flag(f"{c} rlike {_raw('^-----BEGIN|^[^:]*:.+$')}"),
         "before_at": flag(f"{after} rlike '^@'"),
+        "behind_scheme": flag(f"{before} rlike '://$'"),
+        "port": flag(f"{c} rlike '^[^:]*:[0-9]{{1,5}}(/|$)'"),
+        "blanks": share(r"\s"),
+        "symbols": share("[^A-Za-z0-9\\s]"),
+        "reference": flag(f"{c} rlike {_raw(REFERENCE)}"),
+        "valued": flag(f"{before} rlike {_raw(VALUED)}"),
     }
     return "named_struct(" + ", ".join(f"'{k}', {values[k]}" for k in FEATURES) + ")"
 
@@ -127,15 +156,33 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     close = "if(instr(%s, '\"') > 0, '\"', '')"
     key, join = pick("k / 7", keys), pick("k / 91", joins)
     digits = "substr(translate(h, 'abcdef', '123456'), 1, 12 + k % 12)"
+    plain = "regexp_replace(b, '[+/=]', 'x')"
+    letters = "translate(concat(h, m), '0123456789', 'qwzxjkvupy')"
+    weak = "concat(substr(translate(h, '0123456789', 'ghijklmnop'), 1, 3 + k % 5), 10 + k % 9990)"
+    strong = "concat(substr(regexp_replace(b, '[+/=]', 'r'), 1, 3 + k % 6), " + pick("k / 11", ["&", "!", "#", "_", "?", "%", "+", "$"]) + ", k % 1000, substr(regexp_replace(b, '[+/=]', 't'), 20, 1 + k % 4))"
+    long = "concat(" + ", ".join(pick(f"k / {n}", SYLLABLES) for n in (1, 7, 17, 31, 97, 211, 501)) + ")"
+    word = f"CASE k % 5 WHEN 1 THEN initcap({long}) WHEN 2 THEN upper({long}) ELSE {long} END"
+    scheme, host = pick("k / 13", ["redis", "postgres", "mysql", "amqp", "https", "mongodb+srv", "ftp"]), pick("k / 29", ["cache:6379", "db", "host.example.com", "mail6.example.com", "example.org"])
+    kind, title = pick("k", ["", "RSA ", "EC ", "OPENSSH "]), "initcap(%s)"
     value = (
-        f"CASE id % 16 WHEN 0 THEN concat({key}, {join}, s, {close % join}) WHEN 1 THEN concat({key}, {join}, substr(h, 1, 32 + 8 * (k % 5)), {close % join}) WHEN 2 THEN concat({key}, {join}, b, {close % join})"
+        f"CASE id % 32 WHEN 0 THEN concat({key}, {join}, s, {close % join}) WHEN 1 THEN concat({key}, {join}, substr(h, 1, 32 + 8 * (k % 5)), {close % join}) WHEN 2 THEN concat({key}, {join}, b, {close % join})"
         f" WHEN 3 THEN concat({key}, {join}, substr(regexp_replace(b, '[+/=]', 'x7'), 1, 20 + k % 20), {close % join}) WHEN 4 THEN concat({pick('k / 5', ['', 'key ', 'id = '])}, 'AKIA', upper(substr(h, 1, 16)))"
         f" WHEN 5 THEN concat({pick('k / 5', ['', 'token ', 'use '])}, {pick('k / 3', ['ghp_', 'sk-', 'xoxb-', 'glpat-', 'npm_'])}, substr(regexp_replace(b, '[+/=]', 'a1'), 1, 36))"
         f" WHEN 6 THEN concat('https://user:', substr(h, 1, 12), '@host.example.com/x') WHEN 7 THEN {pick('k', ['-----BEGIN RSA PRIVATE KEY-----', '-----BEGIN PRIVATE KEY-----', '-----BEGIN EC PRIVATE KEY-----'])}"
         f" WHEN 8 THEN concat({pick('k / 11', other)}, {pick('k / 91', [' ', ': ', ' = ', '-'])}, if(k % 2 = 0, s, m)) WHEN 9 THEN concat({pick('k / 11', numbers)}, ' ', {digits}, '0123') WHEN 10 THEN concat({pick('k / 11', numbers)}, ' ', substr({digits}, 1, 12), '4567')"
         f" WHEN 11 THEN concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-4', substr(m, 13, 3), '-a', substr(m, 17, 3), '-', substr(m, 21, 12)) WHEN 12 THEN concat('/home/user/project/', {pick('k', DICTIONARY)}, '/', {pick('k / 17', DICTIONARY)}, k % 100, '/index')"
         f" WHEN 13 THEN concat('https://www.example.com/', {pick('k', DICTIONARY)}, '/', {pick('k / 17', DICTIONARY)}, '-', {pick('k / 31', DICTIONARY)}, '-', k % 1000) WHEN 14 THEN concat({key}, {join}, {pick('k / 3', ['your', 'example', 'placeholder', 'dummy', 'sample'])}, '-', {key}, '-', {pick('k', DICTIONARY)}, '-1234', {close % join})"
-        f" ELSE concat({pick('k', DICTIONARY)}, '_', {pick('k / 17', DICTIONARY)}, '_', {pick('k / 31', DICTIONARY)}, '_2024', k % 10) END"
+        f" WHEN 15 THEN concat({pick('k', DICTIONARY)}, '_', {pick('k / 17', DICTIONARY)}, '_', {pick('k / 31', DICTIONARY)}, '_2024', k % 10)"
+        # the same again for what has no digit, is short, or is an address, a block or a reference; secrets where id % 16 < 8
+        f" WHEN 16 THEN concat({key}, {join}, {strong}, {close % join}) WHEN 17 THEN concat({key}, {join}, {weak}, {close % join}) WHEN 18 THEN concat({key}, {join}, substr({letters}, 1, 16 + k % 24), {close % join})"
+        f" WHEN 19 THEN concat({scheme}, '://:', {pick('k / 3', ['a', 'b', 'c'])}, {weak}, '@', {host}, '/x') WHEN 20 THEN concat({scheme}, '://', {pick('k / 3', ['app', 'user', 'service-account-of-the-long-name', 'db'])}, ':', substr(b, 2, 2), {pick('k / 5', ['/', ':', '/x:', '', '@'])}, {strong}, '@', {host}, '/x')"
+        f" WHEN 21 THEN if(k % 2 = 0, concat({pick('k / 5', ['', 'key ', 'id '])}, 'AKIA', upper(substr({letters}, 1, 16))), concat({pick('k / 5', ['', 'jwt ', 'use '])}, 'eyJ', substr({plain}, 1, 8 + k % 20), '.eyJ', substr({plain}, 5, 8 + k % 20), '.', substr({plain}, 9, 10 + k % 20)))"
+        f" WHEN 22 THEN concat('-----BEGIN ', {kind}, 'PRIVATE KEY-----', {pick('k / 5', [chr(10), ' '])}, b, {pick('k / 5', [chr(10), ' '])}, substr({plain}, 1, 8 + k % 30), {pick('k / 5', [chr(10), ' '])}, '-----END ', {kind}, 'PRIVATE KEY-----')"
+        f" WHEN 23 THEN if(k % 2 = 0, concat('Authorization: Bearer ', substr({plain}, 1, 12 + k % 28)), concat('\"', {key}, '\": \"', {pick('k / 3', ['', 'A', 'z9'])}, {strong}, '\"'))"
+        f" WHEN 24 THEN concat({key}, {join}, {pick('k / 3', REFERENCES)}, {close % join}) WHEN 25 THEN if(k % 4 = 0, concat('bearer of ', {pick('k / 19', fill)}), concat({key}, {pick('k / 7', [': ', ' = ', ':' + chr(10)])}, {pick('k / 17', fill)}))"
+        f" WHEN 26 THEN concat('http://', {pick('k', DICTIONARY)}, ':', 80 + k % 9000, '/', {pick('k / 17', DICTIONARY)}, '/', {pick('k / 31', DICTIONARY)}, '@', {host}) WHEN 27 THEN concat({pick('k', ['mailto:', 'Email:', 'e-mail:', 'contact:', 'von:', 'To:', 'mail:'])}, {pick('k / 7', DICTIONARY)}, {pick('k / 31', ['', '.', '_', '-'])}, {pick('k / 17', DICTIONARY)}, {pick('k / 5', ['', '7', '26'])}, '@', {host})"
+        f" WHEN 28 THEN if(k % 4 = 0, concat({pick('k', DICTIONARY)}, {title % pick('k / 17', DICTIONARY)}, {title % pick('k / 31', DICTIONARY)}, {title % pick('k / 97', DICTIONARY)}), {word}) WHEN 29 THEN if(k % 2 = 0, concat('/', {pick('k', DICTIONARY)}, '/', {pick('k / 17', DICTIONARY)}, '/', {pick('k / 31', DICTIONARY)}, '-', {pick('k / 97', DICTIONARY)}), repeat({pick('k / 3', ['x', '-', '_', '/', 'A', '0', 'ab', '+'])}, 16 + k % 200))"
+        f" WHEN 30 THEN concat('-----BEGIN ', {pick('k', ['CERTIFICATE', 'PUBLIC KEY', 'RSA PUBLIC KEY'])}, '-----', {pick('k / 5', [chr(10), ' '])}, b, b) ELSE concat({pick('k', ['max_tokens', 'token_count', 'tokens', 'password_length', 'auth_level', 'token', 'secret_version', 'author'])}, {join}, if(k % 5 = 0, {pick('k / 3', ['Smith', 'Anna', 'Miller', 'open', 'Jean'])}, string(k % 5000)), {close % join}) END"
     )
     path = f"if(id % 16 = 14, concat('tests/', {pick('k', DICTIONARY)}, '.py'), if(k % 3 = 0, concat('src/', {pick('k', DICTIONARY)}, '.py'), ''))"
     return base.selectExpr(f"concat({pick('k / 13', fill)}, ' ', {value}, ' ', {pick('k / 19', fill)}) AS text", f"{path} AS path", "double(id % 16 < 8) AS label")
