@@ -28,7 +28,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "point": r"[.,;:?'\"()\-]", "b
 #: Greatest distances that a kept document has, and the least lengths at which they are judged.
 CHAR_DISTANCE, CHAR_WORDS = 0.28, 50
 WORD_DISTANCE, WORD_WORDS = 0.32, 100
-#: A language has its own reference if it holds at least this share of the words: 1000 references at most.
+#: The references of languages with at least this share of the words, 1000 at most, are broadcast; the others are joined by shuffle.
 REFERENCE_SHARE = 0.001
 #: Repeated windows up to which positions are looked up in their list; above, windows are sorted with positions.
 FEW = 64
@@ -97,10 +97,10 @@ def base_failed() -> Column:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """The reference of each language with enough words, and of all together as language ``*``: lang, class_shares, word_shares.
+    """The reference of each language: lang, large, class_shares, word_shares.
 
-    Sums of the measured documents that pass the base rules; one row a language,
-    at most 1 / REFERENCE_SHARE of them and the common one.
+    Sums of the measured documents that pass the base rules; one row a language.
+    At most 1 / REFERENCE_SHARE of them are ``large``.
     """
     n_classes = len(CLASSES) + 3
     kept = measured.where(~base_failed()).withColumn("lang", F.coalesce("lang", F.lit("")))
@@ -108,19 +108,13 @@ def references(measured: DataFrame) -> DataFrame:
     hits = kept.select("lang", F.inline(F.arrays_zip("common", "common_counts"))).groupBy("lang", F.col("common").alias("at")).agg(F.sum("common_counts").alias("n"))
     hits = hits.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("hits"))  # len(COMMON_WORDS) entries at most
     by_lang = cut(sums.join(hits, "lang", "left"), "references")
-    every = by_lang.select(
-        F.explode(F.array("lang", F.lit("*"))).alias("lang"), "words", F.array(*(f"c{i}" for i in range(n_classes))).alias("classes"),
+    total = by_lang.agg(F.sum("words").alias("total"))
+    every = by_lang.crossJoin(F.broadcast(total)).select(  # one row
+        "lang", "words", (F.col("words") >= F.lit(REFERENCE_SHARE) * F.col("total")).alias("large"), F.array(*(f"c{i}" for i in range(n_classes))).alias("classes"),
         F.array(*(F.coalesce(F.col("hits")[i + 1], F.lit(0)) for i in range(len(COMMON_WORDS)))).alias("hits"),
     )
-    every = every.groupBy("lang").agg(
-        F.sum("words").alias("words"),
-        F.array(*(F.sum(F.col("classes")[i]) for i in range(n_classes))).alias("classes"),
-        F.array(*(F.sum(F.col("hits")[i]) for i in range(len(COMMON_WORDS)))).alias("hits"),
-    )
-    total = every.where("lang = '*'").select(F.col("words").alias("total"))
-    every = every.join(F.broadcast(total), F.col("words") >= F.lit(REFERENCE_SHARE) * F.col("total"))  # one row
     chars = F.expr("aggregate(classes, 0L, (a, x) -> a + x)")
-    return every.select("lang", F.transform("classes", lambda x: x / chars).alias("class_shares"), F.transform("hits", lambda x: x / F.col("words")).alias("word_shares"))
+    return every.select("lang", "large", F.transform("classes", lambda x: x / chars).alias("class_shares"), F.transform("hits", lambda x: x / F.col("words")).alias("word_shares"))
 
 
 def divergence(shares: str, reference: str) -> Column:
@@ -138,15 +132,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ``base_failed``: fewer than 50 words, or more than half of the words in
     repeated three-word windows. ``kept`` is false then, else unless a distance
     exceeds its bound in a text long enough for it; distances are null where
-    they are not judged. A language without a reference, or null, is held
-    against that of all documents. Null texts count as empty and fail.
+    they are not judged. Each language is held against its own reference, however
+    little of the input it is; rows without one share theirs. Null texts count as
+    empty and fail.
     """
     measured = cut(measures(docs, id_col, text_col, lang_col), "measures")
     shares = cut(references(measured), "references")
-    own = F.broadcast(shares.select(F.col("lang").alias("of"), F.col("class_shares").alias("own_classes"), F.col("word_shares").alias("own_words")))
-    pool = F.broadcast(shares.where("lang = '*'").select(F.col("lang").alias("star"), F.col("class_shares").alias("all_classes"), F.col("word_shares").alias("all_words")))
-    rows = measured.withColumn("star", F.lit("*")).join(own, F.coalesce("lang", F.lit("")) == F.col("of"), "left").join(pool, "star", "left")
-    rows = rows.withColumns({"ref_classes": F.coalesce("own_classes", "all_classes"), "ref_words": F.coalesce("own_words", "all_words"), "base_failed": base_failed()})
+    own = shares.select(F.col("lang").alias("of"), "large", F.col("class_shares").alias("ref_classes"), F.col("word_shares").alias("ref_words"))
+    large = F.broadcast(own.where("large"))
+    rows = measured.withColumns({"of": F.coalesce("lang", F.lit("")), "base_failed": base_failed()})
+    good, failed = rows.where("not base_failed"), rows.where("base_failed")  # what failed is not held against a reference
+    rare = good.join(large.select("of"), "of", "left_anti").join(own.where("not large").hint("merge"), "of")
+    rows = good.join(large, "of").unionByName(rare).unionByName(failed, allowMissingColumns=True)
     rows = rows.withColumns(
         {
             "chars": F.expr("aggregate(classes, 0L, (a, x) -> a + x)"),

@@ -185,6 +185,17 @@ def test_quality_rules_on_labels(spark):
     assert row.kept >= 0.97
 
 
+def test_rare_language_has_its_own_reference(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda own, share: " ".join(own[rng.integers(len(own))] if rng.random() < share else f"w{rng.integers(10**6)}".translate(str.maketrans("0123456789", "aeioulmnrs")) for _ in range(300))
+    rows = [(i, prose(["the", "of", "and", "to", "in"], 0.5), "en") for i in range(1500)]
+    rows += [(10_000, prose(["oraz"], 0), "pl"), (10_001, prose(["oraz"], 0), None), (10_002, "short one", "fi")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert len(got) == len(rows) and got[0].kept and got[10_002].base_failed and got[10_002].word_distance is None
+    for i in (10_000, 10_001):  # less than a thousandth of the words, and no common word
+        assert got[i].kept and got[i].word_distance == pytest.approx(0, abs=1e-6) and got[i].char_distance == pytest.approx(0, abs=1e-6)
+
+
 # -- op1, op4 -------------------------------------------------------------
 
 
