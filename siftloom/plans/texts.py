@@ -163,6 +163,12 @@ def conversation_chunk_index(t: Tables) -> DataFrame:
     return chunking.conversation_chunks(t.conversations, size=1_000_000)
 
 
+@query()
+def conversation_chunks(t: Tables) -> DataFrame:
+    """With the operator's own size, at which long turns are split."""
+    return chunking.conversation_chunks(t.conversations)
+
+
 @query()
 def stream_turn_flush(t: Tables) -> DataFrame:
     turns = t.conversations.select("conv_id", F.col("turn").alias("nth"), F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
