@@ -284,6 +284,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def matrix(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3: the documents, their classes, the sets of the representatives that go on and their prefix entries."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = max(32, min(1 << 16, rows.count() // 2000))
+    told = cut(first_block(rows, n, percent, buckets), "block")
+    heads = told.where("n_shingles is not null").select("doc_id", "n_shingles", "class_a", "class_b", "wanted", "found")
+    far = told.where("n_shingles is null").groupBy("class_a").agg(F.sum("far").alias("far"))
+    by_class = heads.where("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.min("wanted").alias("wanted"), F.max("found").alias("found"))
+    goes_on = F.col("found") + F.coalesce("far", F.lit(0)) >= F.col("wanted")
+    by_class = cut(by_class.join(far, "class_a", "left").select("class_a", "class_b", "rep", goes_on.alias("goes_on")), "classes")
+    sets = cut(sets_of(rows, by_class.where("goes_on").select("rep"), n), "sets")
+    entries = cut(prefixes(sets, percent), "prefixes")
+    return heads, by_class, sets, entries
+
+
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id (long), n_shingles, class_id, component_id.
 
@@ -296,17 +312,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     Sets are compared by 64-bit hashes of shingles and 128-bit hashes of sets.
     Rows that repeat an id must repeat its text.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(32, min(1 << 16, rows.count() // 2000))
-    told = cut(first_block(rows, n, percent, buckets), "block")
-    heads = told.where("n_shingles is not null").select("doc_id", "n_shingles", "class_a", "class_b", "wanted", "found")
-    far = told.where("n_shingles is null").groupBy("class_a").agg(F.sum("far").alias("far"))
-    by_class = heads.where("n_shingles > 0 and doc_id is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.min("wanted").alias("wanted"), F.max("found").alias("found"))
-    goes_on = F.col("found") + F.coalesce("far", F.lit(0)) >= F.col("wanted")
-    by_class = cut(by_class.join(far, "class_a", "left").select("class_a", "class_b", "rep", goes_on.alias("goes_on")), "classes")
-    sets = cut(sets_of(rows, by_class.where("goes_on").select("rep"), n), "sets")
-    entries = cut(prefixes(sets, percent), "prefixes")
+    heads, by_class, sets, entries = matrix(docs, n, percent, id_col, text_col)
 
     lead = entries.groupBy("shingle").agg(F.min(F.struct("pos", "rep", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = entries.alias("y").join(lead.select("shingle", F.struct(F.col("head.pos").alias("pos"), F.col("head.rep").alias("rep"), F.col("head.size").alias("size")).alias("x")), "shingle")
@@ -339,6 +345,39 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     )
 
 
+def pairs_within(entries: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b), a < b, of representatives that meet in a column within the bounds; of one component or of two."""
+    reach = F.floor((F.col("size") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
+    rows = entries.withColumn("reach", reach)
+    met = rows.alias("x").join(
+        rows.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & ((F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.rep") < F.col("y.rep"))))
+        & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach")) & (F.col("y.size") * 100 >= F.col("x.size") * percent),
+    )
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: doc_id (long), class_id and n_links, the number of other documents that it links with.
+
+    Sets and links are those of :func:`jaccard_classes`. Every pair of
+    representatives within the bounds is verified, so the work grows with the
+    links between different texts. Copies count by the size of their class.
+    """
+    heads, by_class, sets, entries = matrix(docs, n, percent, id_col, text_col)
+    links = cut(linked(cut(pairs_within(entries, percent), "pairs"), sets, percent), "links")
+    whole = heads.where("n_shingles > 0 and doc_id is not null")
+    sizes = whole.groupBy("class_a", "class_b").agg(F.countDistinct("doc_id").alias("members"))
+    sized = cut(by_class.join(sizes, ["class_a", "class_b"]).select("class_a", "class_b", F.col("rep").alias("class_id"), "members"), "sizes")
+    ends = links.union(links.select("b", "a")).join(sized.select(F.col("class_id").alias("b"), "members"), "b")
+    others = ends.groupBy(F.col("a").alias("class_id")).agg(F.sum("members").alias("others"))
+    counted = sized.join(others, "class_id", "left").select("class_a", "class_b", "class_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return whole.join(counted, ["class_a", "class_b"]).select("doc_id", "class_id", "n_links").unionByName(
+        heads.where("n_shingles = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    )
+
+
 def with_classes(heads: DataFrame, classes: DataFrame) -> DataFrame:
     """Each document with its class's ids; a class of very many copies is one row on the other side, so Spark can split it."""
     return heads.join(classes, ["class_a", "class_b"]).select("doc_id", "n_shingles", "class_id", F.col("label").alias("component_id"))

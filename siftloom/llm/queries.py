@@ -56,6 +56,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op7_ngram_links": op7_ngram_links,
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
@@ -192,6 +197,15 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles,
 FROM sets s JOIN classes c ON list_sort(s.s) = c.s JOIN least l USING (class_id)
 """
 
+OP7_LINKS_SQL = OP7_SQL.split("edges AS (")[0] + r"""
+members AS (SELECT c.class_id, c.s, count(DISTINCT doc_id) AS n FROM sets JOIN classes c ON list_sort(sets.s) = c.s GROUP BY 1, 2),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+others AS (SELECT a AS class_id, sum(m.n) AS n FROM ends JOIN members m ON m.class_id = b GROUP BY 1)
+SELECT s.doc_id, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE m.class_id END AS class_id,
+       CASE WHEN len(s.s) = 0 THEN 0 ELSE m.n - 1 + COALESCE(o.n, 0) END::BIGINT AS n_links
+FROM sets s JOIN members m ON list_sort(s.s) = m.s LEFT JOIN others o ON o.class_id = m.class_id
+"""
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -212,4 +226,4 @@ FROM fits
     " OR ".join(f"plain = '{n}.{e}' OR ends_with(plain, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS),
 )
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op7_ngram_links": OP7_LINKS_SQL, "op10_url_filter": OP10_SQL}

@@ -94,6 +94,28 @@ def test_jaccard_random(spark, n, percent):
     assert got == brute_jaccard(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_links_inside_components(spark, docs, empty, n, percent):
+    rng = np.random.default_rng(n)
+    rows = [(1000 + i, t) for i, t in enumerate(TEXTS)]
+    for g in range(8):  # large groups of edited copies, some of them exact
+        base = [f"w{g}x{i}" for i in range(int(rng.integers(60, 160)))]
+        for _ in range(20):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(len(copy)))] = f"e{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))} if w else set() for i, t in rows for w in [words((t or "").translate({c: c + 32 for c in range(65, 91)}))]}
+    want = Counter({i: 0 for i in sets})
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            want[a] += 1
+            want[b] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_links(df, n, percent).collect()} == dict(want) and max(want.values()) > 5
+    assert ngram_join.jaccard_links(docs).count() == docs.count() and ngram_join.jaccard_links(empty).count() == 0
+
+
 def test_prefix_bounds():
     assert ngram_join.prefix_length(100, 85) == 16 and ngram_join.prefix_length(1, 85) == 1
 
