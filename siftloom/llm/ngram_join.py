@@ -1,7 +1,8 @@
 """N-gram Jaccard join: which documents share enough of their word n-grams.
 
-The join is a sparse product of the document by n-gram incidence matrix with
-its transpose, in blocks, that never forms what cannot reach the threshold:
+The join is a prefix-filter set join over the document by n-gram incidence
+matrix that never forms what cannot reach the threshold; pairs are verified by
+intersecting their sets, no overlaps are accumulated:
 
 1. Columns in a fixed part of the hash space form a first block. A document goes
    on only if, in that block, the number of its n-grams that some other document
