@@ -1,8 +1,8 @@
 """N-gram Jaccard join: which documents share enough of their word n-grams.
 
-The join is a prefix-filter set join over the document by n-gram incidence
-matrix that never forms what cannot reach the threshold; pairs are verified by
-intersecting their sets, no overlaps are accumulated:
+The join is a sparse product of the document by n-gram incidence matrix with
+its transpose, in blocks of columns and of rows, that never forms what cannot
+reach the threshold:
 
 1. Columns in a fixed part of the hash space form a first block. A document goes
    on only if, in that block, the number of its n-grams that some other document
@@ -12,13 +12,17 @@ intersecting their sets, no overlaps are accumulated:
    reaches the threshold meets in the first, rarest columns of each row, as far
    as the two sizes give (prefix bound).
 4. In each such column every row is multiplied with the row in which the column
-   comes earliest. Exact overlaps give links, links give components. Only pairs
-   of different components that still meet the bounds are multiplied after that,
-   so a group of near copies costs as many products as it has members, while
-   no link between different components is lost.
+   comes earliest. Overlaps are accumulated over the blocks of columns; after each
+   a pair goes unless what it has and what the rest may add reach its bound. Links
+   give components. Only pairs of different components that still meet the bounds
+   are multiplied after that, so no link between different components is lost.
+5. Within each component blocks of rows are multiplied with one another, block of
+   columns by block of columns, and each row's links are counted where they are
+   formed: no pairs are written, however large a group of near copies is.
 
 Components are the smallest id reachable, found by min-label propagation with
-pointer jumping over written tables.
+pointer jumping over written tables. Columns and components that very many rows
+have come by broadcast, as few can have so many, so none is a task's hot key.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +41,16 @@ from siftloom.llm.common import cut, small_batches
 
 #: The first block of columns: hashes below FIRST * 2**64.
 FIRST = 0.25
-#: Bits of the filter of ids that is sent to the second reading of the texts: 4 MB whatever the input.
-FILTER_BITS = 1 << 25
-#: Documents that one message of the first block covers; rows of a message's bucket are packed bytes.
-CHUNK = 4000
+#: Ids that the filter sent to the second reading of the texts is built for at most, at 16 bits or more each: 64 MB. More are joined by shuffle.
+FILTER_IDS = 1 << 25
+#: Documents that one message of the first block covers at least and at most; rows of a message's bucket are packed bytes.
+CHUNK, MAX_CHUNK = 4000, 32_000
+#: Blocks of columns, by the first bits of their hashes, in which overlaps are accumulated.
+BLOCKS = 4
+#: Rows and entries that a block of rows holds about; columns that are multiplied at a time.
+BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2000, 1 << 21, 2048
+#: Keys that are joined by broadcast at most: those with at least this many rows, and at least total / HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 20_000, 256
 #: Hashes of words that a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -101,8 +112,10 @@ def first_block(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
     of the first block that the chunk holds, each once, with the class of the
     set that has it, or 0 if several of the chunk have it; those count as found
     at once. So a passage that all documents have is one entry for each chunk,
-    not for each document. Documents travel with the bucket of their class.
+    not for each document. The documents' own rows are dealt over the buckets in
+    turn, so a class of very many copies is in no one bucket.
     """
+    chunk = min(max(CHUNK, buckets // 16), MAX_CHUNK)
     limit = np.uint64(int(FIRST * 2**64))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +124,8 @@ def first_block(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
         blocks: list[np.ndarray] = []
         sizes: list[int] = []
         classes: list[tuple[int, int]] = []
+        context = TaskContext.get()
+        turn = 7919 * (context.partitionId() if context else 0)
 
         def flush() -> Iterator[pa.RecordBatch]:
             # of equal sets in the chunk one sends and counts for all
@@ -126,7 +141,7 @@ def first_block(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
             local = np.bincount(of[np.repeat(counts > 1, counts)], minlength=len(ids))
             wanted = [len(x) - (s - -(-s * percent // 100)) for x, s in zip(blocks, sizes, strict=True)]
             yield _message(
-                bucket=[c[0] % buckets for c in classes], doc_id=ids, n_shingles=sizes, class_a=[c[0] for c in classes],
+                bucket=[(turn + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, class_a=[c[0] for c in classes],
                 class_b=[c[1] for c in classes], wanted=wanted, found=local[first].tolist(),
             )
             names = np.array([c[0] for c in classes], dtype=np.int64)
@@ -150,7 +165,7 @@ def first_block(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
                 sizes.append(len(h))
                 # the last bit set: 0 stays free; a document without an id has a class of its own
                 classes.append((int.from_bytes(digest[:8], "little", signed=True) | 1, int.from_bytes(digest[8:], "little", signed=True) if i is not None else None))
-                if len(ids) >= CHUNK:
+                if len(ids) >= chunk:
                     yield from flush()
         if ids:
             yield from flush()
@@ -185,65 +200,113 @@ def _message(**columns: list) -> pa.RecordBatch:
 
 
 class IdFilter:
-    """A Bloom filter of ids of fixed size; it may let others through, never stops a member."""
+    """A Bloom filter of ids, sized by their number; it may let others through, never stops a member."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def size_for(n_ids: int) -> int:
+        """The number of 64-bit words: a power of two with 16 bits for each id or more."""
+        return 1 << max(14, (n_ids * 16 // 64).bit_length())
 
     @staticmethod
-    def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two bits of the filter for each id."""
         with np.errstate(over="ignore"):
             h = mix64(ids.astype(np.uint64))
-        return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        low = np.uint64(64 * size - 1)
+        return h & low, (h >> np.uint64(32)) & low
 
-    @staticmethod
-    def build(ids: DataFrame) -> np.ndarray:
-        """The bits, gathered as words that are not zero: at most FILTER_BITS / 64 of them."""
+    @classmethod
+    def build(cls, ids: DataFrame, n_ids: int) -> IdFilter:
+        """Each task sends its words that are not zero; the driver holds the whole filter and no ids."""
+        size = cls.size_for(n_ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(FILTER_BITS, dtype=bool)
+            words = np.zeros(size, dtype=np.uint64)
             for batch in batches:
-                for at in IdFilter.places(batch.column(0).to_numpy(zero_copy_only=False)):
-                    bits[at] = True
-            words = np.packbits(bits, bitorder="little").view(np.int64)
+                for place in cls.places(batch.column(0).to_numpy(zero_copy_only=False), size):
+                    np.bitwise_or.at(words, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
             at = np.flatnonzero(words)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["at", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64), pa.int64())], ["at", "word"])
 
         rows = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-        words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        words = np.zeros(size, dtype=np.int64)
         words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
-        return words.view(np.uint8)
+        return cls(words.view(np.uint64))
 
-    @staticmethod
-    def has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        a, b = IdFilter.places(ids)
-        return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        a, b = self.places(ids, len(self.words))
+        bit = lambda p: (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+        return (bit(a) & bit(b)).astype(bool)
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """The sets of the chosen ids: rep, size, shingles. The filter spares the other texts; an exact join does the rest."""
+    """The sets of the chosen ids: rep, size, one array of shingles for each block of columns, and how many later blocks hold.
+
+    A filter spares the other texts, and an exact join does the rest; more ids
+    than a filter can hold are joined with their texts first.
+    """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(IdFilter.build(chosen))
+    chosen = chosen.select(F.col(chosen.columns[0]).alias("doc_id"))
+    n_ids = chosen.count()
+    filtered = n_ids <= FILTER_IDS
+    if not filtered:
+        docs = docs.join(chosen, "doc_id", "left_semi")
+    ids = spark.sparkContext.broadcast(IdFilter.build(chosen, n_ids) if filtered else None)
+    edges = np.array([i * (2**64 // BLOCKS) for i in range(1, BLOCKS)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            kept = IdFilter.has(bits.value, batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array(kept))
+            if ids.value is not None:
+                batch = batch.filter(pa.array(ids.value.has(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingler.hashes(x).view(np.int64) for x in part.column("text").cast(pa.binary()).to_pylist()]
-                flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, sets), pa.int64()), lists], ["rep", "size", "shingles"])
+                sets = [shingler.hashes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                cuts = np.array([[0, *np.searchsorted(s, edges), len(s)] for s in sets]).reshape(len(sets), BLOCKS + 1)
+                columns = [part.column("doc_id"), pa.array(cuts[:, -1], pa.int64())]
+                for k in range(BLOCKS):
+                    flat = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]).view(np.int64)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cuts[:, k + 1] - cuts[:, k])], pa.int32()), pa.array(flat, pa.int64())))
+                rest = (cuts[:, -1:] - cuts[:, 1:]).ravel()
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BLOCKS, pa.int32()), pa.array(rest, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "size", *_SLICES, "rest"])
+
+    rows = docs.mapInArrow(run, "rep long, size long, " + ", ".join(f"{k} array<long>" for k in _SLICES) + ", rest array<int>")
+    if filtered:
+        rows = rows.join(chosen.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+    return rows.dropDuplicates(["rep"])
+
 
-    rows = docs.mapInArrow(run, "rep long, size long, shingles array<long>")
-    return rows.join(chosen.withColumnRenamed(chosen.columns[0], "rep"), "rep", "left_semi").dropDuplicates(["rep"])
+_SLICES = [f"s{k}" for k in range(BLOCKS)]
+
+
+def beside(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the one row of the written table ``keyed`` that has their key; rows without one go.
+
+    ``n`` is the number of rows that have a key. Keys of very many rows come by
+    broadcast: those with a share of 1 / HOT_KEYS or more, HOT_KEYS of them at
+    most. Their rows are spread over the join that the others take.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    told = [c for c in keyed.columns if c != key]
+    pack = lambda part, name, to: part.select(F.col(key).alias(to), F.struct(*told).alias(name))
+    hot, cold = pack(keyed.where(F.col(n) >= least), "_hot", key), pack(keyed.where(F.col(n) < least), "_cold", "_key")
+    met = rows.join(F.broadcast(hot), key, "left")
+    met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    met = met.join(cold, "_key", "left").withColumn("_told", F.coalesce("_hot", "_cold")).where("_told is not null")
+    return met.select(*rows.columns, *(F.col(f"_told.{c}").alias(c) for c in told))
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """The entries of the rarest columns: shingle, rep, size, pos; those of a single row are left out."""
-    flat = sets.select("rep", F.explode("shingles").alias("shingle"))
-    rows = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    known = flat.join(rows, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("rows", "shingle"))).alias("known"))
+    flat = sets.select("rep", F.explode(F.concat(*_SLICES)).alias("shingle"))
+    rows = cut(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "columns")
+    known = beside(flat, rows, "shingle", "rows").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("rows", "shingle"))).alias("known"))
     length = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / F.lit(100)) + 1
     alone = F.col("size") - F.size("known")
     kept = known.join(sets.select("rep", "size"), "rep").withColumns({"alone": alone, "length": length}).where("alone < length")
@@ -259,12 +322,19 @@ def within_bounds(a: str, b: str, percent: int) -> Column:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose exact overlap reaches the threshold."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(F.lit(100) * both >= F.lit(percent) * union).select("a", "b")
+    """Those of the distinct pairs (a, b) whose overlap reaches the threshold.
+
+    Overlaps are accumulated block of columns by block of columns; a pair goes
+    as soon as the rest of the smaller row could not take it to its bound.
+    """
+    pairs = pairs.select("a", "b", F.lit(0).alias("overlap"))
+    for k, column in enumerate(_SLICES):
+        side = lambda end: sets.select(F.col("rep").alias(end), F.col("size").alias(f"size_{end}"), F.col(column).alias(f"set_{end}"), F.col("rest")[k].alias(f"rest_{end}"))  # noqa: B023, E731
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        met = met.withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("set_a", "set_b")))
+        most = F.col("overlap") + F.least("rest_a", "rest_b")
+        pairs = met.where(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b", "overlap")
+    return pairs.select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,7 +359,7 @@ def matrix(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     """Steps 1 to 3: the documents, their classes, the sets of the representatives that go on and their prefix entries."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(32, min(1 << 16, rows.count() // 2000))
+    buckets = max(32, rows.count() // 2000)
     told = cut(first_block(rows, n, percent, buckets), "block")
     heads = told.where("n_shingles is not null").select("doc_id", "n_shingles", "class_a", "class_b", "wanted", "found")
     far = told.where("n_shingles is null").groupBy("class_a").agg(F.sum("far").alias("far"))
@@ -301,8 +371,99 @@ def matrix(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     return heads, by_class, sets, entries
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id (long), n_shingles, class_id, component_id.
+def products(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the rows of one component and the sum of the members of the rows that each links with.
+
+    Rows of two parts are multiplied across only, those of one with one another.
+    Overlaps are accumulated over blocks of columns; a row goes as soon as no
+    pair of its can still reach its bound.
+    """
+    reps, members, sizes, parts = (rows.column(c).to_numpy() for c in ("rep", "members", "size", "part"))
+    slices = [rows.column(k).combine_chunks() for k in _SLICES]
+    lengths = np.stack([np.diff(x.offsets.to_numpy()) for x in slices])
+    first, total = parts == parts.min(), np.zeros(len(reps), dtype=np.int64)
+    across = not first.all()
+    i, j = (np.flatnonzero(first), np.flatnonzero(~first)) if across else (np.arange(len(reps)),) * 2
+    need = -(-(sizes[i][:, None] + sizes[j][None, :]) * percent // (100 + percent))
+    found = np.zeros((len(i), len(j)), dtype=np.float32)
+    rest = sizes.astype(np.int64).copy()
+    for k, x in enumerate(slices):
+        flat, of = x.flatten().to_numpy(), np.repeat(np.arange(len(reps)), lengths[k])
+        alive = np.zeros(len(reps), dtype=bool)
+        alive[i], alive[j] = True, True
+        flat, of = flat[alive[of]], of[alive[of]]
+        _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = counts[column] > 1
+        of, column = of[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        place = np.full(len(reps), -1)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+            a, b = np.searchsorted(column, (at, at + BLOCK_COLUMNS))
+            dense = lambda side: _incidence(place, side, of[a:b], column[a:b] - at)  # noqa: B023, E731
+            left = dense(i)
+            found += left @ (dense(j) if across else left).T
+        rest -= lengths[k]
+        open_ = found + np.minimum(rest[i][:, None], rest[j][None, :]) >= need
+        if not across:
+            np.fill_diagonal(open_, False)
+        keep_i, keep_j = open_.any(1), open_.any(0)
+        i, j, found, need = i[keep_i], j[keep_j], found[np.ix_(keep_i, keep_j)], need[np.ix_(keep_i, keep_j)]
+    links = found >= need
+    if not across:
+        np.fill_diagonal(links, False)
+    total[i] += links @ members[j]
+    if across:
+        total[j] += links.T @ members[i]
+    return reps, total
+
+
+def _incidence(place: np.ndarray, side: np.ndarray, of: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The dense block of the incidence matrix of some rows and a block of columns."""
+    place[:] = -1
+    place[side] = np.arange(len(side))
+    out = np.zeros((len(side), BLOCK_COLUMNS), dtype=np.float32)
+    own = place[of] >= 0
+    out[place[of[own]], column[own]] = 1
+    return out
+
+
+def link_counts(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For classes (rep, label, members) that lie in components of several: rep and n, the members of the other classes that it links with.
+
+    A component is dealt into parts of about BLOCK_ROWS rows and BLOCK_ENTRIES
+    entries; each pair of parts is a task's group, and small components share one.
+    """
+    several = classes.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    rows = beside(classes, cut(several, "several"), "label", "rows").join(sets, "rep")
+    rows = cut(rows, "rows")
+    sizes = rows.groupBy("label").agg(F.sum("size").alias("entries"), F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_ENTRIES))
+    sizes = cut(sizes.select("label", "n", "entries", parts.cast("int").alias("parts")), "sizes")
+    lots = 1 + (sizes.agg(F.sum("entries")).first()[0] or 0) // (BLOCK_ENTRIES // 4)
+    dealt = beside(rows, sizes, "label", "n").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one = F.col("parts") == 1
+    dealt = dealt.select(
+        F.when(one, F.pmod(F.xxhash64("label"), F.lit(lots))).otherwise(F.col("label")).alias("lot"),
+        F.when(one, -1).otherwise(F.least("part", "other")).alias("low"),
+        F.greatest("part", "other").alias("high"),
+        "label", "part", "rep", "members", "size", *_SLICES,
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("label")
+        labels = table.column("label").to_numpy()
+        edges = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1], True])
+        told = [products(table.slice(a, b - a), percent) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        reps, totals = (np.concatenate(x) for x in zip(*told, strict=True))
+        return pa.table({"rep": reps, "n": totals})
+
+    return dealt.groupBy("lot", "low", "high").applyInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """A row for each row of ``docs``: doc_id (long), n_shingles, class_id, component_id and, if ``counted``, n_links.
 
     A document's set holds its distinct ``n``-word shingles, A-Z lower-cased;
     fewer words form one shingle together; null texts and texts without words
@@ -310,22 +471,24 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     their sets' intersection is at least ``percent`` times the union.
     ``class_id`` is the smallest id with an equal set, ``component_id`` the
     smallest that links lead to; for an empty set or a null id the id itself.
-    Sets are compared by 64-bit hashes of shingles and 128-bit hashes of sets.
-    Rows that repeat an id must repeat its text.
+    ``n_links`` is the number of other ids that the document links with, copies
+    included. Sets are compared by 64-bit hashes of shingles and 128-bit hashes of
+    sets. Rows that repeat an id must repeat its text; together they are one document.
     """
     heads, by_class, sets, entries = matrix(docs, n, percent, id_col, text_col)
 
-    lead = entries.groupBy("shingle").agg(F.min(F.struct("pos", "rep", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    starred = entries.alias("y").join(lead.select("shingle", F.struct(F.col("head.pos").alias("pos"), F.col("head.rep").alias("rep"), F.col("head.size").alias("size")).alias("x")), "shingle")
+    head = F.min(F.struct("pos", "rep", "size"))
+    lead = cut(entries.groupBy("shingle").agg(head.alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lead")
+    starred = beside(entries.select("shingle", F.struct("pos", "rep", "size").alias("y")), lead, "shingle", "n")
     starred = starred.where((F.col("x.rep") != F.col("y.rep")) & within_bounds("x", "y", percent))
     ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
     stars = cut(starred.select(*ends).distinct(), "stars")
     links = cut(linked(stars, sets, percent), "links")
     labels = components(links)
 
-    at = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    several = at.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least")).where("low < high")
-    mixed = at.join(several.select("shingle", "least"), "shingle")
+    at = cut(entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    several = at.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).where("low < high")
+    mixed = beside(at, cut(several.select("shingle", "least", "n"), "several"), "shingle", "n").drop("n")
     # as the larger of a pair a row meets partners no longer than this bound; the smaller one keeps the size
     reach = F.floor((F.col("size") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
     mixed = cut(mixed.withColumn("reach", reach).where("reach >= least").drop("least"), "mixed")
@@ -340,45 +503,23 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    classes = by_class.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("class_a", "class_b", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("label"))
-    return with_classes(heads.where("n_shingles > 0 and doc_id is not null"), classes).unionByName(
-        heads.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    )
-
-
-def pairs_within(entries: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b), a < b, of representatives that meet in a column within the bounds; of one component or of two."""
-    reach = F.floor((F.col("size") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
-    rows = entries.withColumn("reach", reach)
-    met = rows.alias("x").join(
-        rows.alias("y"),
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & ((F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.rep") < F.col("y.rep"))))
-        & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") <= F.col("y.reach")) & (F.col("y.size") * 100 >= F.col("x.size") * percent),
-    )
-    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    whole = heads.where("n_shingles > 0 and doc_id is not null")
+    alone = heads.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    classes = by_class.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("class_a", "class_b", "rep", F.coalesce("label", "rep").alias("label"))
+    if not counted:
+        return with_classes(whole, classes).unionByName(alone)
+    sizes = whole.groupBy("class_a", "class_b").agg(F.count_distinct("doc_id").alias("members"))
+    classes = cut(classes.join(sizes, ["class_a", "class_b"]), "members")
+    others = link_counts(classes.select("rep", "label", "members"), sets, percent)
+    classes = classes.join(others, "rep", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("n", F.lit(0)))
+    return with_classes(whole, classes, "n_links").unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id (long), class_id and n_links, the number of other documents that it links with.
-
-    Sets and links are those of :func:`jaccard_classes`. Every pair of
-    representatives within the bounds is verified, so the work grows with the
-    links between different texts. Copies count by the size of their class.
-    """
-    heads, by_class, sets, entries = matrix(docs, n, percent, id_col, text_col)
-    links = cut(linked(cut(pairs_within(entries, percent), "pairs"), sets, percent), "links")
-    whole = heads.where("n_shingles > 0 and doc_id is not null")
-    sizes = whole.groupBy("class_a", "class_b").agg(F.countDistinct("doc_id").alias("members"))
-    sized = cut(by_class.join(sizes, ["class_a", "class_b"]).select("class_a", "class_b", F.col("rep").alias("class_id"), "members"), "sizes")
-    ends = links.union(links.select("b", "a")).join(sized.select(F.col("class_id").alias("b"), "members"), "b")
-    others = ends.groupBy(F.col("a").alias("class_id")).agg(F.sum("members").alias("others"))
-    counted = sized.join(others, "class_id", "left").select("class_a", "class_b", "class_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return whole.join(counted, ["class_a", "class_b"]).select("doc_id", "class_id", "n_links").unionByName(
-        heads.where("n_shingles = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    )
+    """A row for each row of ``docs``: doc_id, class_id and n_links, as :func:`jaccard_classes` has them."""
+    return jaccard_classes(docs, n, percent, id_col, text_col).select("doc_id", "class_id", "n_links")
 
 
-def with_classes(heads: DataFrame, classes: DataFrame) -> DataFrame:
+def with_classes(heads: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     """Each document with its class's ids; a class of very many copies is one row on the other side, so Spark can split it."""
-    return heads.join(classes, ["class_a", "class_b"]).select("doc_id", "n_shingles", "class_id", F.col("label").alias("component_id"))
+    return heads.join(classes, ["class_a", "class_b"]).select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("label").alias("component_id"), *more)

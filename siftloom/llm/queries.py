@@ -53,7 +53,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,22 +190,18 @@ common AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) + any_value(b
 links AS (SELECT a, b FROM common WHERE 100 * inter >= 85 * (n - inter)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT class_id, class_id FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-least AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1)
+least AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1),
+members AS (SELECT c.class_id, count(DISTINCT doc_id) AS n FROM sets JOIN classes c ON list_sort(sets.s) = c.s GROUP BY 1),
+others AS (SELECT a AS class_id, sum(m.n) AS n FROM edges JOIN members m ON m.class_id = b GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles,
        CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE l.component_id END AS component_id,
-       CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.class_id END AS class_id
-FROM sets s JOIN classes c ON list_sort(s.s) = c.s JOIN least l USING (class_id)
-"""
-
-OP7_LINKS_SQL = OP7_SQL.split("edges AS (")[0] + r"""
-members AS (SELECT c.class_id, c.s, count(DISTINCT doc_id) AS n FROM sets JOIN classes c ON list_sort(sets.s) = c.s GROUP BY 1, 2),
-ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-others AS (SELECT a AS class_id, sum(m.n) AS n FROM ends JOIN members m ON m.class_id = b GROUP BY 1)
-SELECT s.doc_id, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE m.class_id END AS class_id,
+       CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.class_id END AS class_id,
        CASE WHEN len(s.s) = 0 THEN 0 ELSE m.n - 1 + COALESCE(o.n, 0) END::BIGINT AS n_links
-FROM sets s JOIN members m ON list_sort(s.s) = m.s LEFT JOIN others o ON o.class_id = m.class_id
+FROM sets s JOIN classes c ON list_sort(s.s) = c.s JOIN least l USING (class_id) JOIN members m USING (class_id) LEFT JOIN others o USING (class_id)
 """
 
+OP7_LINKS_SQL = f"SELECT doc_id, class_id, n_links FROM ({OP7_SQL})"
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id,

@@ -116,6 +116,35 @@ def test_links_inside_components(spark, docs, empty, n, percent):
     assert ngram_join.jaccard_links(docs).count() == docs.count() and ngram_join.jaccard_links(empty).count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_small_blocks_and_hot_keys_change_nothing(spark, monkeypatch, n, percent):
+    """Parts of few rows, every shared column hot, and no filter of ids: the same classes, components and links."""
+    rng = np.random.default_rng(7 * n)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for g in range(90):
+        copy = list(base) if g % 3 else [f"v{x}" for x in rng.integers(0, 40, 60)] + base[:30]
+        for _ in range(int(rng.integers(0, 5))):
+            copy[int(rng.integers(len(copy)))] = f"e{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = sorted(ngram_join.jaccard_classes(df, n, percent).collect())
+    assert max(r.n_links for r in want) > 20
+    for name, value in (("BLOCK_ROWS", 7), ("HOT_ROWS", 2), ("HOT_KEYS", 10**6), ("FILTER_IDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(ngram_join.jaccard_classes(df, n, percent).collect()) == want
+    assert sorted(r[:4] for r in want) == sorted(tuple(r) for r in ngram_join.jaccard_classes(df, n, percent, counted=False).select(*want[0].__fields__[:4]).collect())
+
+
+def test_equal_texts_are_no_one_group(spark):
+    """Copies of one text are dealt over the buckets of the first block, and all link."""
+    df = spark.range(200_000).selectExpr("id AS doc_id", "if(id % 1000 = 0, concat('own text of ', id, ' a b c d'), 'a b c d e f g') AS text").repartition(4)
+    got = {(r.class_id == 1, r.n_links, r["count"]) for r in ngram_join.jaccard_classes(df).where("doc_id % 1000 <> 0").groupBy("class_id", "n_links").count().collect()}
+    assert got == {(True, 199_799, 199_800)}
+    rows = ngram_join.first_block(df.select("doc_id", "text"), 4, 85, 50).where("n_shingles is not null")
+    assert rows.count() == 200_000
+
+
 def test_prefix_bounds():
     assert ngram_join.prefix_length(100, 85) == 16 and ngram_join.prefix_length(1, 85) == 1
 
