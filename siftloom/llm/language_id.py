@@ -3,35 +3,39 @@
 Each language has a probability for each piece of a fixed public vocabulary,
 learned by expectation maximisation. A word's probability is the sum over all
 ways to cut it into pieces, by the forward algorithm; a text's is the product
-over its words.
+over its words. Words of any length are summed over whole: sums of long ones are
+scaled as they shrink.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.llm.common import cut, fold, small_batches
 
-#: Documents of a language that a fit reads at most, the least hashes of their ids, and the languages, the most frequent.
-PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
+#: Documents of a language that a fit reads at most, the least hashes of their ids; the one bound of the fit.
+PER_LANGUAGE = 1500
 ROUNDS, PARTS = 2, 8
-#: Letters of a word that are summed over together; longer words are cut there.
-SPAN = 24
-#: Longest piece that is looked up, and the probability of a letter that is no piece.
-LONGEST, UNKNOWN = 12, 1e-7
+#: Languages whose counts one job gathers, and whose probabilities one reading of the texts uses: at most 70 MB with 32 000 pieces.
+LEARNED_AT_ONCE, SCORED_AT_ONCE = 64, 512
+#: Words up to this length need no scaling: sums of that many unknown letters are far above the least double.
+SHORT = 32
+#: Probability of a letter that is no piece.
+UNKNOWN = 1e-7
 #: Weight, in pieces, of the mean of all languages that smooths each one.
 SMOOTH = 200.0
-#: Words whose probabilities a worker keeps.
-KEPT_WORDS = 200_000
+#: Words whose probabilities a worker keeps, and numbers that they have together.
+KEPT_WORDS, KEPT_NUMBERS = 200_000, 8_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -52,25 +56,21 @@ def vocabulary(path: str) -> tuple[str, ...]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return tuple(dict.fromkeys(p.lower() for p in pieces if 0 < len(p) <= LONGEST))
-
-
-def spans(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked] if len(marked) <= SPAN else [marked[i : i + SPAN] for i in range(0, len(marked), SPAN)]
+    return tuple(dict.fromkeys(p.lower() for p in pieces if p))
 
 
 class Lattice:
-    """All segmentations of many words at once."""
+    """All segmentations of many words at once; a word starts with ``▁``."""
 
     def __init__(self, pieces: Sequence[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.ids
         self.none, self.unknown = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
 
     def table(self, words: Sequence[str], n: int) -> np.ndarray:
         """For words of n letters: the id of the piece from i of length k + 1, as (words, n, k)."""
-        get, longest = self.starts.get, min(LONGEST, n)
+        get, longest = self.starts.get, min(self.longest, n)
         out = np.full((len(words), n, longest), self.none, dtype=np.int32)
         out[:, :, 0] = self.unknown
         places, found, at = [], [], 0
@@ -88,71 +88,92 @@ class Lattice:
         return out
 
     def forward(self, table: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Sums of all segmentations of each prefix: (words, n + 1, languages)."""
+        """The logarithm of the sum of all segmentations of each word: (words, languages).
+
+        Sums of the prefixes that a next piece may follow are held in turn.
+        """
         m, n, longest = table.shape
-        alpha = np.zeros((m, n + 1, probs.shape[1]))
-        alpha[:, 0] = 1
+        held = np.zeros((longest + 1, m, probs.shape[1]))
+        held[0] = 1
+        logs = np.zeros((m, probs.shape[1]))
         for i in range(n):
+            now = held[i % (longest + 1)]
             for k in range(min(longest, n - i)):
-                alpha[:, i + k + 1] += alpha[:, i] * probs[table[:, i, k]]
-        return alpha
-
-    def grouped(self, words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and tables of the spans of each length, a thousand at a time."""
+                held[(i + k + 1) % (longest + 1)] += now * probs[table[:, i, k]]
+            now[:] = 0
+            if n > SHORT and i % 8 == 7:
+                top = held.max(0)
+                held /= top
+                logs += np.log(top)
+        return logs + np.log(held[n % (longest + 1)])
+
+    def grouped(self, words: Sequence[str], entries: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and tables of the words of each length, some at a time."""
         by_length: dict[int, tuple[list[int], list[str]]] = {}
         for at, word in enumerate(words):
-            for s in spans(word):
-                where, texts = by_length.setdefault(len(s), ([], []))
-                where.append(at)
-                texts.append(s)
+            where, texts = by_length.setdefault(len(word) + 1, ([], []))
+            where.append(at)
+            texts.append("▁" + word)
         for n, (where, texts) in by_length.items():
-            for i in range(0, len(texts), 1000):
-                yield np.array(where[i : i + 1000]), self.table(texts[i : i + 1000], n)
+            few = max(1, min(1000, entries // n))
+            for i in range(0, len(texts), few):
+                yield np.array(where[i : i + few]), self.table(texts[i : i + few], n)
 
     def log_probabilities(self, words: Sequence[str], probs: np.ndarray) -> np.ndarray:
         """The logarithm of each word's probability in each language."""
         total = np.zeros((len(words), probs.shape[1]))
         for where, table in self.grouped(words):
-            np.add.at(total, where, np.log(self.forward(table, probs)[:, -1]))
+            total[where] = self.forward(table, probs)
         return total
 
     def expected(self, words: Sequence[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected counts of each piece in weighted words, under one language's probabilities."""
+        """Expected counts of each piece in weighted words, under one language's probabilities.
+
+        Long words are summed over by their logarithms.
+        """
         counts = np.zeros(len(probs))
+        with np.errstate(divide="ignore"):
+            logs = np.log(probs)
         for where, table in self.grouped(words):
             m, n, longest = table.shape
-            p = probs[table]
-            alpha = self.forward(table, probs[:, None])[:, :, 0]
-            beta = np.zeros((m, n + 1))
-            beta[:, n] = 1
+            short = n <= SHORT
+            p = (probs if short else logs)[table]
+            join, add, nothing, one = (np.multiply, np.add, 0.0, 1.0) if short else (np.add, np.logaddexp, -np.inf, 0.0)
+            alpha, beta = np.full((m, n + 1), nothing), np.full((m, n + 1), nothing)
+            alpha[:, 0] = beta[:, n] = one
+            for i in range(n):
+                for k in range(min(longest, n - i)):
+                    alpha[:, i + k + 1] = add(alpha[:, i + k + 1], join(alpha[:, i], p[:, i, k]))
             for i in range(n - 1, -1, -1):
                 for k in range(min(longest, n - i)):
-                    beta[:, i] += p[:, i, k] * beta[:, i + k + 1]
-            scale = weights[where] / alpha[:, n]
+                    beta[:, i] = add(beta[:, i], join(p[:, i, k], beta[:, i + k + 1]))
             for i in range(n):
                 for k in range(min(longest, n - i)):
-                    counts += np.bincount(table[:, i, k], alpha[:, i] * p[:, i, k] * beta[:, i + k + 1] * scale, minlength=len(probs))
+                    both = join(join(alpha[:, i], p[:, i, k]), beta[:, i + k + 1])
+                    share = both / alpha[:, n] if short else np.exp(both - alpha[:, n])
+                    counts += np.bincount(table[:, i, k], share * weights[where], minlength=len(probs))
         return counts
 
 
 def sample_of(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text) of the rows to learn from; written."""
     rows = docs.where("lang is not null and doc_id is not null").where(fold("doc_id") != 0)
-    named = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    named = rows.groupBy("lang").count()  # a row a language, beside which the model has a number for each piece
     keys = rows.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("hash")).join(F.broadcast(named), "lang")
     # about twice the rows that are wanted go on, so a frequent language is no large group
     keys = keys.where(F.col("hash") / F.lit(2.0**63) * F.col("count") < 2 * per_language)
     first = Window.partitionBy("lang").orderBy("hash", "doc_id")
     chosen = keys.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id").distinct()
-    # per_language * MAX_LANGUAGES ids at most
+    # per_language ids a language at most
     return cut(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").repartition(PARTS), "sample")
 
 
 def learn(docs: DataFrame, pieces: Sequence[str], per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """The languages in order and the probabilities (pieces and two more, languages).
+    """Every language, in order, and the probabilities (pieces and two more, languages).
 
-    Each round is a job over the sample whose tasks send expected counts of
-    pieces; a fixed vocabulary and at most MAX_LANGUAGES languages bound them.
+    Each round is a job, for LEARNED_AT_ONCE languages at a time, over the
+    sample, whose tasks send expected counts of pieces. The driver holds two
+    numbers for each piece and language: half a megabyte a language.
     """
     sample = sample_of(docs.select("doc_id", "lang", "text"), per_language)
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
@@ -161,28 +182,38 @@ def learn(docs: DataFrame, pieces: Sequence[str], per_language: int = PER_LANGUA
     probs[:size] = 1 / max(size, 1)
     probs[-1] = UNKNOWN
     for _ in range(ROUNDS):
-        now = probs
-
-        def count(frames: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            lattice = Lattice(pieces)
-            words: dict[str, Counter] = {}
-            for frame in frames:
-                for lang, text in zip(frame["lang"], frame["text"], strict=True):
-                    words.setdefault(lang, Counter()).update(words_of(text))
-            for lang, counter in words.items():
-                n = lattice.expected(list(counter), np.fromiter(counter.values(), float, len(counter)), now[:, langs.index(lang)])[:size]
-                at = np.flatnonzero(n > 1e-9)
-                yield pd.DataFrame({"lang": lang, "piece": at, "n": n[at]})
-
-        rows = sample.mapInPandas(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros((size, len(langs)))
-        counts[rows["piece"].to_numpy(dtype=np.int64), [langs.index(x) for x in rows["lang"]]] = rows["n"].to_numpy()
+        for at in range(0, len(langs), LEARNED_AT_ONCE):
+            some = langs[at : at + LEARNED_AT_ONCE]
+            now = sample.sparkSession.sparkContext.broadcast((pieces, {x: i for i, x in enumerate(some)}, probs[:, at : at + LEARNED_AT_ONCE]))
+            rows = sample.where(F.col("lang").isin(some)) if len(langs) > LEARNED_AT_ONCE else sample
+            rows = rows.mapInPandas(counter_of(now), "at int, piece int, n double").groupBy("at", "piece").agg(F.sum("n").alias("n")).toPandas()
+            counts[rows["piece"].to_numpy(dtype=np.int64), at + rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+            now.unpersist()
         mean = (counts / np.maximum(counts.sum(0), 1)).mean(1) if len(langs) else np.zeros(size)
         mean = (mean + 0.05 / size) / 1.05
         probs = np.vstack([(counts + SMOOTH * mean[:, None]) / (counts.sum(0) + SMOOTH), np.zeros((1, len(langs))), np.full((1, len(langs)), UNKNOWN)])
     return langs, probs
 
 
+def counter_of(now: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What counts a task's pieces (language's place, piece, n) under the probabilities so far."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, places, probs = now.value
+        lattice = Lattice(pieces)
+        words: dict[str, Counter] = {}
+        for frame in frames:
+            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+                words.setdefault(lang, Counter()).update(words_of(text))
+        for lang, counter in words.items():
+            n = lattice.expected(list(counter), np.fromiter(counter.values(), float, len(counter)), probs[:, places[lang]])[: len(pieces)]
+            at = np.flatnonzero(n > 1e-9)
+            yield pd.DataFrame({"at": places[lang], "piece": at, "n": n[at]})
+
+    return count
+
+
 class Scorer:
     """A worker's model with the probabilities of the words it met last."""
 
@@ -192,7 +223,7 @@ class Scorer:
         self.logs = np.zeros((1024, probs.shape[1]))
 
     def learn_words(self, texts: Sequence[Sequence[str]]) -> None:
-        if len(self.rows) > KEPT_WORDS:
+        if len(self.rows) > min(KEPT_WORDS, KEPT_NUMBERS // max(self.probs.shape[1], 1)):
             self.rows.clear()
         new = list(set().union(*texts) - self.rows.keys())
         if new:
@@ -204,44 +235,62 @@ class Scorer:
             self.logs[at : at + len(new)] = self.lattice.log_probabilities(new, self.probs)
             self.rows.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def posteriors(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
-        """The share of each language, all alike beforehand, for each text's words."""
+    def log_likelihoods(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
+        """The logarithm of the probability of each text's words in each language."""
         self.learn_words(texts)
         get = self.rows.__getitem__
-        logs = np.stack([self.logs[list(map(get, words))].sum(0) for words in texts])
-        shares = np.exp(logs - logs.max(1, keepdims=True))
-        return shares / shares.sum(1, keepdims=True)
+        return np.stack([self.logs[list(map(get, words))].sum(0) for words in texts])
 
 
 def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learns from text and non-null language of rows whose crc32(id as text)
-    mod 5 is not 0. ``score`` is the predicted language's posterior share; of
-    equal ones the first by name is predicted. A null text, one without a
-    letter, and every text where nothing was learned: ``und`` with score 0.
+    mod 5 is not 0. ``score`` is the predicted language's posterior share, all
+    alike beforehand; of equal ones the first by name is predicted. A null text,
+    one without a letter, and every text where nothing was learned: ``und`` with
+    score 0. Where more than SCORED_AT_ONCE languages are known, the texts are read
+    once for each so many, and the best so far goes along with them.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     pieces = vocabulary(model_path)
     langs, probs = learn(rows, pieces, per_language)
-    model = spark.sparkContext.broadcast((pieces, probs))  # vocabulary times languages, both bounded
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.select("doc_id", "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("total"))
+    for at in range(0, len(langs), SCORED_AT_ONCE):
+        last = at + SCORED_AT_ONCE >= len(langs)
+        model = spark.sparkContext.broadcast((pieces, langs[at : at + SCORED_AT_ONCE], probs[:, at : at + SCORED_AT_ONCE].astype(np.float32)))
+        out = out.mapInArrow(scorer_of(model, not last), f"doc_id {kind}, {'' if last else 'text string, '}lang_pred string, top double, total double")
+        out = out if last else cut(out, "languages")
+    score = F.coalesce(F.exp(F.col("top") - F.col("total")), F.lit(0.0))
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def scorer_of(model: Broadcast, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What holds texts against some languages: the best of these and those before, its logarithm, and that of all their sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        pieces, langs, probs = model.value
+        scorer = Scorer(pieces, probs.astype(np.float64))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                names, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                names, tops, totals = (part.column(c).to_pylist() for c in ("lang_pred", "top", "total"))
                 words = [words_of(t) for t in part.column("text").to_pylist()]
-                told = [i for i, w in enumerate(words) if langs and w and has_letter(w)]
+                told = [i for i, w in enumerate(words) if w and has_letter(w)]
                 if told:
-                    shares = scorer.posteriors([words[i] for i in told])
-                    for i, best, share in zip(told, shares.argmax(1).tolist(), shares.max(1).tolist(), strict=True):
-                        names[i], scores[i] = langs[best], share
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    texts = rows.select("doc_id", "text")
-    out = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+                    logs = scorer.log_likelihoods([words[i] for i in told])
+                    best, top = logs.argmax(1), logs.max(1)
+                    total = top + np.log(np.exp(logs - top[:, None]).sum(1))
+                    for i, b, t, s in zip(told, best.tolist(), top.tolist(), total.tolist(), strict=True):
+                        if tops[i] is None or t > tops[i]:
+                            names[i], tops[i] = langs[b], t
+                        totals[i] = s if totals[i] is None else float(np.logaddexp(totals[i], s))
+                columns = {"doc_id": part.column("doc_id"), "text": part.column("text"), "lang_pred": pa.array(names, pa.string()), "top": pa.array(tops, pa.float64()), "total": pa.array(totals, pa.float64())}
+                if not with_text:
+                    del columns["text"]
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
