@@ -1,6 +1,6 @@
 """Quality classifier: ridge regression on random Fourier features, calibrated by isotonic regression.
 
-Statistics of each whole text are read once and written. Cosines of random
+Statistics of each whole text are the inputs. Cosines of random
 projections of the standardised statistics approximate a Gaussian kernel. Each
 partition of the labelled sample sums its normal equations; the driver adds the
 few sums and solves. Scores of labelled rows outside the fit, in a histogram,
@@ -10,7 +10,7 @@ give the isotonic curve from raw scores to shares of good documents.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import log1p
 
@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftloom.llm.common import cut, fold, small_batches
 
@@ -30,6 +31,8 @@ FEATURES, WIDTH, RIDGE, SEED = 256, 4.0, 1e-3, 20
 PARTS = 8
 #: Bins of the raw scores under the isotonic curve.
 BINS = 400
+#: The score from which a document is predicted good.
+THRESHOLD = 0.3
 
 NAMES = ("log_words", "log_bytes", "word_bytes", "symbols", "exclaims", "capitals", "digits", "pipes", "high_bytes", "stops", "distinct", "doubled", "most_frequent", "line_words", "repeated_lines", "long_words")
 _UPPER = bytes(range(65, 91))
@@ -70,18 +73,22 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
     )
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array ``stats`` for each row of ``docs``."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _statistics_of(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.float32).reshape(-1, len(NAMES))
+
+
+def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with the array ``stats`` in place of the text."""
+    small_batches(rows.sparkSession)
+    kept = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.array([statistics(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.float32).ravel()
+            flat = _statistics_of(batch.column(text_col)).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(NAMES), pa.int32()), pa.array(flat, pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), lists], [*kept, "stats"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, stats array<float>")
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, T.StructField("stats", T.ArrayType(T.FloatType()))]))
 
 
 @dataclass
@@ -175,10 +182,45 @@ def fit(sample: DataFrame) -> Model:
     return model
 
 
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
+    """The model of the labelled rows whose crc32(id as text) mod 5 is not 0.
+
+    Those with 1 give the isotonic curve, the rest the ridge fit; at most
+    ``max_labelled`` of them. Null labels and ids teach nothing; several labels of
+    an id count as their mean. Statistics are read of the labelled texts alone.
+    """
+    taught = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null and not isnan(y)")
+    taught = taught.where(fold("doc_id") != 0).groupBy("doc_id").agg(F.avg("y").alias("y"))
+    taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # max_labelled rows of 16 bytes
+    rows = rows.join(F.broadcast(taught), "doc_id").select("text", "y", (fold("doc_id") == 1).alias("for_curve"))
+    return fit(with_statistics(rows))
+
+
+def with_scores(rows: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` (all without it) of the rows with the score of each row's own text; no shuffle.
+
+    Raises ValueError if a kept column has the score's name.
+    """
+    small_batches(rows.sparkSession)
+    kept = list(rows.columns if keep is None else keep)
+    if score_col in kept:
+        raise ValueError(f"there is a column {score_col}")
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.clip(shared.value.score(_statistics_of(batch.column(text_col)).astype(np.float64)), 0, 1)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(scores, pa.float64())], [*kept, score_col])
+
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
-    threshold: float = 0.3,
+    threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
@@ -186,25 +228,11 @@ def score_quality(
 ) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= threshold).
 
-    Learns from labelled rows whose crc32(id as text) mod 5 is not 0; of those
-    with 1 the isotonic curve, from the rest the ridge fit; at most
-    ``max_labelled`` of them. Null labels and ids teach nothing; several labels of an
-    id count as their mean. Only statistics of the text are inputs. Null and
-    empty texts are scored by their (empty) statistics. Without labels every
+    Learns as :func:`learned` does. Only statistics of the text are inputs. Null
+    and empty texts are scored by their (empty) statistics. Without labels every
     score is 0.5.
     """
-    stats = cut(document_statistics(docs, id_col, text_col), "statistics")
-    taught = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null and not isnan(y)")
-    taught = taught.where(fold("doc_id") != 0).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    # max_labelled rows of 16 bytes
-    sample = stats.join(F.broadcast(taught), "doc_id").select("stats", "y", (fold("doc_id") == 1).alias("for_curve"))
-    model = fit(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("stats").flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(model.score(x), 0, 1), pa.float64())], ["doc_id", "score"])
-
-    scored = stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    model = learned(docs, labels, id_col, text_col, label_col, max_labelled)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scored = with_scores(rows, model, keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
