@@ -2,9 +2,11 @@
 
 ``media_archive`` is a Spark data source over a folder of zip archives with
 stored (already compressed) members. Each writing task makes one archive in the
-shared folder; a manifest written on commit names those that count. Reading
-plans partitions by byte range, streams payload batches through Arrow and tries
-each member again by its own offset where a read fails.
+shared folder and beside it an index of its members' offsets; a manifest written
+on commit names those that count and where in the index each byte range begins.
+Reading plans partitions by byte range, of which each reads its own lines of the
+index only, streams payload batches through Arrow and tries each member again by
+its own offset where a read fails.
 """
 
 from __future__ import annotations
@@ -33,10 +35,11 @@ from siftloom.session import ship
 #: Samples of a row of an image; payloads are padded to a multiple of it.
 WIDTH = 64
 LEVEL = 6
-SPLIT_BYTES = 16 << 20
+#: Bytes of an archive that a reading task takes, and of the ranges that the manifest tells, of which it takes several.
+SPLIT_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
 BATCH_BYTES, BATCH_MEMBERS = 4 << 20, 256
 ATTEMPTS = 3
-MANIFEST = "_manifest.json"
+MANIFEST, INDEX = "_manifest.json", ".index"
 SCHEMA = "member string, archive string, offset bigint, payload binary, error string"
 
 
@@ -102,22 +105,32 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Range(InputPartition):
-    """Members of an archive whose headers start in [start, end)."""
+    """Members of an archive that bytes [start, end) of its index name."""
 
     archive: str
     start: int
     end: int
 
 
+@dataclass
+class Member:
+    """Where an archive holds a member, with the sum of its bytes."""
+
+    name: str
+    offset: int
+    size: int
+    crc: int
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archive: str | None
-    size: int
     members: int
+    ranges: list[tuple[int, int]]
 
 
 class MediaArchive(DataSource):
-    """Options: path; splitbytes, the length of a byte range."""
+    """Options: path; splitbytes, what a reading task takes; rangebytes, at which a writer tells where its index stands."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,7 +143,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], schema.fieldNames())
+        return ArchiveWriter(self.options["path"], schema.fieldNames(), int(self.options.get("rangebytes", RANGE_BYTES)))
 
 
 class ArchiveReader(DataSourceReader):
@@ -141,7 +154,13 @@ class ArchiveReader(DataSourceReader):
         files, root = _open(self.path)
         with files.open_input_file(f"{root}/{MANIFEST}") as f:
             archives = json.loads(f.read())
-        return [Range(f"{self.path}/{a['archive']}", at, min(at + self.split, a["size"])) for a in archives for at in range(0, a["size"], self.split)] or [Range("", 0, 0)]
+        found: list[InputPartition] = []
+        for a in archives:
+            # ranges are [offset in the archive, offset in the index], the last one the ends
+            starts, last = a["ranges"][:-1], a["ranges"][-1][1]
+            taken = [i for i, (at, _) in enumerate(starts) if not i or at // self.split > starts[i - 1][0] // self.split]
+            found += [Range(f"{self.path}/{a['archive']}", starts[i][1], starts[j][1] if j is not None else last) for i, j in zip(taken, [*taken[1:], None], strict=True)]
+        return found or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
@@ -149,14 +168,13 @@ class ArchiveReader(DataSourceReader):
         rows: list[tuple] = []
         size = 0
         with Archive(partition.archive) as archive:
-            for info in archive.members():
-                if partition.start <= info.header_offset < partition.end:
-                    payload, error = archive.member(info)
-                    rows.append((info.filename, partition.archive, info.header_offset, payload, error))
-                    size += len(payload or b"")
-                    if size >= BATCH_BYTES or len(rows) >= BATCH_MEMBERS:
-                        yield self._batch(rows)
-                        rows, size = [], 0
+            for member in archive.members(partition.start, partition.end):
+                payload, error = archive.member(member)
+                rows.append((member.name, partition.archive, member.offset, payload, error))
+                size += len(payload or b"")
+                if size >= BATCH_BYTES or len(rows) >= BATCH_MEMBERS:
+                    yield self._batch(rows)
+                    rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -185,16 +203,18 @@ class Archive:
             self.file = self.files.open_input_file(self.path)
         return self.file
 
-    def members(self) -> list[zipfile.ZipInfo]:
-        with zipfile.ZipFile(self.opened()) as z:
-            return z.infolist()
+    def members(self, start: int, end: int) -> list[Member]:
+        """The members that bytes [start, end) of the index name."""
+        with self.files.open_input_file(self.path + INDEX) as f:
+            f.seek(start)
+            return [Member(*json.loads(line)) for line in f.read(end - start).splitlines()]
 
-    def member(self, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    def member(self, told: Member) -> tuple[bytes | None, str | None]:
         """The member's bytes, or null and what went wrong at the last attempt."""
         error = ""
         for attempt in range(ATTEMPTS):
             try:
-                return self._read(info), None
+                return self._read(told), None
             except (OSError, ValueError, struct.error) as e:
                 error = f"{type(e).__name__}: {e}"
                 if self.file is not None:
@@ -202,45 +222,53 @@ class Archive:
                 time.sleep(0.05 * attempt)
         return None, error
 
-    def _read(self, info: zipfile.ZipInfo) -> bytes:
+    def _read(self, told: Member) -> bytes:
         file = self.opened()
-        file.seek(info.header_offset)
+        file.seek(told.offset)
         head = file.read(30)
         name, extra = struct.unpack_from("<HH", head, 26)
-        file.seek(info.header_offset + 30 + name + extra)
-        data = file.read(info.compress_size)
-        if head[:4] != b"PK\3\4" or len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
-            raise ValueError(f"damaged member at {info.header_offset}")
+        file.seek(told.offset + 30 + name + extra)
+        data = file.read(told.size)
+        if head[:4] != b"PK\3\4" or len(data) != told.size or zlib.crc32(data) != told.crc:
+            raise ValueError(f"damaged member at {told.offset}")
         return data
 
 
 class ArchiveWriter(DataSourceArrowWriter):
     """Takes the columns member and payload."""
 
-    def __init__(self, path: str, names: list[str]):
+    def __init__(self, path: str, names: list[str], step: int):
         if not {"member", "payload"} <= set(names):
             raise ValueError("media_archive takes the columns member and payload")
-        self.path = path.rstrip("/")
+        self.path, self.step = path.rstrip("/"), step
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        name, members = f"{uuid.uuid4().hex}.zip", 0
-        with files.open_output_stream(f"{root}/{name}") as out:
+        name, members, at = f"{uuid.uuid4().hex}.zip", 0, 0
+        ranges: list[tuple[int, int]] = []
+        with files.open_output_stream(f"{root}/{name}") as out, files.open_output_stream(f"{root}/{name}{INDEX}") as index:
             with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
                 for batch in iterator:
                     for member, payload in zip(batch.column("member").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                        z.writestr(zipfile.ZipInfo(member), payload)
+                        info = zipfile.ZipInfo(member)
+                        z.writestr(info, payload)
+                        if not ranges or info.header_offset // self.step > ranges[-1][0] // self.step:
+                            ranges.append((info.header_offset, at))
+                        line = json.dumps([member, info.header_offset, info.compress_size, info.CRC]).encode() + b"\n"
+                        index.write(line)
+                        at += len(line)
                         members += 1
-            size = out.tell()
+            ranges.append((out.tell(), at))
         if not members:
             files.delete_file(f"{root}/{name}")
-        return Written(name if members else None, size, members)
+            files.delete_file(f"{root}/{name}{INDEX}")
+        return Written(name if members else None, members, ranges)
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        told = [{"archive": m.archive, "size": m.size, "members": m.members} for m in messages if m is not None and m.archive]
+        told = [{"archive": m.archive, "members": m.members, "ranges": m.ranges} for m in messages if m is not None and m.archive]
         with files.open_output_stream(f"{root}/{MANIFEST}") as f:
             f.write(json.dumps(told).encode())
 
@@ -249,12 +277,13 @@ class ArchiveWriter(DataSourceArrowWriter):
         for m in messages:
             if m is not None and m.archive:
                 files.delete_file(f"{root}/{m.archive}")
+                files.delete_file(f"{root}/{m.archive}{INDEX}")
 
 
 # -- operators ------------------------------------------------------------
 
 
-def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> None:
     """Write each whole text (null: empty) as an image into archives under ``path``; members are named by number and id."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -271,7 +300,7 @@ def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             media = [to_png(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], ["member", "payload"])
 
-    rows.mapInArrow(run, "member string, payload binary").write.format("media_archive").mode("append").save(path)
+    rows.mapInArrow(run, "member string, payload binary").write.format("media_archive").option("rangebytes", range_bytes).mode("append").save(path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -289,7 +318,8 @@ def media_features(media: DataFrame, id_type: str = "bigint") -> DataFrame:
         for batch in batches:
             found: list[tuple] = []
             for member, stored, error in zip(*(batch.column(c).to_pylist() for c in ("member", "payload", "error")), strict=True):
-                doc_id = member.partition("/")[2].removesuffix(".png") or None
+                named = member.partition("/")[2]
+                doc_id = named.removesuffix(".png") if named else None
                 try:
                     if stored is None:
                         raise ValueError(error)
