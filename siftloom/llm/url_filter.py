@@ -103,6 +103,25 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def passes(key: Column) -> Column:
+    """Whether the words w0..w3 of a key's block have all of its bits; null where there is no block."""
+    return reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(key))))
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among the written ids ``gone``; null ids stay.
+
+    Rows that the filter of the ids stops stay where they are; only possible
+    hits are shuffled to an exact anti-join.
+    """
+    n_blocks = blocks_for(gone.count())
+    bloom = F.broadcast(bloom_blocks(gone, id_col, n_blocks))
+    told = rows.withColumn("_block", _block(F.col(id_col), n_blocks)).join(bloom.withColumnRenamed("block", "_block"), "_block", "left")
+    hit = F.coalesce(passes(F.col(id_col)), F.lit(False)) & F.col(id_col).isNotNull()
+    clear, doubtful = told.where(~hit).select(*rows.columns), told.where(hit).select(*rows.columns)
+    return clear.unionByName(doubtful.join(gone.select(id_col), id_col, "left_anti").select(*rows.columns))
+
+
 def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "key") -> DataFrame:
     """The distinct values of ``url_col`` that the list holds under one of their keys.
 
@@ -117,10 +136,8 @@ def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed
     bloom = F.broadcast(bloom_blocks(keys, "key", n_blocks))
     asked = urls.select(F.col(url_col).alias("url")).where(F.col("url").contains("://"))
     asked = asked.select("url", F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url")))).alias("key"))
-    masks = {f"m{i}": m for i, m in enumerate(_masks(F.col("key")))}
-    tested = asked.withColumn("block", _block(F.col("key"), n_blocks)).withColumns(masks).join(bloom, "block")
-    passes = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
-    return tested.where(passes).select("url", "key").join(keys.hint("shuffle_hash"), "key", "left_semi").select("url").distinct()
+    tested = asked.withColumn("block", _block(F.col("key"), n_blocks)).join(bloom, "block")
+    return tested.where(passes(F.col("key"))).select("url", "key").join(keys.hint("shuffle_hash"), "key", "left_semi").select("url").distinct()
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", listed_col: str = "key") -> DataFrame:
@@ -128,13 +145,16 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_c
 
     ``verdict`` is that of the longest fitting rule; where none fits, ``block``
     if the list holds the URL, else ``allow``. A null URL, or one without
-    ``://``, has an empty host and path, is never listed and is allowed.
-    Repeated rows stay; other columns of ``pages`` are not looked at.
+    ``://``, has an empty host and path, is never listed and is allowed; ``listed``
+    is false where a rule decides. Repeated rows stay; other columns of ``pages`` are
+    not looked at. Only URLs that no rule decides are joined with the list's, which
+    are written, so that Spark can split the rows of a very frequent URL.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    hits = listed_urls(rows.where("fit is null"), listed, "url", listed_col).withColumn("listed", F.lit(True))
-    judged = rows.join(hits, "url", "left")
+    open_ = F.col("fit").isNull() & F.coalesce(F.col("url").contains("://"), F.lit(False))
+    hits = cut(listed_urls(rows.where(open_), listed, "url", listed_col), "hits").withColumn("listed", F.lit(True))
+    judged = rows.where(open_).join(hits, "url", "left").unionByName(rows.where(~open_), allowMissingColumns=True)
     return judged.select(
         "page_id",
         "host",
