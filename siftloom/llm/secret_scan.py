@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from siftloom.llm.common import cut
 
 MASK = "[REDACTED]"
+#: Code points that mark where a candidate begins and ends.
+MARKS = "\ufdd0\ufdd1"
+#: Lengths that are summed at once.
+SUMMED = 256
 #: Characters before and after a candidate that are looked at.
 AROUND = 48
 TREES, DEPTH, SEED, THRESHOLD = 16, 6, 7, 0.5
@@ -64,7 +68,10 @@ DICTIONARY = (
 ).split()
 #: A secret-like name and what joins it to its value, right before a candidate.
 VALUED = rf"({_NAME}[A-Za-z0-9_.-]{{0,24}}[\x22\x27\]]{{0,2}}\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}[\x22\x27]?|(?i)bearer\s+|basic\s+)$"
-CHECKED_PATH = r"(?i)(^|[/_.-])(test|tests|spec|mock|mocks|example|examples|sample|samples|fixture|fixtures|docs?)([/_.-]|$)"
+CHECKED_PATH = r"(?i)(^|[ /_.-])(test|tests|spec|mock|mocks|example|examples|sample|samples|fixture|fixtures|docs?)([/_.-]|$)"
+
+#: The last path before a candidate, as compilers and diffs name files.
+NAMED_PATH = r"([A-Za-z0-9_.-]*/[A-Za-z0-9_./-]*)[^/]*$"
 
 #: Parts of the long words of several languages.
 SYLLABLES = ("th", "er", "ung", "tion", "keit", "sch", "en", "lich", "ment", "eur", "que", "ent", "ing", "hers", "ein", "ver", "ge", "aus", "con", "por", "ado", "mente", "st", "ie", "zu", "on", "ou", "an", "rat", "her", "tz", "ell")
@@ -103,7 +110,7 @@ def _features(c: str, before: str, after: str, path: str) -> str:
         "dictionary": f"(length({c}) - length(regexp_replace(lower({c}), {_raw(words)}, ''))) / length({c})",
         "slashes": f"double(length({c}) - length(replace({c}, '/', '')))",
         "in_address": flag(f"{before} rlike {_raw(r'(https?://|www[.]|/)[^ ]*$')}"),
-        "checked_path": flag(f"{path} rlike {_raw(CHECKED_PATH)}"),
+        "checked_path": flag(f"concat({path}, ' ', regexp_extract({before}, {_raw(NAMED_PATH)}, 1)) rlike {_raw(CHECKED_PATH)}"),
         "secret_words": flag(f"{before} rlike {_raw(SECRET_WORDS)}"),
         "assigned": flag(f"{before} rlike {_raw(r'[=:][ ]?[' + chr(34) + r'\x27]?$')}"),
         "other_words": flag(f"concat({before}, regexp_extract({c}, '^[a-z0-9]+[-_:]', 0)) rlike {_raw(OTHER_WORDS)}"),
@@ -126,26 +133,34 @@ def with_candidates(rows: DataFrame, text: str = "text", path: str = "path") ->
 
     Offsets count characters from 0. The candidates are marked once by two
     code points that no text may hold (those in the text become U+FFFD, so
-    offsets stay), and cut apart there.
+    offsets stay), and cut apart there. What stands before a candidate is looked at
+    as far as the candidate before the last, what stands behind it as far as the next;
+    the work grows with the text and not with it times its candidates. ``_parts``
+    stays for :func:`redacted`.
     """
-    first, last = "﷐", "﷑"
+    first, last = MARKS
     marked = F.when(F.col(text).rlike(CANDIDATE), F.regexp_replace(F.translate(text, first + last, "��"), f"({CANDIDATE})", f"{first}$1{last}"))
     rows = rows.withColumn("_parts", F.when(marked.isNotNull(), F.split(marked, first)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_values", F.expr(f"transform(slice(_parts, 2, greatest(size(_parts) - 1, 0)), p -> substring_index(p, '{last}', 1))"))
     rows = rows.withColumn("_lengths", F.expr("transform(_parts, (p, i) -> if(i = 0, length(p), length(p) - 1))"))
-    rows = rows.withColumn("_starts", F.expr("transform(_values, (v, i) -> aggregate(slice(_lengths, 1, i + 1), 0, (a, x) -> a + x))"))
+    # the sums of the lengths before each candidate, by whole blocks and what is over
+    rows = rows.withColumn("_blocks", F.expr(f"if(size(_parts) = 0, array(), transform(sequence(0, (size(_parts) - 1) div {SUMMED}), b -> aggregate(slice(_lengths, b * {SUMMED} + 1, {SUMMED}), 0, (a, x) -> a + x)))"))
+    rows = rows.withColumn("_above", F.expr("transform(_blocks, (x, b) -> aggregate(slice(_blocks, 1, b), 0, (a, x) -> a + x))"))
+    rows = rows.withColumn(
+        "_starts", F.expr(f"transform(_values, (v, i) -> aggregate(slice(_lengths, ((i + 1) div {SUMMED}) * {SUMMED} + 1, (i + 1) % {SUMMED}), if((i + 1) div {SUMMED} < size(_above), _above[(i + 1) div {SUMMED}], 0), (a, x) -> a + x))")
+    )
     pieces = (
         "transform(_values, (v, i) -> named_struct('start', _starts[i], 'stop', _starts[i] + length(v), 'value', v, "
-        f"'before', substring({text}, greatest(_starts[i] - {AROUND}, 0) + 1, least(_starts[i], {AROUND})), 'after', substring({text}, _starts[i] + length(v) + 1, {AROUND})))"
+        f"'before', right(translate(concat(if(i = 0, '', _parts[greatest(i - 1, 0)]), _parts[i]), '{last}', ''), {AROUND}), 'after', left(substring_index(_parts[i + 1], '{last}', -1), {AROUND})))"
     )
     rows = rows.withColumn("_pieces", F.expr(pieces))
     inputs = _features("c.value", "c.before", "c.after", f"coalesce({path}, '')")
     rows = rows.withColumn("candidates", F.expr(f"transform(_pieces, c -> named_struct('start', c.start, 'stop', c.stop, 'value', c.value, 'inputs', {inputs}))"))
-    return rows.drop("_parts", "_values", "_lengths", "_starts", "_pieces")
+    return rows.drop("_values", "_lengths", "_blocks", "_above", "_starts", "_pieces")
 
 
 def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Labelled findings (text, path, label) by rule, half of them secrets: keys of known kinds in assignments and addresses against sums, ids, numbers, paths and placeholders."""
+    """Labelled findings (id, text, path, label) by rule, half of them secrets: keys of known kinds in assignments and addresses against sums, ids, numbers, paths and placeholders."""
     base = spark.range(n).selectExpr("id", "sha2(concat('a', id), 256) AS h", "sha1(concat('b', id)) AS s", "base64(unhex(sha2(concat('c', id), 256))) AS b", "md5(concat('d', id)) AS m", "int(conv(substr(md5(concat('e', id)), 1, 6), 16, 10)) AS k")
     pick = lambda key, words: "element_at(split('" + "|".join(words) + f"', '[|]'), 1 + int({key}) % {len(words)})"
     fill = ["the value of this entry", "and then they were", "please see below", "it is not for all", "in order to run it", "a note on what follows", "un mot de plus", "der erste von allen", "para todo el mundo"]
@@ -185,7 +200,9 @@ def synthetic_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f" WHEN 30 THEN concat('-----BEGIN ', {pick('k', ['CERTIFICATE', 'PUBLIC KEY', 'RSA PUBLIC KEY'])}, '-----', {pick('k / 5', [chr(10), ' '])}, b, b) ELSE concat({pick('k', ['max_tokens', 'token_count', 'tokens', 'password_length', 'auth_level', 'token', 'secret_version', 'author'])}, {join}, if(k % 5 = 0, {pick('k / 3', ['Smith', 'Anna', 'Miller', 'open', 'Jean'])}, string(k % 5000)), {close % join}) END"
     )
     path = f"if(id % 16 = 14, concat('tests/', {pick('k', DICTIONARY)}, '.py'), if(k % 3 = 0, concat('src/', {pick('k', DICTIONARY)}, '.py'), ''))"
-    return base.selectExpr(f"concat({pick('k / 13', fill)}, ' ', {value}, ' ', {pick('k / 19', fill)}) AS text", f"{path} AS path", "double(id % 16 < 8) AS label")
+    # every fourth path stands in the text, as in logs, and not beside it
+    told = f"if(k % 4 = 0 AND length({path}) > 0, concat({path}, ': '), '')"
+    return base.selectExpr("id", f"concat({pick('k / 13', fill)}, ' ', {told}, {value}, ' ', {pick('k / 19', fill)}) AS text", f"if(k % 4 = 0, '', {path}) AS path", "double(id % 16 < 8) AS label")
 
 
 def _condition(node: object, names: tuple[str, ...]) -> str:
@@ -227,8 +244,9 @@ def scan(docs: DataFrame, forest: str | None = None, id_col: str = "doc_id", tex
 
     ``findings`` are structs (start, stop, score, is_secret) in the text's order, by
     characters from 0; ``redacted`` is the text with each secret as MASK, null
-    for a null text. Texts of any length are read whole. Without a path column,
-    or for a null path, no path speaks for or against a candidate.
+    for a null text. Texts of any length are read whole. ``path_col`` may name a file or
+    a source; a path that stands right before a candidate counts as well. Without
+    either no path speaks for or against it.
     """
     forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
@@ -244,13 +262,20 @@ def found_in(rows: DataFrame, forest: str, threshold: float) -> DataFrame:
 
 
 def redacted() -> Column:
-    """The column text with the secrets among the column findings masked."""
+    """The column text with the secrets among the column findings masked, from the columns that :func:`found_in` adds.
+
+    Put together from the parts that were cut apart; a text that itself holds
+    the marks, whose parts differ from it, by offsets.
+    """
+    first, last = MARKS
+    woven = f"array_join(transform(_parts, (p, i) -> if(i = 0, p, concat(if(findings[greatest(i - 1, 0)].is_secret, '{MASK}', substring_index(p, '{last}', 1)), substring_index(p, '{last}', -1)))), '')"
     secrets = "filter(findings, x -> x.is_secret)"
     pieces = (
         f"transform(array({secrets}), s -> concat(array_join(transform(s, (x, i) -> concat(substring(text, if(i = 0, 0, s[greatest(i - 1, 0)].stop) + 1, x.start - if(i = 0, 0, s[greatest(i - 1, 0)].stop)), '{MASK}')), ''),"
         " substring(text, s[size(s) - 1].stop + 1, length(text))))[0]"
     )
-    return F.when(F.expr(f"exists(findings, x -> x.is_secret)"), F.expr(pieces)).otherwise(F.col("text"))
+    marked = F.col("text").contains(first) | F.col("text").contains(last)
+    return F.when(F.expr("exists(findings, x -> x.is_secret)"), F.when(marked, F.expr(pieces)).otherwise(F.expr(woven))).otherwise(F.col("text"))
 
 
 def redact(docs: DataFrame, forest: str | None = None, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
