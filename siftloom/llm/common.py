@@ -7,6 +7,7 @@ the six ASCII white-space characters (space and U+0009 to U+000D).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,16 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a folder under the
-    temporary directory stands in for it.
+    Where a local session has none (tests, a laptop) a folder under the
+    temporary directory stands in for it. Raises ValueError on a cluster
+    without one, whose machines share no temporary folder.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     return "file://" + os.path.join(tempfile.gettempdir(), "siftloom-checkpoints")
 
 

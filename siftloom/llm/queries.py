@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from siftloom.llm import bpe, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from siftloom.llm.common import table
 
-#: Where the public tokenizer files lie; a parameter, never copied.
-TOKENIZERS = "/opt/tokenizers"
+#: Files of public tokenizers, by name; never copied.
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 
+#: Context limits and shares that op2 answers beside the lengths themselves.
+LIMITS = (128, 256, 512, 1024, 2048, 4096, 8192, 16_384, 32_768, 65_536, 131_072)
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+
 # Fixed values of op10: the rules, and a list of canonical hosts.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -22,7 +25,10 @@ LISTED_ENDS = ("example.com", "example.net", "example.org")
 
 
 def tokenizer_path(name: str = BPE_FILE) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path())
-    return token_counts.length_histogram(lengths)
+    return token_counts.token_report(token_counts.length_histogram(lengths), LIMITS, SHARES)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), path_col="source")
     return found.select("doc_id", "n_candidates", "n_secrets", "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
@@ -107,14 +113,13 @@ base AS (
          [chars - word_chars, n_symbols, upper, digit, point, bang, word_chars - n_symbols - upper - digit - point - bang] AS classes
   FROM c LEFT JOIN covered USING (doc_id)),
 hits AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM c) WHERE word IN (%s) GROUP BY 1, 2),
-good AS (SELECT doc_id, n_words, classes, unnest([lang, '*']) AS lang FROM base WHERE NOT base_failed),
-words AS (SELECT lang, sum(n_words) AS words FROM good GROUP BY 1),
-known AS (SELECT lang, words FROM words WHERE words >= 0.001 * (SELECT words FROM words WHERE lang = '*')),
+good AS (SELECT doc_id, n_words, classes, lang FROM base WHERE NOT base_failed),
+known AS (SELECT lang, sum(n_words) AS words FROM good GROUP BY 1),
 class_sums AS (SELECT lang, i, sum(x) AS n FROM (SELECT lang, unnest(range(7)) AS i, unnest(classes) AS x FROM good) GROUP BY 1, 2),
 class_refs AS (SELECT lang, i, n::DOUBLE / sum(n) OVER (PARTITION BY lang) AS q FROM class_sums JOIN known USING (lang)),
 word_refs AS (SELECT lang, word, sum(n)::DOUBLE / any_value(words) AS q FROM hits JOIN good USING (doc_id) JOIN known USING (lang) GROUP BY 1, 2),
 other_refs AS (SELECT lang, 1 - COALESCE(sum(q), 0) AS q FROM known LEFT JOIN word_refs USING (lang) GROUP BY 1),
-own AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM known) THEN lang ELSE '*' END AS lang FROM base),
+own AS (SELECT doc_id, lang FROM base),
 char_pairs AS (
   SELECT doc_id, x::DOUBLE / chars AS p, q
   FROM (SELECT doc_id, chars, unnest(range(7)) AS i, unnest(classes) AS x FROM base) JOIN own USING (doc_id) JOIN class_refs USING (lang, i) WHERE x > 0),

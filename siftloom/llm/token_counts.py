@@ -64,22 +64,28 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     return sums.select("n_tokens", "n_docs", "docs_from", "tokens_from", "docs_below", "tokens_below", kept.alias("truncated_total"))
 
 
-def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """For each context limit: total and truncated tokens, and how many documents exceed it.
+def limit_rows(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """For each context limit: limit, docs_from, docs_below, tokens_from, tokens_below and truncated_total.
 
-    One aggregation of the histogram; an empty one gives zeros.
+    Answered by the sums of the least length that is no shorter, or, where
+    every document is shorter, by the sums of all; an empty histogram gives zeros.
     """
-    n, docs = F.col("n_tokens"), F.col("n_docs")
-    each = [
-        F.struct(
-            F.lit(int(x)).cast("long").alias("limit"),
-            F.coalesce(F.sum(n * docs), F.lit(0)).alias("total"),
-            F.coalesce(F.sum(F.least(n, F.lit(int(x))) * docs), F.lit(0)).alias("truncated_total"),
-            F.coalesce(F.sum(F.when(n > int(x), docs)), F.lit(0)).alias("docs_over"),
-        )
-        for x in limits
-    ]
-    return histogram.agg(F.array(*each).alias("each")).select(F.inline("each"))
+    told = F.struct("n_tokens", "docs_from", "docs_below", "tokens_from", "tokens_below")
+    each = [F.struct(F.lit(int(x)).cast("long").alias("limit"), F.min(F.when(F.col("n_tokens") >= int(x), told)).alias("x")) for x in limits]
+    every = [F.coalesce(F.max(F.col(f"{k}_from") + F.col(f"{k}_below")), F.lit(0)).alias(k) for k in ("docs", "tokens")]
+    rows = histogram.agg(F.array(*each).alias("each"), *every).select("docs", "tokens", F.inline("each"))
+    above = {f"{k}_from": F.coalesce(f"x.{k}_from", F.lit(0)) for k in ("docs", "tokens")}
+    below = {f"{k}_below": F.coalesce(f"x.{k}_below", k) for k in ("docs", "tokens")}
+    rows = rows.withColumns(above | below)
+    return rows.select("limit", *above, *below, (F.col("tokens_below") + F.col("docs_from") * F.col("limit")).alias("truncated_total"))
+
+
+def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """For each context limit: total and truncated tokens, and how many documents exceed it; zeros without documents."""
+    cut_at = limit_rows(histogram, limits)
+    over = limit_rows(histogram, [x + 1 for x in limits]).select((F.col("limit") - 1).alias("limit"), F.col("docs_from").alias("docs_over"))
+    total = (F.col("tokens_from") + F.col("tokens_below")).alias("total")
+    return cut_at.select("limit", total, "truncated_total").join(F.broadcast(over), "limit").select("limit", "total", "truncated_total", "docs_over")  # a row a limit
 
 
 def quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
@@ -90,3 +96,16 @@ def quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
     rows = histogram.crossJoin(F.broadcast(docs))  # one row beside the histogram
     each = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(upto >= F.lit(float(q)) * F.col("docs"), F.col("n_tokens"))).alias("n_tokens")) for q in shares]
     return rows.agg(F.array(*each).alias("each")).select(F.inline("each"))
+
+
+def token_report(histogram: DataFrame, limits: Sequence[int], shares: Sequence[float]) -> DataFrame:
+    """The histogram (kind ``length``) with rows for context limits (``limit``) and quantiles (``quantile``, with their share).
+
+    ``n_tokens`` is the length, the limit or the quantile; sums are those of the
+    histogram. Quantiles have no sums.
+    """
+    histogram = cut(histogram, "histogram")
+    at = limit_rows(histogram, limits).withColumnRenamed("limit", "n_tokens").withColumn("kind", F.lit("limit"))
+    shared = quantiles(histogram, shares).withColumn("kind", F.lit("quantile"))
+    rows = histogram.withColumn("kind", F.lit("length")).unionByName(at, allowMissingColumns=True).unionByName(shared, allowMissingColumns=True)
+    return rows.select("kind", "share", "n_tokens", "n_docs", "docs_from", "tokens_from", "docs_below", "tokens_below", "truncated_total")

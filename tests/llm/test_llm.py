@@ -1,11 +1,14 @@
 """Each operator on small hostile tables against brute force, round trips or held-out accuracy."""
 
 import hashlib
+import io
 import itertools
+import math
 import os
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -195,6 +198,13 @@ def test_token_counts(spark, docs, empty, hf):
         assert (r.docs_below, r.tokens_below, r.truncated_total) == (sum(x < n for x in lengths), sum(x for x in lengths if x < n), sum(min(x, n) for x in lengths))
     assert [tuple(r) for r in token_counts.at_limits(hist, [0, 5, 10**6]).collect()] == [(c, sum(lengths), sum(min(x, c) for x in lengths), sum(x > c for x in lengths)) for c in (0, 5, 10**6)]
     assert [r.n_tokens for r in token_counts.quantiles(hist, [0.0, 0.5, 1.0]).collect()] == [min(lengths), sorted(lengths)[-(-len(lengths) // 2) - 1], max(lengths)]
+    report = token_counts.token_report(hist, [4, 10**6], [0.5]).collect()
+    told = {r.n_tokens: r for r in report if r.kind == "limit"}
+    assert sorted(told) == [4, 10**6] and [r.n_tokens for r in report if r.kind == "quantile"] == [sorted(lengths)[-(-len(lengths) // 2) - 1]]
+    for c, r in told.items():
+        assert (r.docs_from, r.tokens_from, r.docs_below, r.tokens_below) == (sum(x >= c for x in lengths), sum(x for x in lengths if x >= c), sum(x < c for x in lengths), sum(x for x in lengths if x < c))
+        assert r.truncated_total == sum(min(x, c) for x in lengths)
+    assert sum(r.kind == "length" for r in report) == len(set(lengths))
     none = token_counts.length_histogram(token_counts.encoded_lengths(empty, BPE))
     assert none.count() == 0 and [r.n_tokens for r in token_counts.quantiles(none, [0.5]).collect()] == [None] and token_counts.at_limits(none, [5]).first().total == 0
 
@@ -254,6 +264,47 @@ def test_isotonic():
     assert quality_classifier.isotonic(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 1.0, 2.0])).tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_features_approximate_the_kernel():
+    rng = np.random.default_rng(0)
+    d, n = len(quality_classifier.NAMES), 40_000
+    omega, phase = rng.standard_normal((d, n)) / quality_classifier.WIDTH, rng.uniform(0, 2 * np.pi, n)
+    model = quality_classifier.Model(np.zeros(d), np.ones(d), omega, phase, np.zeros(n + d + 1), np.empty(0), np.empty(0))
+    x = rng.standard_normal((12, d))
+    z = model.features(x)[:, :n]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * quality_classifier.WIDTH**2))
+    assert np.abs(z @ z.T - exact).max() < 0.03
+
+
+def test_ridge_is_a_direct_solve(spark):
+    """Against least squares on all rows at once, and the isotonic curve against its definition."""
+    rng = np.random.default_rng(1)
+    d = len(quality_classifier.NAMES)
+    x = rng.standard_normal((3000, d)).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.standard_normal(3000) > 0).astype(float)
+    curve = np.arange(3000) % 4 == 0
+    df = spark.createDataFrame([([float(v) for v in a], float(b), bool(c)) for a, b, c in zip(x, y, curve, strict=True)], "stats array<float>, y double, for_curve boolean").repartition(5)
+    model = quality_classifier.fit(df)
+    a, b = model.features(x[~curve].astype(np.float64)), y[~curve]
+    penalty = quality_classifier.RIDGE * len(b) * np.array([*[1 / quality_classifier.FEATURES] * quality_classifier.FEATURES, *[1.0] * d, 1e-9])
+    direct = np.linalg.lstsq(np.vstack([a, np.diag(np.sqrt(penalty))]), np.r_[b, np.zeros(len(penalty))], rcond=None)[0]
+    assert np.abs(a @ model.weights - a @ direct).max() < 1e-4
+    assert (np.diff(model.share) >= 0).all() and np.allclose(model.mean, x.mean(0), atol=1e-5)
+    raw = model.raw_score(x[curve].astype(np.float64))
+    assert np.corrcoef(raw, y[curve])[0, 1] > 0.5
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    import corpus_pipeline as p
+
+    d = common.table(spark, SF.replace("0.001", "0.01"), "documents")
+    bad = common.table(spark, SF.replace("0.001", "0.01"), "labels").where("quality = 0").join(d, "doc_id").orderBy("doc_id").limit(3)
+    good = common.table(spark, SF.replace("0.001", "0.01"), "labels").where("quality = 1").join(d, "doc_id").orderBy("doc_id").limit(3)
+    mixed = bad.unionByName(good).select(F.lit(None).cast("long").alias("doc_id"), *p.COLUMNS[1:])
+    mixed = mixed.unionByName(mixed.withColumn("doc_id", F.lit(-5).cast("long")))
+    kept = p.quality(spark, d.unionByName(mixed), SF.replace("0.001", "0.01")).where("doc_id is null or doc_id = -5").groupBy("text").count().collect()
+    assert {(r.text, r["count"]) for r in kept} == {(r.text, 2) for r in good.collect()}
+
+
 def test_quality_classifier(spark, docs, empty):
     sf = SF.replace("0.001", "0.01")
     scored = quality_classifier.score_quality(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
@@ -282,6 +333,75 @@ def test_forward_sums_all_segmentations():
     assert (counts * [1, 1, 2, 1, 2, 0, 1]).sum() == pytest.approx(6)
 
 
+def exact_log(word, ids, p, unknown, longest):
+    """The logarithm of the sum over all segmentations, in exact fractions."""
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        told = ((i, ids.get(word[i:j], unknown if j - i == 1 else None)) for i in range(max(0, j - longest), j))
+        sums.append(sum((sums[i] * Fraction(float(p[x])) for i, x in told if x is not None), Fraction(0)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_and_pieces_are_summed_whole():
+    rng = np.random.default_rng(3)
+    pieces = ["▁", "a", "b", "ab", "ba", "abababababab" + "a", "b" * 16, "▁abababababa"]
+    lattice = language_id.Lattice(pieces)
+    probs = np.vstack([rng.dirichlet(np.ones(len(pieces)), 3).T, np.zeros((1, 3)), np.full((1, 3), 1e-7)])
+    words = ["ab" * 30, "b" * 60, "ab" * 7 + "q" + "b" * 33, "q" * 100, "a" * 31, "a" * 32, "ba" * 150]
+    got = lattice.log_probabilities(words, probs)
+    for row, w in zip(got, words, strict=True):
+        assert row == pytest.approx([exact_log("▁" + w, lattice.ids, probs[:, k], lattice.unknown, 16) for k in range(3)], rel=1e-9)
+    long = lattice.expected(["ab" * 40], np.array([1.0]), probs[:, 0])
+    lengths = np.array([*map(len, pieces), 0, 1])
+    assert long @ lengths == pytest.approx(81)  # the letters of the word, whatever the segmentation
+    assert len([p for p in language_id.vocabulary(queries.tokenizer_path(queries.PIECE_FILE)) if len(p) > 12]) > 200
+
+
+def test_language_fit_is_expectation_maximisation(spark):
+    """Against sums over all segmentations, written out."""
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a"]
+    texts = {"x": ["abc ab", "bca"], "y": ["cab bc", "a"]}
+    df = spark.createDataFrame([(10 + i, t, lang) for i, (lang, t) in enumerate((k, t) for k, v in texts.items() for t in v * 5)], "doc_id long, text string, lang string").where(common.fold("doc_id") != 0)
+    sample = {k: [r.text for r in df.where(F.col("lang") == k).collect()] for k in texts}
+
+    def cuts(word):
+        return [[]] if not word else [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in pieces for rest in cuts(word[k:])]
+
+    p = {k: dict.fromkeys(pieces, 1 / len(pieces)) for k in texts}
+    for _ in range(language_id.ROUNDS):
+        n = {k: dict.fromkeys(pieces, 0.0) for k in texts}
+        for k, told in sample.items():
+            for w in (w for t in told for w in t.split()):
+                ways = [(c, math.prod(p[k][x] for x in c)) for c in cuts("▁" + w)]
+                for c, weight in ways:
+                    for x in c:
+                        n[k][x] += weight / sum(v for _, v in ways)
+        mean = {x: (sum(n[k][x] / sum(n[k].values()) for k in texts) / len(texts) + 0.05 / len(pieces)) / 1.05 for x in pieces}
+        p = {k: {x: (n[k][x] + language_id.SMOOTH * mean[x]) / (sum(n[k].values()) + language_id.SMOOTH) for x in pieces} for k in texts}
+    langs, probs = language_id.learn(df, pieces)
+    assert langs == ["x", "y"]
+    for at, k in enumerate(langs):
+        assert probs[: len(pieces), at] == pytest.approx([p[k][x] for x in pieces], rel=1e-5)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    model = queries.tokenizer_path(queries.PIECE_FILE)
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang in range(205):
+        own = ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(8)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own, 12)), f"l{lang:03}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = df.where(common.fold("doc_id") != 0).select("lang").distinct().count()
+    one = language_id.identify(df, model).collect()
+    right = Counter(r.lang_pred == rows[r.doc_id][2] for r in one if not r.held_out)
+    assert known == 205 and right[True] > 0.99 * sum(right.values())
+    monkeypatch.setattr(language_id, "SCORED_AT_ONCE", 70)
+    monkeypatch.setattr(language_id, "LEARNED_AT_ONCE", 300)
+    parts = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    assert all(parts[r.doc_id].lang_pred == r.lang_pred and parts[r.doc_id].score == pytest.approx(r.score, abs=1e-4) for r in one)
+
+
 def test_language_id(spark, docs, empty):
     model = queries.tokenizer_path(queries.PIECE_FILE)
     d = common.table(spark, SF, "documents")
@@ -401,17 +521,49 @@ def test_media(spark, docs, empty):
 def test_damaged_members_stand_alone(spark, tmp_path):
     path = f"file://{tmp_path}/archives"
     df = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(50)], "doc_id long, text string").coalesce(1)
-    media.store_texts(df, path)
+    media.store_texts(df, path, range_bytes=500)
     file = next((tmp_path / "archives").glob("*.zip"))
     data = bytearray(file.read_bytes())
     data[60] ^= 0xFF
     file.write_bytes(data)
+    assert spark.read.format("media_archive").load(path).rdd.getNumPartitions() == 1
     split = spark.read.format("media_archive").option("splitbytes", "1000").load(path)
     rows = media.media_features(split).collect()
     assert len(rows) == 50 and sum(r.error is not None for r in rows) == 1 and split.rdd.getNumPartitions() > 3
     assert sorted(r.doc_id for r in rows) == list(range(50))
 
 
+def test_media_by_an_independent_decoder():
+    """The stored form read by a plain PNG reader written from the format's description, and the feature worked out sample by sample."""
+    for data in (b"", b"a", bytes(range(256)) * 7 + b"tail", "naïve \U0001f600".encode() * 50):
+        stored = io.BytesIO(media.to_png(data))
+        assert stored.read(8) == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+        pixels, size = b"", None
+        while head := stored.read(8):
+            n, kind = int.from_bytes(head[:4], "big"), head[4:]
+            body, crc = stored.read(n), int.from_bytes(stored.read(4), "big")
+            assert zlib.crc32(kind + body) == crc
+            if kind == b"IHDR":
+                size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), tuple(body[8:])
+            pixels += body if kind == b"IDAT" else b""
+        lines = zlib.decompress(pixels)
+        width, height, how = size
+        rows = [lines[i * (width + 1) : (i + 1) * (width + 1)] for i in range(height)]
+        assert how == (8, 0, 0, 0, 0) and len(lines) == height * (width + 1) and {r[0] for r in rows} == {0}
+        samples = b"".join(r[1:] for r in rows)
+        assert samples == media.padded(data) and samples[: len(data)] == data
+        count, mean, deviation, bits = media.features(samples).split(":")
+        middle = sum(samples) / len(samples)
+        assert int(count) == height and float(mean) == pytest.approx(middle, abs=1e-4)
+        assert float(deviation) == pytest.approx(math.sqrt(sum((x - middle) ** 2 for x in samples) / len(samples)), abs=1e-4)
+        cells = []
+        for k in range(8):
+            a = k * height // 8
+            part = rows[a : max((k + 1) * height // 8, a + 1)]
+            cells += [sum(r[1 + 8 * c + i] for r in part for i in range(8)) / (8 * len(part)) for c in range(8)]
+        assert bits == f"{int(''.join('1' if c > middle else '0' for c in cells), 2):016x}"
+
+
 def test_png_damage():
     good = media.to_png(b"abc")
     assert media.from_png(good) == (b"abc" + bytes(61), 3)
