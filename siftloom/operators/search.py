@@ -7,24 +7,37 @@ partitions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftloom.functions.text import gate_reason, gate_verdict, reuse_multiplier
+from siftloom.functions.text import BROADENED, INSUFFICIENT, KEYWORD_RETRY, LOW, STOPWORDS, claim_tokens, gate_reason, gate_verdict, reuse_multiplier, support_level
+from siftloom.operators import inrow
 
 #: Published defaults of BM25.
 K1, B = 1.2, 0.75
 ALPHA = 0.7
-#: Rows of a side that is broadcast at most; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that is broadcast at most; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 16 a column, and the lengths of texts and arrays."""
+    found = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            found = found + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            found = found + 16 * F.greatest(F.size(field.name), F.lit(0))
+    return found
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; counted, since plans over explodes cannot tell."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if it is within BROADCAST_BYTES; added up, since plans over explodes cannot tell."""
+    return F.broadcast(df) if (df.agg(F.sum(width(df))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def terms(text: str | Column) -> Column:
@@ -64,9 +77,12 @@ def top(scored: DataFrame, k: int, digits: int = 4) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Keyword search: chunks (chunk_id, document_id, content), queries (query_id, query).
 
-    Only terms that some query has leave a chunk's row; lengths and document
-    frequencies are over all chunks.
+    Lengths and document frequencies are over all chunks. Chunks are scored in
+    the task that reads them and k a query and task are shuffled; queries too
+    large for that meet the postings of their terms by shuffle.
     """
+    if inrow.fits(queries, "query"):
+        return top(inrow.bm25_rows(chunks, queries, k, K1, B), k)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
     words = chunks.select("chunk_id", "document_id", terms("content").alias("words")).withColumn("length", F.size("words"))
     whole = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
@@ -81,10 +97,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def all_terms(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Chunks that hold every term of a query, ranked by how often they hold them per word."""
+    """Chunks that hold every term of a query, ranked by how often they hold them per word; queries without a term find none."""
+    if inrow.fits(queries, "query"):
+        return top(inrow.all_terms_rows(chunks, queries, k), k)
     asked = queries.select("query_id", F.array_distinct(terms("query")).alias("wanted")).select("query_id", F.size("wanted").alias("n"), F.explode("wanted").alias("term"))
     words = chunks.select("chunk_id", "document_id", terms("content").alias("words")).withColumn("length", F.size("words"))
-    hits = words.select("chunk_id", "document_id", "length", F.explode("words").alias("term")).groupBy("chunk_id", "document_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = words.select("chunk_id", "document_id", "length", F.explode("words").alias("term")).join(sized(asked.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "document_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     met = hits.join(sized(asked), "term").groupBy("query_id", "chunk_id", "document_id", "n", "length").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf"))
     return top(met.where("terms = n").withColumn("score", F.col("tf") / F.col("length")), k).select("query_id", "chunk_id", "document_id", "score", "pos")
 
@@ -99,9 +117,14 @@ def cosine(a: Column, b: Column) -> Column:
 def vectors_topk(chunks: DataFrame, queries: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     """Exact search by cosine: chunks (chunk_id, document_id, embedding), queries (query_id, vector).
 
-    The stated queries go to every chunk in the order of scanning; each task
-    keeps k a query before the shuffle. Score is the certainty (1 + cos) / 2.
+    Blocks of chunks are multiplied with the stated queries in the task that
+    reads them, which keeps k a query; queries too large for that go to the
+    chunks by a join. Score is the certainty (1 + cos) / 2. Null vectors and those of
+    another length are left out.
     """
+    if inrow.fits(queries, "vector"):
+        return top(inrow.cosine_rows(chunks, queries, k, floor, True), k, 6)
+    chunks, queries = chunks.where("embedding is not null"), queries.where("vector is not null")
     pairs = chunks.select("chunk_id", "document_id", "embedding").join(sized(queries.select("query_id", "vector")))
     near = pairs.select("query_id", "chunk_id", "document_id", cosine(F.col("embedding"), F.col("vector")).alias("cos")).where(F.col("cos") >= floor)
     return top(near.withColumn("score", (1 + F.col("cos")) / 2), k, 6)
@@ -147,6 +170,34 @@ def merged(results: Sequence[DataFrame], limit: int) -> DataFrame:
     return every.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
+def isolated(searches: Mapping[str, Callable[[], DataFrame]], limit: int, fatal: tuple[type[Exception], ...] = ()) -> tuple[DataFrame | None, dict[str, str]]:
+    """Several workspaces' pages merged, and what went wrong in the others: one that fails takes no other with it.
+
+    Each search makes its page, of bounded size, and is worked out before they
+    are merged. Errors of the ``fatal`` kinds are raised.
+    """
+    pages, failures = [], {}
+    for workspace, search in searches.items():
+        try:
+            found = search().persist()
+            found.count()
+            pages.append(found)
+        except fatal:
+            raise
+        except Exception as e:  # noqa: BLE001  whatever it is, the other workspaces go on
+            failures[workspace] = f"{type(e).__name__}: {e}".splitlines()[0][:300]
+    return (merged(pages, limit) if pages else None), failures
+
+
+def tool_search(searches: Mapping[str, Callable[[], DataFrame]], limit: int) -> tuple[DataFrame | None, str | None]:
+    """The path of tools: workspaces one after another, no gate and no retry; a filter that makes no sense is told as a text, not raised."""
+    try:
+        page, _ = isolated(searches, limit, (ValueError,))
+    except ValueError as e:
+        return None, str(e)
+    return page, None
+
+
 def verdicts(queries: DataFrame, results: DataFrame) -> DataFrame:
     """For each query: n_results, top_score, confidence, verdict and reason."""
     met = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"), F.max("score").alias("top_score"))
@@ -156,12 +207,39 @@ def verdicts(queries: DataFrame, results: DataFrame) -> DataFrame:
     return every.select("query_id", "n_results", "top_score", confidence.alias("confidence"), gate_verdict(best, n).alias("verdict"), gate_reason(best, n).alias("reason"))
 
 
-def with_fallback(queries: DataFrame, first: DataFrame, keyword: DataFrame, wider: DataFrame) -> DataFrame:
-    """The first results, or one retry by verdict: keyword results on low confidence, the wider ones when too few. Adds ``retry``."""
+def broadened(limit: int) -> int:
+    """The limit of a retry that looks for more results."""
+    return min(2 * limit, 100)
+
+
+def with_fallback(queries: DataFrame, first: DataFrame, keyword: DataFrame | None, wider: DataFrame | None) -> DataFrame:
+    """The first results, or those of one retry where the verdict asks for it: a row for each result, with ``strategy`` (null: no retry).
+
+    keyword: the results by keyword, for low confidence; None where the search
+    already goes by keyword. wider: those without a least score and up to the
+    broadened limit, for too little evidence; None where nothing is left to
+    broaden. A retry's results replace the first ones even if there are none.
+    """
     told = verdicts(queries, first).select("query_id", "verdict")
-    pick = lambda leg, verdict, name: leg.join(told.where(F.col("verdict") == verdict).select("query_id"), "query_id", "left_semi").withColumn("retry", F.lit(name))
-    legs = [pick(first, "sufficient", None), pick(keyword, "low_confidence", "keyword"), pick(wider, "insufficient", "wider")]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), legs)
+    legs, kept = [], told
+    for leg, verdict, name in ((keyword, LOW, KEYWORD_RETRY), (wider, INSUFFICIENT, BROADENED)):
+        if leg is not None:
+            legs.append(leg.join(told.where(F.col("verdict") == verdict).select("query_id"), "query_id", "left_semi").withColumn("strategy", F.lit(name)))
+            kept = kept.where(F.col("verdict") != verdict)
+    own = first.join(kept.select("query_id"), "query_id", "left_semi").withColumn("strategy", F.lit(None).cast("string"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), legs, own)
+
+
+def final_verdicts(queries: DataFrame, first: DataFrame, keyword: DataFrame | None, wider: DataFrame | None) -> DataFrame:
+    """For each query the verdict on what :func:`with_fallback` gives, and the strategy: the retry is judged anew, but never retried."""
+    shown = with_fallback(queries, first, keyword, wider)
+    before = verdicts(queries, first)
+    retried = F.lit(None).cast("string")
+    for leg, verdict, name in ((keyword, LOW, KEYWORD_RETRY), (wider, INSUFFICIENT, BROADENED)):
+        if leg is not None:
+            retried = F.when(F.col("verdict") == verdict, name).otherwise(retried)
+    told = before.select("query_id", retried.alias("strategy"))
+    return verdicts(queries, shown).join(told, "query_id")
 
 
 def window_ranges(matches: DataFrame, k: int) -> DataFrame:
@@ -196,34 +274,51 @@ def character_page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def claims_supported(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """For each claim (claim_id, tokens) its best evidence (evidence_id, tokens) by shared tokens: claim_id, evidence_id, share, level.
+    """For each claim (claim_id, content) its best evidence (evidence_id, content) by shared claim tokens: claim_id, evidence_id, share, level.
 
-    Tokens meet by a join; a claim that shares none has null evidence and share 0.
+    Evidence is compared in the task that reads it and one row a claim and task
+    is shuffled; claims too large for that meet tokens by a join. Of equal
+    evidence the least id counts; a claim that shares no token has null evidence
+    and share 0.
     """
-    from siftloom.functions.text import support_level
-
-    flat = claims.select("claim_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    met = evidence.select("evidence_id", F.explode("tokens").alias("token")).join(sized(flat), "token").groupBy("claim_id", "n", "evidence_id").agg((F.count(F.lit(1)) / F.col("n")).alias("share"))
+    if inrow.fits(claims, "content"):
+        stop = frozenset(w.encode() for w in STOPWORDS)
+        met = inrow.shared_terms_rows(evidence, claims.select(F.col("claim_id").alias("query_id"), F.col("content").alias("query")), lambda w: len(w) >= 2 and w not in stop)
+        met = met.select(F.col("query_id").alias("claim_id"), "evidence_id", F.col("score").alias("share"))
+    else:
+        flat = claims.select("claim_id", claim_tokens("content").alias("tokens")).select("claim_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        met = evidence.select("evidence_id", F.explode(claim_tokens("content")).alias("token")).join(flat, "token").groupBy("claim_id", "n", "evidence_id").agg((F.count(F.lit(1)) / F.col("n")).alias("share"))
     order = Window.partitionBy("claim_id").orderBy(F.col("share").desc(), "evidence_id")
     best = met.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("claim_id", "evidence_id", "share")
     share = F.coalesce("share", F.lit(0.0))
     return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", "evidence_id", F.round(share, 6).alias("share"), support_level(share).alias("level"))
 
 
-def citation(fields: Sequence[str] = ("document_id", "chunk_id", "score")) -> Column:
-    return F.struct(*fields)
+#: What a citation names, as far as a result has it.
+CITED = ("document_id", "chunk_id", "chunk_index", "original_filename", "source_uri", "source_url", "content_hash", "score")
+
+
+def citation(results: DataFrame, fields: Sequence[str] = CITED) -> Column:
+    """A struct of the result's own columns that tell where it is from."""
+    return F.struct(*(c for c in fields if c in results.columns))
 
 
-def lineage(chunk_meta: str, doc_meta: str, key: str) -> Column:
-    """A key of the chunk's metadata map, else of the document's."""
-    return F.coalesce(F.try_element_at(F.col(chunk_meta), F.lit(key)), F.try_element_at(F.col(doc_meta), F.lit(key)))
+def lineage(chunk_meta: str, doc_meta: str, key: str, storage_url: Column | None = None) -> Column:
+    """A key of the chunk's metadata map, else of the document's; source_uri else the place where the document is stored."""
+    told = F.coalesce(F.try_element_at(F.col(chunk_meta), F.lit(key)), F.try_element_at(F.col(doc_meta), F.lit(key)))
+    return F.coalesce(told, storage_url) if key == "source_uri" and storage_url is not None else told
 
 
 def nearest_others(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.92) -> DataFrame:
     """For each query vector its k nearest vectors of other documents with at least ``floor``: query_id, chunk_id, document_id, cos, pos.
 
-    queries: query_id, query_document, vector.
+    queries: query_id, query_document, vector. Rows without a vector or document are left out.
     """
+    if inrow.fits(queries, "vector"):
+        near = inrow.cosine_rows(vectors, queries, k, floor, False, "query_document").withColumnRenamed("score", "cos")
+        order = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "chunk_id")
+        return near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    vectors, queries = vectors.where("embedding is not null"), queries.where("vector is not null")
     pairs = vectors.select("chunk_id", "document_id", "embedding").join(sized(queries), F.col("document_id") != F.col("query_document"))
     near = pairs.select("query_id", "chunk_id", "document_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cos")).where(F.col("cos") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "chunk_id")
