@@ -89,22 +89,48 @@ def sanitise_url(url: str | Column) -> Column:
     return F.when((F.length(u) <= 2000) & u.rlike(r"(?i)^https?://[^/?#\s]"), u)
 
 
-def risk_reasons(text: str | Column) -> Column:
-    """Sorted names of the risk patterns that the text matches."""
-    t = _c(text)
-    found = [F.when(t.rlike("(?iU)" + p), F.lit(name)) for name, p, _ in RISK_PATTERNS]
-    return F.array_sort(F.array_compact(F.array(*found)))
+#: Lower-case pieces of which a text must have one for a risk pattern to match; they spare most texts the pattern.
+RISK_ANCHORS = {
+    "ignore_previous_instructions": ("ignore",), "disregard_instructions": ("disregard",), "forget_instructions": ("forget",), "override_instructions": ("override",),
+    "system_prompt_reference": ("prompt", "system"), "role_reassignment": ("now",), "new_instructions": ("instruction",), "act_as_jailbreak": ("act", "pretend", "behave"),
+    "do_anything_now": ("anything", "dan"), "instruction_override_marker": ("###", "<"), "exfiltration_request": ("reveal", "expose", "leak", "print", "repeat"),
+}
 
 
-def risk_score(text: str | Column) -> Column:
-    t = _c(text)
-    return reduce(lambda a, b: a + b, (F.when(t.rlike("(?iU)" + p), w).otherwise(0) for _, p, w in RISK_PATTERNS))
+def risk(text: str | Column) -> Column:
+    """A struct (level, reasons): each pattern is tried once, and only where one of its anchors stands.
+
+    level: none, low (weights of the matches sum to 1 or more), medium (3) or
+    high (5); reasons: their names, sorted. A null text has none.
+    """
+    t = F.coalesce(_c(text), F.lit(""))
+    # letters that only case folding makes one of a pattern's
+    bare = t
+    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        bare = F.replace(bare, F.lit(odd), F.lit(plain))
+
+    def tried(low: Column) -> Column:
+        has = lambda name: reduce(lambda a, b: a | b, (low.contains(x) for x in RISK_ANCHORS[name]))
+        return F.array(*(F.when(has(name), t.rlike("(?iU)" + p)).otherwise(False) for name, p, _ in RISK_PATTERNS))
+
+    def told(found: Column) -> Column:
+        total = reduce(lambda a, b: a + b, (F.when(found[i], w).otherwise(0) for i, (_, _, w) in enumerate(RISK_PATTERNS)))
+        level = lambda s: F.when(s >= 5, "high").when(s >= 3, "medium").when(s >= 1, "low").otherwise("none")
+        names = F.array_compact(F.array(*(F.when(found[i], F.lit(name)) for i, (name, _, _) in enumerate(RISK_PATTERNS))))
+        return F.struct(F.transform(F.array(total), level)[0].alias("level"), F.array_sort(names).alias("reasons"))
+
+    # arrays of one hold what is used several times, so it is worked out once
+    found = F.transform(F.array(F.lower(bare)), tried)
+    return F.transform(found, told)[0]
+
+
+def risk_reasons(text: str | Column) -> Column:
+    """Sorted names of the risk patterns that the text matches."""
+    return risk(text)["reasons"]
 
 
 def risk_level(text: str | Column) -> Column:
-    """none, low (1 and more), medium (3 and more) or high (5 and more) by the sum of weights."""
-    s = risk_score(text)
-    return F.when(s >= 5, "high").when(s >= 3, "medium").when(s >= 1, "low").otherwise("none")
+    return risk(text)["level"]
 
 
 def entropy(text: str | Column) -> Column:
@@ -193,10 +219,23 @@ def parse_timestamp(text: str | Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(_c(text), "Z$", "+00:00"))
 
 
-def snippet(text: str | Column, n: int = 200) -> Column:
+#: Characters of a snippet and of a recorded query, and snippets of a record.
+SNIPPET_CHARS, QUERY_CHARS, SNIPPETS = 200, 2000, 5
+
+
+def snippet(text: str | Column, n: int = SNIPPET_CHARS) -> Column:
     return F.substring(_c(text), 1, n)
 
 
+def snippets(texts: str | Column) -> Column:
+    """The first SNIPPETS texts of an array, each cut short; nulls among them are left out."""
+    return F.transform(F.slice(F.array_compact(_c(texts)), 1, SNIPPETS), lambda t: snippet(t))
+
+
+def recorded_query(text: str | Column) -> Column:
+    return snippet(text, QUERY_CHARS)
+
+
 def parse_pairs(told: str, low: float | None = None, high: float | None = None) -> dict[str, str | float]:
     """``k=v,k2=v2`` as a dict; numbers where bounds are given. Raises ValueError for bad pairs, repeated keys and values out of bounds."""
     found: dict[str, str | float] = {}
@@ -222,13 +261,25 @@ def role_rank(role: str | Column) -> Column:
     return rank
 
 
+# Verdicts on a page of results, why, and the retries that answer them.
+SUFFICIENT, LOW, INSUFFICIENT = "sufficient", "low_confidence", "insufficient_evidence"
+NO_RESULTS, LOW_TOP, FEW_RESULTS, FINE = "no_results", "top_score_below_threshold", "low_result_count", "ok"
+KEYWORD_RETRY, BROADENED = "keyword_retry", "broadened_query"
+#: The best score of a page that is no weak one, and its least number of results.
+TOP_SCORE, MIN_RESULTS = 0.5, 2
+
+
+def _gated(top: Column, n: Column, none: str, low: str, few: str, fine: str) -> Column:
+    return F.when(F.coalesce(n, F.lit(0)) == 0, none).when(top < TOP_SCORE, low).when(n < MIN_RESULTS, few).otherwise(fine)
+
+
 def gate_verdict(top: Column, n: Column) -> Column:
-    """insufficient, low_confidence or sufficient, from the best score and the number of results."""
-    return F.when(F.coalesce(n, F.lit(0)) == 0, "insufficient").when(top < 0.5, "low_confidence").when(n < 2, "insufficient").otherwise("sufficient")
+    """What a page's best score and number of results say of it."""
+    return _gated(top, n, INSUFFICIENT, LOW, INSUFFICIENT, SUFFICIENT)
 
 
 def gate_reason(top: Column, n: Column) -> Column:
-    return F.when(F.coalesce(n, F.lit(0)) == 0, "no_results").when(top < 0.5, "low_top_score").when(n < 2, "low_result_count").otherwise("ok")
+    return _gated(top, n, NO_RESULTS, LOW_TOP, FEW_RESULTS, FINE)
 
 
 def strip_nul(text: str | Column) -> Column:
