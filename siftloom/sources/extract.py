@@ -1,22 +1,24 @@
 """Files as text: extractors by type with the standard library, and their DataFrame form.
 
-An extractor takes bytes and gives text or raises ValueError; a file that
-cannot be read becomes a row with the error. PDF text, OCR and RTF need
-libraries that may be missing: images then give a placeholder, the others an
-error.
+An extractor takes bytes and gives text or raises; a file that cannot be read,
+for whatever reason, becomes a row with the error. PDF text needs a library
+that may be missing, which is an error then; images give a placeholder.
 """
 
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import io
 import json
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple, Protocol
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -26,15 +28,47 @@ from pyspark.sql import functions as F
 from siftloom.session import ship
 from siftloom.sources.formats import matches, resolve
 
-MAX_CELLS, MAX_CHARS, HEADER_EVERY = 500_000, 5_000_000, 50
+#: Cells and characters of a workbook, and characters of a cell, at most; a larger workbook is an error, a longer cell is cut with a note.
+MAX_CELLS, MAX_CHARS, MAX_CELL_CHARS, HEADER_EVERY = 500_000, 5_000_000, 10_000, 50
+#: Bytes that an archive may unpack to; larger ones are an error, as they may be made to fill the memory.
 MAX_UNZIPPED = 200 << 20
 
 
 def decode(data: bytes) -> str:
-    """UTF-8 (with or without a mark), UTF-16 by its mark, else UTF-8 with replacements; no byte is dropped."""
+    """UTF-8 where the bytes are that, else by their mark, else by the character set that they look like, else UTF-8 with replacements; no byte is dropped."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return data.decode("utf-16", "replace")
-    return data.decode("utf-8-sig", "replace")
+        return data.decode("utf-32" if data[:4] == b"\xff\xfe\0\0" else "utf-16", "replace")
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        pass
+    for name in likely_charsets(data):
+        try:
+            return data.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return data.decode("utf-8", "replace")
+
+
+def likely_charsets(data: bytes) -> Iterator[str]:
+    """Names of character sets to try: what charset_normalizer tells where it is installed, else what NULs and letters suggest."""
+    nul = data.count(0)
+    if nul * 4 > len(data):
+        yield "utf-16-le" if data[1::2].count(0) >= data[::2].count(0) else "utf-16-be"
+    try:
+        import charset_normalizer
+    except ImportError:
+        pass
+    else:
+        best = charset_normalizer.from_bytes(data).best()
+        # text in wide characters has NULs or a mark
+        if best is not None and (nul or not best.encoding.startswith(("utf_16", "utf_32"))):
+            yield best.encoding
+    high = sum(1 for x in data if x >= 0xC0)
+    letters = high + sum(1 for x in data if 65 <= x <= 90 or 97 <= x <= 122)
+    if high * 2 > letters:
+        yield "cp1251"
+    yield "cp1252"
 
 
 class _Text(HTMLParser):
@@ -95,11 +129,19 @@ def mail_text(data: bytes) -> str:
     message = email.message_from_bytes(data, policy=email.policy.default)
     heads = [f"{k}: {message[k]}" for k in ("From", "To", "Cc", "Date", "Subject") if message[k]]
     body = message.get_body(("plain", "html"))
-    text = "" if body is None else body.get_content() if body.get_content_subtype() == "plain" else html_text(body.get_content())
+    text = "" if body is None else _part_text(body) if body.get_content_subtype() == "plain" else html_text(_part_text(body))
     names = [f"[attachment: {a.get_filename() or 'unnamed'}]" for a in message.iter_attachments()]
     return "\n\n".join(filter(None, ["\n".join(heads), text.strip(), "\n".join(names)]))
 
 
+def _part_text(part: email.message.EmailMessage) -> str:
+    """A part as text; one whose character set nobody knows by what its bytes look like."""
+    try:
+        return part.get_content()
+    except (LookupError, UnicodeError):
+        return decode(part.get_payload(decode=True) or b"")
+
+
 def _zip(data: bytes) -> zipfile.ZipFile:
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
@@ -156,71 +198,103 @@ def letters(n: int) -> str:
     return out
 
 
-class Outline:
-    """Counters of numbered paragraphs, one set for each list; a level starts anew below a higher one."""
+class Level(NamedTuple):
+    """How a list's level counts and shows: its text has %1 for the first level's number and so on; ``legal`` shows all of them as plain digits."""
 
-    RENDER: dict[str, Callable[[int], str]] = {"decimal": str, "lowerRoman": roman, "upperRoman": lambda n: roman(n).upper(), "lowerLetter": letters, "upperLetter": lambda n: letters(n).upper()}
+    form: str = "decimal"
+    text: str = ""
+    start: int = 1
+    legal: bool = False
 
-    def __init__(self) -> None:
-        self.counts: dict[str, dict[int, int]] = {}
-        self.overridden: set[tuple[str, int]] = set()
-
-    def label(self, base: str, level: int, levels: dict[int, tuple[str, str, int]], number: str = "", override: int | None = None) -> str:
-        """The label of the next paragraph: levels give (format, text with %1 and so on, start)."""
-        counts = self.counts.setdefault(base, {})
-        form, text, start = levels.get(level, ("decimal", f"%{level + 1}.", 1))
-        if override is not None and (number, level) not in self.overridden:
-            self.overridden.add((number, level))
-            counts[level] = override
-        else:
-            counts[level] = counts.get(level, start - 1) + 1
-        for deeper in [k for k in counts if k > level]:
-            del counts[deeper]
-        if form == "bullet":
-            return "-"
-        shown = lambda m: self.RENDER.get(levels.get(int(m[1]) - 1, ("decimal", "", 1))[0], str)(counts.get(int(m[1]) - 1, levels.get(int(m[1]) - 1, ("", "", 1))[2]))
-        return re.sub(r"%(\d)", shown, text)
-
-
-def _numbering(archive: zipfile.ZipFile) -> dict[str, tuple[str, dict[int, tuple[str, str, int]], dict[int, int]]]:
-    """Of each list number its base list, the base's levels and starts that override them."""
+
+class Numbers(NamedTuple):
+    """A list number: the base that it counts with, the base's levels, and levels that begin anew at a start of their own."""
+
+    base: str
+    levels: dict[int, Level]
+    starts: dict[int, int]
+
+
+# How the counts of a format are shown; bullets have none.
+SHOWN: dict[str, Callable[[int], str]] = {"decimal": str, "lowerRoman": roman, "upperRoman": lambda n: roman(n).upper(), "lowerLetter": letters, "upperLetter": lambda n: letters(n).upper()}
+
+
+def list_labels(items: Iterable[tuple[str, int]], lists: Mapping[str, Numbers]) -> Iterator[str]:
+    """The label of each list paragraph (list number, level), in order.
+
+    A base's counts are the path from its first level to the one counted last:
+    a paragraph cuts the path at its level and puts its own count there, so
+    whatever was deeper begins anew. A number's own start counts once.
+    """
+    paths: dict[str, tuple[int | None, ...]] = {}
+    once = {(number, level): start for number, told in lists.items() for level, start in told.starts.items()}
+    for number, depth in items:
+        base, levels, _ = lists[number]
+        of = lambda i: levels.get(i, Level(text=f"%{i + 1}."))  # noqa: B023, E731
+        path = paths.get(base, ())
+        path += (None,) * (depth + 1 - len(path))
+        before = path[depth]
+        count = once.pop((number, depth), of(depth).start if before is None else before + 1)
+        paths[base] = path = (*path[:depth], count)
+        yield label_of(path, of)
+
+
+def label_of(path: tuple[int | None, ...], of: Callable[[int], Level]) -> str:
+    """The text of the path's last level with its numbers put in; a level that was never counted shows its start."""
+    own = of(len(path) - 1)
+    if own.form == "bullet":
+        return "-"
+
+    def shown(m: re.Match) -> str:
+        i = int(m[1]) - 1
+        count = path[i] if 0 <= i < len(path) else None
+        return SHOWN.get("decimal" if own.legal else of(i).form, str)(of(i).start if count is None else count)
+
+    return re.sub(r"%([1-9])", shown, own.text)
+
+
+def _numbering(archive: zipfile.ZipFile) -> dict[str, Numbers]:
+    """The list numbers of a document."""
     if "word/numbering.xml" not in archive.namelist():
         return {}
     root = _tree(archive, "word/numbering.xml")
-    one = lambda node, name, default: next((_attr(x, "val") for x in node if _local(x) == name), default)
-    bases = {_attr(a, "abstractNumId"): {int(_attr(x, "ilvl")): (one(x, "numFmt", "decimal"), one(x, "lvlText", ""), int(one(x, "start", "1"))) for x in a if _local(x) == "lvl"} for a in root if _local(a) == "abstractNum"}
+    own = lambda node, kind: [x for x in node if _local(x) == kind]
+    one = lambda node, name, default: next((_attr(x, "val") for x in own(node, name)), default)
+    on = lambda node, name: any(_attr(x, "val") not in ("0", "false", "off") for x in own(node, name))
+    bases: dict[str | None, dict[int, Level]] = {}
+    for told in own(root, "abstractNum"):
+        levels = {int(_attr(x, "ilvl")): Level(one(x, "numFmt", "decimal"), one(x, "lvlText", ""), int(one(x, "start", "1")), on(x, "isLgl")) for x in own(told, "lvl")}
+        bases[_attr(told, "abstractNumId")] = levels
     found = {}
-    for num in (n for n in root if _local(n) == "num"):
+    for num in own(root, "num"):
         base = one(num, "abstractNumId", "")
-        starts = {int(_attr(o, "ilvl")): int(v) for o in num if _local(o) == "lvlOverride" and (v := one(o, "startOverride", None))}
-        found[_attr(num, "numId")] = (base, bases.get(base, {}), starts)
+        starts = {int(_attr(o, "ilvl")): int(v) for o in own(num, "lvlOverride") if (v := one(o, "startOverride", None))}
+        found[_attr(num, "numId")] = Numbers(base, bases.get(base, {}), starts)
     return found
 
 
 def docx_text(data: bytes) -> str:
     """Paragraphs, with the labels of lists, and tables, in the document's order."""
     archive = _zip(data)
-    lists, outline, blocks = _numbering(archive), Outline(), []
+    lists = _numbering(archive)
     body = next((x for x in _tree(archive, "word/document.xml").iter() if _local(x) == "body"), None)
 
     def words(node: ET.Element) -> str:
         return "".join({"t": x.text or "", "tab": "\t", "br": "\n"}.get(_local(x), "") for x in node.iter())
 
+    def item(node: ET.Element) -> tuple[str, int] | None:
+        told = next((x for x in node.iter() if _local(x) == "numPr"), ())
+        ids = {_local(x): _attr(x, "val") for x in told}
+        return (ids["numId"], int(ids.get("ilvl") or 0)) if ids.get("numId") in lists else None
+
+    blocks: list[tuple[str, tuple[str, int] | None]] = []
     for node in body if body is not None else ():
         if _local(node) == "p" and (text := words(node).strip()):
-            told = next((x for x in node.iter() if _local(x) == "numPr"), None)
-            if told is not None:
-                ids = {_local(x): _attr(x, "val") for x in told}
-                number, level = ids.get("numId", ""), int(ids.get("ilvl", 0))
-                if number in lists:
-                    base, levels, starts = lists[number]
-                    text = f"{outline.label(base, level, levels, number, starts.get(level))} {text}"
-            blocks.append(text)
-        elif _local(node) == "tbl":
-            rows = [[words(c).strip() for c in r if _local(c) == "tc"] for r in node if _local(r) == "tr"]
-            if rows:
-                blocks.append(_table(rows))
-    return "\n\n".join(blocks)
+            blocks.append((text, item(node)))
+        elif _local(node) == "tbl" and (rows := [[words(c).strip() for c in r if _local(c) == "tc"] for r in node if _local(r) == "tr"]):
+            blocks.append((_table(rows), None))
+    labels = list_labels([at for _, at in blocks if at], lists)
+    return "\n\n".join(f"{next(labels)} {text}" if at else text for text, at in blocks)
 
 
 def xlsx_text(data: bytes) -> str:
@@ -230,12 +304,14 @@ def xlsx_text(data: bytes) -> str:
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in _tree(archive, "xl/sharedStrings.xml") if _local(s) == "si"]
     links = {_attr(r, "Id"): _attr(r, "Target") for r in _tree(archive, "xl/_rels/workbook.xml.rels")}
-    out, cells = [], 0
+    out, cells, chars = [], 0, 0
     for sheet in (x for x in _tree(archive, "xl/workbook.xml").iter() if _local(x) == "sheet"):
         target = links.get(_attr(sheet, "id")) or ""
         heading, head, nth = f"## Sheet: {_attr(sheet, 'name')}", None, 0
         out.append(heading)
-        for row in (x for x in _tree(archive, posixpath.normpath(posixpath.join("xl", target.lstrip("/").removeprefix("xl/")))).iter() if _local(x) == "row"):
+        root = _tree(archive, posixpath.normpath(posixpath.join("xl", target.lstrip("/").removeprefix("xl/"))))
+        merged = {ref.partition(":")[0]: ref for x in root.iter() if _local(x) == "mergeCell" and (ref := _attr(x, "ref"))}
+        for row in (x for x in root.iter() if _local(x) == "row"):
             values: list[str] = []
             for cell in row:
                 column = 0
@@ -243,13 +319,19 @@ def xlsx_text(data: bytes) -> str:
                     column = 26 * column + ord(c) - 64
                 values += [""] * (column - 1 - len(values))
                 text = "".join(x.text or "" for x in cell.iter() if _local(x) in ("v", "t"))
-                values.append(shared[int(text)] if _attr(cell, "t") == "s" and text else text)
+                text = shared[int(text)] if _attr(cell, "t") == "s" and text else text
+                if len(text) > MAX_CELL_CHARS:
+                    text = f"{text[:MAX_CELL_CHARS]}...[truncated, {len(text)} chars]"
+                if text and (ref := merged.get(_attr(cell, "r") or "")):
+                    text = f"{text} [merged {ref}]"
+                values.append(text)
             cells += len(values)
+            line = " | ".join(v.replace("\n", " ") for v in values)
+            chars += len(line)
+            if cells > MAX_CELLS or chars > MAX_CHARS:
+                raise ValueError("too many cells" if cells > MAX_CELLS else "too many characters")
             if not any(v.strip() for v in values):
                 continue
-            if cells > MAX_CELLS or sum(map(len, out[-1:])) > MAX_CHARS:
-                raise ValueError("too many cells")
-            line = " | ".join(v.replace("\n", " ") for v in values)
             head = head or line
             if nth and nth % HEADER_EVERY == 0:
                 out += [f"{heading} (continued)", head]
@@ -348,34 +430,52 @@ def pdf_text(data: bytes) -> str:
     return "\n\n".join(p for p in pages if p)
 
 
+_RTF = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|([^\\{}]+)", re.S)
+
+
 def rtf_text(data: bytes) -> str:
-    """Text of an RTF file: control words dropped, escapes resolved, destinations skipped."""
-    source, out, skip, depth = data.decode("latin-1"), [], [], 0
-    token = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|([^\\{}]+)", re.S)
-    for word, number, code, escaped, brace, plain in token.findall(source):
-        if brace == "{":
-            depth += 1
-        elif brace == "}":
-            depth -= 1
-            while skip and skip[-1] > depth:
-                skip.pop()
-        elif skip:
-            continue
+    """Text of an RTF file: control words dropped, escapes resolved, destinations skipped.
+
+    A character by its number is followed by what older readers show in its
+    place, as many signs as ``\\uc`` says; those are passed over.
+    """
+    out: list[str] = []
+    # of each open group: whether it is skipped, and how many signs follow a number
+    groups, passed = [(False, 1)], 0
+    for word, number, code, escaped, brace, plain in _RTF.findall(data.decode("latin-1")):
+        skipped, shown = groups[-1]
+        if brace:
+            passed = 0
+            if brace == "{":
+                groups.append(groups[-1])
+            elif len(groups) > 1:
+                groups.pop()
         elif word in ("fonttbl", "colortbl", "stylesheet", "info", "pict") or escaped == "*":
-            skip.append(depth)
+            groups[-1] = (True, shown)
+        elif word == "uc":
+            groups[-1] = (skipped, max(0, int(number or 1)))
+        elif skipped:
+            continue
+        elif plain:
+            plain = plain.replace("\r", "").replace("\n", "")
+            over = min(passed, len(plain))
+            passed -= over
+            out.append(plain[over:])
+        elif passed:
+            passed -= 1
         elif word in ("par", "line"):
             out.append("\n")
         elif word == "tab":
             out.append("\t")
-        elif word == "u":
+        elif word == "u" and number:
             out.append(chr(int(number) % 65536))
+            passed = shown
         elif code:
             out.append(bytes.fromhex(code).decode("cp1252", "replace"))
-        elif escaped in "\\{}" and escaped:
+        elif escaped in ("\\", "{", "}"):
             out.append(escaped)
-        elif plain:
-            out.append(plain.replace("\r", "").replace("\n", ""))
-    return "".join(out).strip()
+    # pairs of surrogates are one character, lone ones none
+    return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace").strip()
 
 
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
@@ -395,8 +495,12 @@ def extract(data: bytes, mime: str | None, name: str | None) -> tuple[str | None
         return kind.key, f"[image: {name or 'unnamed'}, no text extracted]", None
     try:
         text = EXTRACTORS.get(kind.key, decode)(data).replace("\x00", "")
-    except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ET.ParseError) as e:
-        return kind.key, None, str(e) or type(e).__name__
+        # what is no character cannot be stored as UTF-8
+        text = text.encode("utf-8", "replace").decode("utf-8")
+    except MemoryError:
+        raise
+    except Exception as e:  # noqa: BLE001  any damage is the file's, not the job's
+        return kind.key, None, f"{type(e).__name__}: {e}".removeprefix("ValueError: ").rstrip(": ")
     return (kind.key, text, None) if text.strip() else (kind.key, None, "no text")
 
 
@@ -407,6 +511,25 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+class Connector(Protocol):
+    """Where files come from: one under a name, or all that fit a pattern, as :func:`read_files` has them."""
+
+    def files(self, spark: SparkSession, name: str = "", pattern: str = "*") -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class FolderConnector:
+    """Files under a base path, and none beside it."""
+
+    base: str
+
+    def files(self, spark: SparkSession, name: str = "", pattern: str = "*") -> DataFrame:
+        """Raises ValueError for a name that is absolute, climbs or names a drive."""
+        if re.search(r"(^|[/\\])\.\.([/\\]|$)|^[/\\]|^[A-Za-z]:", name):
+            raise ValueError(f"{name!r} leaves the base path")
+        return read_files(spark, f"{self.base.rstrip('/')}/{name}".rstrip("/"), pattern)
+
+
 def extract_files(files: DataFrame, name_col: str = "path", content_col: str = "content", mime_col: str | None = None) -> DataFrame:
     """A row for each file: name, file_type, text, error."""
     ship(files.sparkSession)

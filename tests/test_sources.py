@@ -82,11 +82,82 @@ def test_types():
     assert formats.resolve("application/octet-stream", "a.csv").key == "csv" and formats.resolve("text/html; charset=x", None).key == "html"
     assert not formats.matches(b"%PDF-1.4", formats.resolve("text/html", "a")) and formats.matches(b"PK\x03\x04", formats.resolve(None, "a.docx"))
     assert ex.extract(b"{bad", "application/json", "a.json")[2] and ex.extract(b'{"a": 1}', "application/json", "a.json")[1] == '{\n  "a": 1\n}'
-    assert ex.extract(b"\x89PNG", "image/png", "p.png")[1] == "[image: p.png, no text extracted]"
+    assert ex.extract(b"\x89PNG\r\n\x1a\n", "image/png", "p.png")[1] == "[image: p.png, no text extracted]"
     assert ex.extract(b"a\x00b", "text/plain", "a.txt")[1] == "ab" and ex.extract(b"  ", "text/plain", "a.txt")[2] == "no text"
     assert ex.rtf_text(b"{\\rtf1{\\fonttbl{\\f0 X;}}Hi \\b bold\\b0\\par caf\\'e9}") == "Hi bold\ncaf\xe9"
 
 
+def test_signatures():
+    kind = lambda name: formats.resolve(None, name)
+    assert formats.matches(b"junk\n%PDF-1.7", kind("a.pdf")) and not formats.matches(b"junk\n{\\rtf1", kind("a.rtf"))
+    assert not formats.matches(b"\x89PNG\r\n\x1a\n", kind("a.txt")) and not formats.matches(b"%PDF-1 {\\rtf", kind("a.rtf"))
+    assert formats.matches(b"PK\x03\x04", kind("a.xlsx")) and formats.matches(b"plain", kind("a.txt"))
+
+
+def test_charsets():
+    german = "Der Käufer übergibt die Güter an den Verkäufer. " * 20
+    assert ex.decode(german.encode("latin-1")) == german
+    assert ex.decode("x é".encode("utf-16")) == "x é" and ex.decode("\ufeffé".encode()) == "é"
+    assert "Привет" in ex.decode(("Привет, как дела? Это обычный русский текст. " * 10).encode("cp1251"))
+
+
+def test_rtf_numbers():
+    assert ex.rtf_text(b"{\\rtf1 it\\u8217?s}") == "it\u2019s"
+    assert ex.rtf_text(b"{\\rtf1\\uc2 a\\u233\\'c3\\'a9b{\\uc0\\u8364}c\\u8364xyz}") == "a\u00e9b\u20acc\u20acz"
+    assert ex.rtf_text(b"{\\rtf1 \\u-10179?\\u-8704?!}") == "\U0001f600!"
+    assert "\ud83d" not in ex.rtf_text(b"{\\rtf1 \\u-10179?}")
+
+
+def test_list_labels():
+    one, legal = ex.Level("upperRoman", "%1."), ex.Level("decimal", "%1.%2", 1, True)
+    lists = {"1": ex.Numbers("b", {0: one, 1: ex.Level("lowerLetter", "%1.%2)"), 2: ex.Level("bullet")}, {}), "2": ex.Numbers("b", {0: one, 1: legal}, {0: 5}), "3": ex.Numbers("c", {}, {})}
+    items = [("1", 0), ("1", 1), ("1", 1), ("1", 2), ("1", 0), ("1", 1), ("2", 0), ("2", 1), ("2", 0), ("1", 0), ("3", 1), ("3", 1)]
+    assert list(ex.list_labels(items, lists)) == ["I.", "I.a)", "I.b)", "-", "II.", "II.a)", "V.", "5.1", "VI.", "VII.", "1.", "2."]
+
+
+def test_no_file_kills_the_others(spark):
+    """Damage of every kind is a row with an error, and what is no character does not stop a batch."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<document><body><p><t>fine</t></p></body></document>")
+    good = packed.getvalue()
+    broken = bytearray(good)
+    at = broken.index(b"PK\x03\x04") + 30 + len("word/document.xml")
+    broken[at : at + 8] = b"\xff" * 8
+    files = [
+        ("ok.docx", bytes(good)), ("broken.docx", bytes(broken)), ("cut.docx", bytes(good[:60])), ("deep.json", b"[" * 200_000), ("odd.json", b'"\\ud83d"'), ("odd.rtf", b"{\\rtf1 x\\u-10179?}"),
+        ("odd.eml", b"Subject: s\r\nContent-Type: text/plain; charset=no-such\r\n\r\nbody \xe9"), ("empty.txt", b""), ("none.txt", None), ("what.zzz", b"x"), ("bad.xml", b"<a>&#xFFFFFFFFF;</a>"),
+    ]
+    rows = {r.name: r for r in ex.extract_files(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert len(rows) == len(files) and rows["ok.docx"].text == "fine"
+    for name in ("broken.docx", "cut.docx", "deep.json", "empty.txt", "none.txt", "what.zzz"):
+        assert rows[name].error and rows[name].text is None, name
+    assert rows["odd.rtf"].text.startswith("x") and "body" in rows["odd.eml"].text and rows["odd.json"].error is None
+
+
+def test_workbook_caps():
+    def book(cell, refs="", n=700):
+        return archive({
+            "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<x><Relationship Id="r1" Target="worksheets/sheet1.xml"/></x>',
+            "xl/worksheets/sheet1.xml": f'<worksheet><sheetData>{"".join(f"""<row><c r="A{i}" t="inlineStr"><is><t>{cell}</t></is></c></row>""" for i in range(1, n))}</sheetData>{refs}</worksheet>',
+        })
+
+    with pytest.raises(ValueError, match="characters"):
+        ex.xlsx_text(book("y" * 9000))
+    text = ex.xlsx_text(book("v", '<mergeCells><mergeCell ref="A2:C2"/></mergeCells>'))
+    assert "v [merged A2:C2]" in text and text.count("merged") == 1
+    assert ex.xlsx_text(book("z" * 20_000, n=2)).endswith("z...[truncated, 20000 chars]")
+
+
+def test_connector(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_text("x")
+    assert ex.FolderConnector(str(tmp_path)).files(spark, "sub", "*.txt").count() == 1
+    for name in ("../x", "/etc", "C:\\x"):
+        with pytest.raises(ValueError):
+            ex.FolderConnector(str(tmp_path)).files(spark, name)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x</p>")
     (tmp_path / "b.pdf").write_text("no pdf")
