@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftloom.session import ship
 
@@ -15,32 +19,104 @@ def fixed_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int
     return counts.select(key, F.col("w.start").alias("window_start"), "hits", F.greatest(F.lit(0), F.col("hits") - limit).alias("rejected"))
 
 
+def walked(rows: DataFrame, key: str, order: Sequence[str], schema: T.StructType, begin: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Each key's rows in order through ``step(state, rows)``, a batch at a time: a key of any size takes one state and one batch of memory.
+
+    A key's rows are walked by one task, as each depends on those before.
+    """
+    ship(rows.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            for _, part in frame.groupby((frame[key] != frame[key].shift()).cumsum(), sort=False):
+                own = part[key].iloc[0]
+                if state is None or own != now:
+                    now, state = own, begin()
+                yield step(state, part)
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _seconds(times: pd.Series) -> Any:
+    return times.astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+
+
 def token_bucket(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Each event with ``allowed``: a bucket of ``limit`` tokens a key, refilled at limit / seconds; events of one time in the order of ``event_id``."""
-    ship(events.sparkSession)
-    schema = events.select(key, at, "event_id").schema
+    """Each event with ``allowed``: a bucket of ``limit`` tokens a key, refilled at limit / seconds; events of one time in the order of ``event_id``. Events without a key are left out."""
+    rows = events.select(key, at, "event_id")
     rate = limit / seconds
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, "event_id"])
-        tokens, last, allowed = float(limit), None, []
-        for now in frame[at].astype("int64").to_numpy() / 1e9 if str(frame[at].dtype).endswith("[ns]") else frame[at].map(pd.Timestamp.timestamp):
-            tokens = min(limit, tokens + (0 if last is None else now - last) * rate)
-            last = now
+    def step(state: dict[str, Any], part: pd.DataFrame) -> pd.DataFrame:
+        allowed = []
+        for now in _seconds(part[at]):
+            tokens = min(limit, state["tokens"] + (0 if state["last"] is None else now - state["last"]) * rate)
             allowed.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return frame.assign(allowed=allowed)
+            state.update(tokens=tokens - (tokens >= 1), last=now)
+        return part.assign(allowed=allowed)
+
+    return walked(rows, key, [at, "event_id"], rows.schema.add("allowed", "boolean"), lambda: {"tokens": float(limit), "last": None}, step)
+
+
+def first_hit_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
+    """Each event with the window that it falls in and whether it is allowed: window_start, nth, allowed.
 
-    return events.select(key, at, "event_id").groupBy(key).applyInPandas(run, schema.add("allowed", "boolean"))
+    A key's window opens at its first hit and lasts ``seconds`` whatever comes
+    in; the first hit at its end or later opens the next. Events of one time go
+    in the order of ``event_id``; those without a key are left out.
+    """
+    rows = events.select(key, at, "event_id")
 
+    def step(state: dict[str, Any], part: pd.DataFrame) -> pd.DataFrame:
+        starts, places = [], []
+        for now, shown in zip(_seconds(part[at]), part[at], strict=True):
+            if state["start"] is None or now >= state["start"] + seconds:
+                state.update(start=now, shown=shown, n=0)
+            state["n"] += 1
+            starts.append(state["shown"])
+            places.append(state["n"])
+        return part.assign(window_start=starts, nth=places, allowed=[n <= limit for n in places])
 
-def first_hit_windows(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
-    """Events of a batch with the gap to the key's event before: where it is null or long, a window opens."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, "event_id"))
-    gap = F.col(at).cast("double") - before.cast("double")
-    return events.withColumn("opens", F.coalesce(gap >= seconds, F.lit(True)))
+    schema = T.StructType([*rows.schema.fields, T.StructField("window_start", rows.schema[at].dataType), T.StructField("nth", T.LongType()), T.StructField("allowed", T.BooleanType())])
+    return walked(rows, key, [at, "event_id"], schema, lambda: {"start": None, "shown": None, "n": 0}, step)
 
 
 def file_queue(spark: SparkSession, path: str, schema: str, per_trigger: int = 10) -> DataFrame:
     """A queue as a folder of JSON files, at most ``per_trigger`` files at a time; the checkpoint is the acknowledgement."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
+
+
+def delivered(messages: DataFrame, max_deliveries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pending messages (message_id, topic, deliveries, idle_ms, ...) split into those to hand out again, with one delivery more, and poison.
+
+    Poison has been delivered ``max_deliveries`` times and is dropped for good.
+    """
+    due = F.coalesce("deliveries", F.lit(0)) < max_deliveries
+    return messages.where(due).withColumn("deliveries", F.coalesce("deliveries", F.lit(0)) + 1), messages.where(~due)
+
+
+def reclaimed(pending: DataFrame, min_idle_ms: int, max_deliveries: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a consumer takes over from others that left messages idle: (again, poison, still waiting)."""
+    idle = F.coalesce(F.col("idle_ms") >= min_idle_ms, F.lit(False))
+    again, poison = delivered(pending.where(idle), max_deliveries)
+    return again, poison, pending.where(~idle)
+
+
+def consumer(handle: Callable[[DataFrame], DataFrame], letters: str, max_deliveries: int = 5) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over messages (message_id, deliveries, ...): ``handle`` gives the ids that it took; poison goes to ``letters``.
+
+    The batch counts as read once all is written; one that fails is read again
+    from the checkpoint, and its path is its id.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            good, poison = delivered(batch, max_deliveries)
+            done = handle(good).select("message_id").distinct()
+            failed = good.join(done, "message_id", "left_anti").withColumn("reason", F.lit("failed"))
+            failed.unionByName(poison.withColumn("reason", F.lit("poison"))).write.mode("overwrite").parquet(f"{letters}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return take
