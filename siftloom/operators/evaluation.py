@@ -90,8 +90,13 @@ def promoted(events: DataFrame, feedback: DataFrame) -> DataFrame:
 def merged_cases(cases: DataFrame) -> DataFrame:
     """One case for each (workspace_id, query): all expected ids once, sorted, and the highest grade."""
     key = F.md5(F.lower("query").cast("binary"))
-    found = cases.withColumn("case_key", key).groupBy("workspace_id", "case_key")
-    return found.agg(F.min("query").alias("query"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("expected")))).alias("expected"), F.max("grade").alias("grade"))
+    keyed = cases.withColumn("case_key", key)
+    found = keyed.groupBy("workspace_id", "case_key").agg(F.min("query").alias("query"), F.max("grade").alias("grade"))
+    # each id once before ids meet, so a case that is told very often is no large group
+    ids = keyed.select("workspace_id", "case_key", F.explode("expected").alias("id")).distinct()
+    ids = ids.groupBy("workspace_id", "case_key").agg(F.sort_array(F.collect_list("id")).alias("expected"))
+    none = F.array().cast(cases.schema["expected"].dataType)
+    return found.join(ids, ["workspace_id", "case_key"], "left").select("workspace_id", "case_key", "query", F.coalesce("expected", none).alias("expected"), "grade")
 
 
 def scorecard(events: DataFrame, feedback: DataFrame, by: str = "workspace_id") -> DataFrame:
@@ -108,7 +113,53 @@ def scorecard(events: DataFrame, feedback: DataFrame, by: str = "workspace_id")
 def replay_metrics(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """Metrics of every mode over active cases (query_id, id, grade): results have mode too; a mode that found nothing counts as zeros."""
     modes = results.select("mode").distinct()
+    # a few names of search modes
     judged = cases.join(F.broadcast(modes)).withColumn("query_id", F.struct("mode", "query_id"))
     ranked = results.withColumn("query_id", F.struct("mode", "query_id"))
     per = metrics(ranked, judged, k).select(F.col("query_id.mode").alias("mode"), F.col("query_id.query_id").alias("query_id"), "recall", "mrr", "ndcg", "hit")
     return means(per)
+
+
+def corpus_gaps(feedback: DataFrame, by: str = "workspace_id", n: int = 5) -> DataFrame:
+    """The texts of the last queries whose results were not relevant: by, gaps (newest first, n at most)."""
+    order = Window.partitionBy(by).orderBy(F.col("created_at").desc(), F.col("event_id").desc())
+    last = feedback.where("verdict = 'not_relevant'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
+    return last.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "query_text"))), lambda x: x["query_text"]).alias("gaps"))
+
+
+def full_scorecard(events: DataFrame, feedback: DataFrame, cases: DataFrame, by: str = "workspace_id") -> DataFrame:
+    """The scorecard with the number of active cases and the last gaps."""
+    active = cases.where("active").groupBy(by).agg(F.count(F.lit(1)).alias("active_cases"))
+    both = scorecard(events, feedback, by).join(active, by, "left").join(corpus_gaps(feedback, by), by, "left")
+    return both.withColumns({"active_cases": F.coalesce("active_cases", F.lit(0)), "gaps": F.coalesce("gaps", F.array().cast("array<string>"))})
+
+
+def dataset_eval(results: DataFrame, expected: DataFrame, k: int, min_hit_rate: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Results (query_id, document_id, chunk_id, pos) against expected ids (query_id, id) of documents or chunks.
+
+    Gives a row a query (query_id, hit, mrr, returned) and one of all (queries,
+    hit_rate, mrr, passed): passed unless the hit rate is below the least one.
+    """
+    wanted = expected.groupBy("query_id").agg(F.collect_set(F.col("id").cast("string")).alias("ids"))
+    rows = results.select("query_id", "pos", F.col("document_id").cast("string").alias("d"), F.col("chunk_id").cast("string").alias("c")).join(wanted, "query_id")
+    # a result stands for its document if that is expected, else for its chunk
+    ranked = rows.select("query_id", F.col("pos").alias("rank"), F.when(F.array_contains("ids", F.col("d")), F.col("d")).otherwise(F.col("c")).alias("id"))
+    judged = expected.select("query_id", F.col("id").cast("string").alias("id"), F.lit(1).alias("grade"))
+    told = metrics(ranked.where("id is not null"), judged, k).select("query_id", "hit", "mrr")
+    each = told.join(results.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned")), "query_id", "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
+    rate = F.round(F.coalesce(F.avg("hit"), F.lit(0.0)), 6)
+    total = each.agg(F.count(F.lit(1)).alias("queries"), rate.alias("hit_rate"), F.round(F.coalesce(F.avg("mrr"), F.lit(0.0)), 6).alias("mrr"))
+    return each, total.withColumn("passed", F.col("hit_rate") >= min_hit_rate)
+
+
+def captured(queries: DataFrame, results: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """An evaluation event a query: event_id, query_text (cut short), document_ids, chunk_ids (side by side, best first), top_score, quality_verdict.
+
+    queries: event_id, query_id, query; verdicts: query_id, top_score, verdict.
+    """
+    from siftloom.functions.text import recorded_query
+
+    lists = results.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "document_id", "chunk_id"))).alias("x"))
+    met = queries.join(lists, "query_id", "left").join(verdicts.select("query_id", "top_score", "verdict"), "query_id", "left")
+    of = lambda c: F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{results.schema[c].dataType.simpleString()}>"))
+    return met.select("event_id", recorded_query("query").alias("query_text"), of("document_id").alias("document_ids"), of("chunk_id").alias("chunk_ids"), "top_score", F.col("verdict").alias("quality_verdict"))

@@ -121,13 +121,14 @@ def as_of(versions: DataFrame, at: Column) -> DataFrame:
 
 
 def edited_chunks(chunks: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
-    """Chunks with edits (doc_id, chunk_index, content, expected_hash) applied where the expected hash is null or the chunk's; tokens and hash anew."""
+    """Chunks with edits (doc_id, chunk_index, content, expected_hash) applied where the expected hash is null or the chunk's; tokens and hash anew there, all others as stored."""
     from siftloom.functions.text import content_hash, estimate_tokens
 
     met = chunks.join(edits.select("doc_id", "chunk_index", F.col("content").alias("_new"), F.col("expected_hash")), ["doc_id", "chunk_index"], "left")
     applies = F.col("_new").isNotNull() & (F.col("expected_hash").isNull() | (F.col("expected_hash") == F.col("content_hash")))
-    text = F.when(applies, F.col("_new")).otherwise(F.col("content"))
-    return met.withColumns({"content": text, "token_count": estimate_tokens(text), "content_hash": content_hash(text), "ingested_at": F.when(applies, now).otherwise(F.col("ingested_at"))}).drop("_new", "expected_hash")
+    anew = {"content": F.col("_new"), "token_count": estimate_tokens("_new"), "content_hash": content_hash("_new"), "ingested_at": now}
+    # one expression for all columns, as each looks at the hash that another replaces
+    return met.select("doc_id", "chunk_index", *(F.when(applies, anew[c]).otherwise(F.col(c)).alias(c) if c in anew else F.col(c) for c in chunks.columns if c not in ("doc_id", "chunk_index")))
 
 
 def next_indices(chunks: DataFrame, additions: DataFrame) -> DataFrame:
