@@ -37,19 +37,21 @@ def doc_exact_dedup(t: Tables) -> DataFrame:
     return tables.first_copies(t.documents)
 
 
-@query("""WITH k AS (SELECT o_orderkey AS document_id, o_orderstatus AS workspace_id, 'f' || o_custkey % 300 AS filename, 'h' || o_custkey % 500 AS content_hash, o_orderdate AS created_at FROM orders WHERE o_orderkey % 3 = 0),
-u AS (SELECT o_orderkey AS upload_id, o_orderstatus AS workspace_id, 'f' || o_custkey % 900 AS filename, 'h' || o_custkey % 700 AS content_hash FROM orders WHERE o_orderkey % 3 = 1),
+@query("""WITH k AS (SELECT o_orderkey AS document_id, o_orderstatus AS workspace_id, 'f' || o_custkey % 300 AS filename, 'h' || o_custkey % 500 AS content_hash, o_orderdate AS created_at FROM orders),
+u AS (SELECT o_orderkey AS upload_id, o_orderstatus AS workspace_id, 'f' || o_custkey * 7 % 900 AS filename, 'h' || (o_custkey * 13 + o_orderkey) % 900 AS content_hash FROM orders),
 a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY workspace_id, content_hash ORDER BY created_at DESC, document_id DESC) = 1),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY workspace_id, filename ORDER BY created_at DESC, document_id DESC) = 1)
 SELECT u.*, coalesce(a.document_id, b.document_id) AS document_id, CASE WHEN a.document_id IS NOT NULL THEN 'skip' WHEN b.document_id IS NOT NULL THEN 'replace' ELSE 'create' END AS decision
 FROM u LEFT JOIN a ON u.workspace_id = a.workspace_id AND u.content_hash = a.content_hash LEFT JOIN b ON u.workspace_id = b.workspace_id AND u.filename = b.filename""")
 def intake_decisions(t: Tables) -> DataFrame:
-    def of(rows: DataFrame, names: int, hashes: int, key: str) -> DataFrame:
-        tag = lambda letter, n: F.concat(F.lit(letter), (F.col("o_custkey") % n).cast("string"))
-        return rows.select(F.col("o_orderkey").alias(key), F.col("o_orderstatus").alias("workspace_id"), tag("f", names).alias("filename"), tag("h", hashes).alias("content_hash"), F.col("o_orderdate").alias("created_at"))
+    """Every order is uploaded again under other names and contents."""
 
-    known = of(t.orders.where("o_orderkey % 3 = 0"), 300, 500, "document_id")
-    return tables.intake(of(t.orders.where("o_orderkey % 3 = 1"), 900, 700, "upload_id").drop("created_at"), known)
+    def of(key: str, name: F.Column, digest: F.Column) -> DataFrame:
+        tag = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+        return t.orders.select(F.col("o_orderkey").alias(key), F.col("o_orderstatus").alias("workspace_id"), tag("f", name).alias("filename"), tag("h", digest).alias("content_hash"), F.col("o_orderdate").alias("created_at"))
+
+    c = F.col("o_custkey")
+    return tables.intake(of("upload_id", c * 7 % 900, (c * 13 + F.col("o_orderkey")) % 900).drop("created_at"), of("document_id", c % 300, c % 500))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -67,18 +69,19 @@ def quota_counts(t: Tables) -> DataFrame:
     return t.orders.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("o_orderstatus").isin("O", "P"), 1)).alias("in_flight"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS owner FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT o_orderkey AS k, 'pending' AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'new' END AS owner FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS owner FROM orders), i AS (SELECT o_orderkey + 4000 AS k, 'pending' AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'new' END AS owner FROM orders)
 SELECT coalesce(c.k, i.k) AS k, CASE WHEN i.k IS NOT NULL THEN i.status ELSE c.status END AS status, coalesce(i.owner, c.owner) AS owner FROM c FULL JOIN i ON c.k = i.k""")
 def upsert_rows(t: Tables) -> DataFrame:
-    current = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("owner"))
-    incoming = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("pending").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "new").alias("owner"))
+    """Every order comes in under a later key, so some replace stored rows and some are new."""
+    current = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("owner"))
+    incoming = t.orders.select((F.col("o_orderkey") + 4000).alias("k"), F.lit("pending").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "new").alias("owner"))
     return tables.upserted(current, incoming, ["k"], ["owner"])
 
 
-@query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0 AND NOT (l_linenumber <= 2)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A'")
 def append_new_rows(t: Tables) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber"]
-    return tables.appended(t.lineitem.where("l_linenumber <= 2"), t.lineitem.where("l_orderkey % 2 = 0"), keys).select(*keys)
+    return tables.appended(t.lineitem.where("l_returnflag = 'A'"), t.lineitem, keys).select(*keys)
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -174,7 +177,10 @@ def rate_limit_fixed_window(t: Tables) -> DataFrame:
     return limits.fixed_windows(t.events, "user_id", "ts", 2, 3600)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, n, sec, 2.0::DOUBLE AS before FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.n, e.sec, least(2.0::DOUBLE, b.before - CASE WHEN b.before >= 1 THEN 1 ELSE 0 END + (e.sec - b.sec) * (2 / 3600::DOUBLE)) FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+SELECT event_id, before >= 1 AS allowed FROM b""")
 def rate_limit_token_bucket(t: Tables) -> DataFrame:
     return limits.token_bucket(t.events, "user_id", "ts", 2, 3600).select("event_id", "allowed")
 

@@ -33,4 +33,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return add
 
 
-from siftloom.plans import records, retrieval, texts  # noqa: E402, F401  they register themselves
+from siftloom.plans import lifecycle, records, retrieval, texts  # noqa: E402, F401  they register themselves

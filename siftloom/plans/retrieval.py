@@ -98,30 +98,45 @@ def reuse_boosted_topk(t: Tables) -> DataFrame:
     return search.boosted(_keyword(t, 20), uses, 0.1).select("query_id", "chunk_id", "document_id", "score", "pos")
 
 
-_VERDICT = "CASE WHEN coalesce(n, 0) = 0 THEN 'insufficient' WHEN top < 0.5 THEN 'low_confidence' WHEN n < 2 THEN 'insufficient' ELSE 'sufficient' END"
-_FIRST = "f AS (SELECT query_id, chunk_id, document_id, score / (10 * (1 + query_id % 9)) AS score FROM kw WHERE pos <= 5 AND query_id % 5 > 0 AND (query_id % 7 > 0 OR pos = 1))"
+_SEMANTIC = f"""
+v0 AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS document_id, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark) AND a.label <> b.label),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM v0),
+f AS (SELECT * FROM v WHERE pos <= 5 AND score >= 0.4), g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1)"""
+_JUDGED = """CASE WHEN coalesce(n, 0) = 0 THEN 'insufficient_evidence' WHEN top < 0.5 THEN 'low_confidence' WHEN n < 2 THEN 'insufficient_evidence' ELSE 'sufficient' END AS verdict,
+CASE WHEN coalesce(n, 0) = 0 THEN 'no_results' WHEN top < 0.5 THEN 'top_score_below_threshold' WHEN n < 2 THEN 'low_result_count' ELSE 'ok' END AS reason"""
+_SHOWN = f"""{_SEMANTIC}, j AS (SELECT item_id AS query_id, {_JUDGED} FROM benchmark LEFT JOIN g ON query_id = item_id),
+r AS (SELECT query_id, chunk_id, score, NULL::VARCHAR AS strategy FROM f JOIN j USING (query_id) WHERE verdict = 'sufficient'
+UNION ALL SELECT query_id, chunk_id, score, 'keyword_retry' FROM kw JOIN j USING (query_id) WHERE verdict = 'low_confidence' AND pos <= 5
+UNION ALL SELECT query_id, chunk_id, score, 'broadened_query' FROM v JOIN j USING (query_id) WHERE verdict = 'insufficient_evidence' AND pos <= 10)"""
+
+
+def _semantic(t: Tables, limit: int, floor: float) -> DataFrame:
+    """Vectors of other labels near each benchmark item's own, scored by cosine."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), "embedding")
+    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_document"), F.col("embedding").alias("vector"))
+    return search.nearest_others(vectors, asked, limit, floor).withColumnRenamed("cos", "score")
 
 
-def _first(keyword: DataFrame) -> DataFrame:
-    """A page that is thinned and scaled by query, so that every verdict occurs."""
-    kept = keyword.where("pos <= 5 AND query_id % 5 > 0 AND (query_id % 7 > 0 OR pos = 1)")
-    return kept.withColumn("score", F.col("score") / (10 * (1 + F.col("query_id") % 9)))
+def _legs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A semantic search for five results of at least 0.4, and both retries."""
+    return _semantic(t, 5, 0.4), _keyword(t, 5), _semantic(t, search.broadened(5), -1.0)
 
 
-@query(f"""WITH {_BM25}, {_FIRST}, g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1)
-SELECT item_id AS query_id, coalesce(n, 0) AS n_results, top AS top_score, greatest(0, least(1, coalesce(top, 0)))::DOUBLE AS confidence, {_VERDICT} AS verdict,
-CASE WHEN coalesce(n, 0) = 0 THEN 'no_results' WHEN top < 0.5 THEN 'low_top_score' WHEN n < 2 THEN 'low_result_count' ELSE 'ok' END AS reason FROM benchmark LEFT JOIN g ON query_id = item_id""")
+@query(f"WITH {_SEMANTIC} SELECT item_id AS query_id, coalesce(n, 0) AS n_results, top AS top_score, greatest(0, least(1, coalesce(top, 0)))::DOUBLE AS confidence, {_JUDGED} FROM benchmark LEFT JOIN g ON query_id = item_id")
 def quality_gate_verdict(t: Tables) -> DataFrame:
-    return search.verdicts(_queries(t), _first(_keyword(t, 5)))
+    return search.verdicts(_queries(t), _semantic(t, 5, 0.4))
 
 
-@query(f"""WITH {_BM25}, {_FIRST}, g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1), v AS (SELECT item_id AS query_id, {_VERDICT} AS verdict FROM benchmark LEFT JOIN g ON query_id = item_id)
-SELECT query_id, chunk_id, score, NULL::VARCHAR AS retry FROM f JOIN v USING (query_id) WHERE verdict = 'sufficient'
-UNION ALL SELECT query_id, chunk_id, score, 'keyword' FROM kw JOIN v USING (query_id) WHERE verdict = 'low_confidence' AND pos <= 5
-UNION ALL SELECT query_id, chunk_id, score, 'wider' FROM kw JOIN v USING (query_id) WHERE verdict = 'insufficient' AND pos <= 10""")
+@query(f"WITH {_BM25}, {_SHOWN} SELECT * FROM r")
 def fallback_topk(t: Tables) -> DataFrame:
-    keyword = _keyword(t, 10).persist()  # ten rows a query, read by all legs
-    return search.with_fallback(_queries(t), _first(keyword), keyword.where("pos <= 5"), keyword).select("query_id", "chunk_id", "score", "retry")
+    return search.with_fallback(_queries(t), *_legs(t)).select("query_id", "chunk_id", "score", "strategy")
+
+
+@query(f"""WITH {_BM25}, {_SHOWN}, last AS (SELECT query_id, count(*) AS n, max(score) AS top FROM r GROUP BY 1)
+SELECT j.query_id, coalesce(n, 0) AS n_results, top AS top_score, greatest(0, least(1, coalesce(top, 0)))::DOUBLE AS confidence, {_JUDGED}, CASE j.verdict WHEN 'low_confidence' THEN 'keyword_retry' WHEN 'insufficient_evidence' THEN 'broadened_query' END AS strategy FROM j LEFT JOIN last ON last.query_id = j.query_id""")
+def fallback_verdicts(t: Tables) -> DataFrame:
+    return search.final_verdicts(_queries(t), *_legs(t))
 
 
 @query("""WITH r AS (SELECT query_id, chunk_id, document_id, score FROM (SELECT custkey % 5 AS query_id, orderkey AS chunk_id, custkey AS document_id, price AS score FROM (SELECT o_orderkey AS orderkey, o_custkey AS custkey, round(o_totalprice / 1000, 1) AS price FROM orders)))
@@ -132,7 +147,12 @@ def workspace_merge(t: Tables) -> DataFrame:
     return search.merged(parts, 20)
 
 
-_TURNS = "c AS (SELECT conv_id AS document_id, turn AS chunk_index, text AS content FROM conversations), m AS (SELECT document_id, chunk_index FROM c WHERE chunk_index % 4 = 1)"
+_TURNS = "c AS (SELECT conv_id AS document_id, turn AS chunk_index, text AS content FROM conversations), m AS (SELECT document_id, chunk_index FROM c WHERE length(content) > 700)"
+
+
+def _matches(t: Tables) -> DataFrame:
+    """Long turns; some are neighbours."""
+    return _turns(t).where(F.length("content") > 700)
 
 
 def _turns(t: Tables) -> DataFrame:
@@ -144,14 +164,14 @@ o AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY document_id ORDER BY
 i AS (SELECT *, sum(opens) OVER (PARTITION BY document_id ORDER BY lo, hi) AS island FROM o)
 SELECT document_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY document_id, island""")
 def context_window_merge(t: Tables) -> DataFrame:
-    return search.window_ranges(_turns(t).where("chunk_index % 4 = 1"), 1)
+    return search.window_ranges(_matches(t), 1)
 
 
 @query(f"""WITH {_TURNS} SELECT m.document_id, m.chunk_index,
 array_to_string(list(c.content ORDER BY c.chunk_index) FILTER (c.chunk_index < m.chunk_index), '|') AS before, array_to_string(list(c.content ORDER BY c.chunk_index) FILTER (c.chunk_index > m.chunk_index), '|') AS after
 FROM m LEFT JOIN c ON c.document_id = m.document_id AND c.chunk_index BETWEEN m.chunk_index - 2 AND m.chunk_index + 2 GROUP BY 1, 2""")
 def context_window_assign(t: Tables) -> DataFrame:
-    found = search.window_chunks(_turns(t).where("chunk_index % 4 = 1"), _turns(t), 2)
+    found = search.window_chunks(_matches(t), _turns(t), 2)
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c)
     return found.select("document_id", "chunk_index", joined("before"), joined("after"))
 

@@ -44,7 +44,7 @@ def doc_content_hash(t: Tables) -> DataFrame:
 )
 def doc_content_risk(t: Tables) -> DataFrame:
     texts = t.documents.select("doc_id", F.concat("text", _nth(PHRASES, "doc_id")).alias("text"))
-    return texts.select("doc_id", fn.risk_level("text").alias("risk"), F.array_join(fn.risk_reasons("text"), ",").alias("reasons"))
+    return texts.select("doc_id", fn.risk("text").alias("r")).select("doc_id", F.col("r.level").alias("risk"), F.array_join("r.reasons", ",").alias("reasons"))
 
 
 _REDACT_STEPS = [("api_key", fn.CREDENTIAL_PATTERNS[0][1].replace("(?<![A-Za-z0-9_])", "")), ("jwt", fn.CREDENTIAL_PATTERNS[1][1].replace("(?![A-Za-z0-9_-])", "")), *fn.CREDENTIAL_PATTERNS[2:]]
@@ -119,17 +119,39 @@ def sentence_split(t: Tables) -> DataFrame:
     return chunking.sentences_native(t.documents)
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (
+SELECT doc_id, text, 0 AS a, substr(text, 1, 787) AS w FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, text, nxt, substr(text, nxt + 1, 787) FROM (
+  SELECT doc_id, text, CASE WHEN b - 200 > a THEN b - 200 ELSE b END AS nxt FROM (
+    SELECT *, CASE WHEN a + 787 < length(text) AND strpos(substr(w, 2), ' ') > 0 THEN a + length(regexp_extract(w, '(?s)^(.*) ', 1)) ELSE least(a + 787, length(text)) END AS b FROM w)) WHERE nxt < length(text)),
+c AS (SELECT doc_id, a, CASE WHEN a + 787 < length(text) AND strpos(substr(w, 2), ' ') > 0 THEN a + length(regexp_extract(w, '(?s)^(.*) ', 1)) ELSE least(a + 787, length(text)) END AS b, text FROM w),
+t AS (SELECT doc_id, a, b, trim(substr(text, a + 1, b - a), E' \t\n\r') AS content FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, content, a::INT AS start_char, b::INT AS end_char, '' AS heading FROM t WHERE content <> ''""")
 def chunk_by_size(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents, "tokens")
 
 
-@query()
+@query(r"""WITH RECURSIVE x AS (SELECT doc_id, regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, i, string_split(p, chr(1)) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(2))) AS p, unnest(range(1, len(string_split(t, chr(2))) + 1)) AS i FROM x)),
+o AS (SELECT doc_id, i, u[1] AS u, length(u[1]) AS n, sum(length(u[1]) + coalesce(length(u[2]), 0)) OVER (PARTITION BY doc_id ORDER BY i) - length(u[1]) - coalesce(length(u[2]), 0) AS off FROM s),
+d AS (SELECT doc_id, list(n ORDER BY i) AS n, list(u ORDER BY i) AS u, list(off ORDER BY i) AS off FROM o GROUP BY 1),
+p AS (SELECT doc_id, len(n) AS k, list_prepend(0, list_transform(n, lambda y, i: list_sum(n[1:i]))) AS sums FROM d),
+r AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS lo, NULL::BIGINT AS a, NULL::BIGINT AS b FROM p
+UNION ALL SELECT r.doc_id, r.i + 1, CASE WHEN full_ THEN r.lo + len(list_filter(sums[r.lo:r.i], lambda y: sums[r.i + 1] - y > 200)) ELSE r.lo END, CASE WHEN full_ THEN r.lo END, CASE WHEN full_ THEN r.i END
+ FROM (SELECT r.*, k, sums, sums[r.i + 2] - sums[r.lo] > 787 AND r.lo <= r.i AS full_ FROM r JOIN p USING (doc_id) WHERE r.i < k) r),
+e AS (SELECT doc_id, a, b FROM r WHERE a IS NOT NULL UNION ALL SELECT doc_id, lo, i FROM r JOIN p USING (doc_id) WHERE i = k),
+c AS (SELECT doc_id, off[a] AS start_char, off[b] + n[b] AS end_char, trim(array_to_string(u[a:b], ' '), E' \t\n\r') AS content FROM e JOIN d USING (doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1)::INT AS chunk_index, content, start_char::INT AS start_char, end_char::INT AS end_char, '' AS heading FROM c WHERE content <> ''""")
 def chunk_by_sentences(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents, "sentences")
 
 
-@query()
+@query(r"""WITH RECURSIVE x AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), E'\n\n') AS blocks FROM documents),
+y AS (SELECT doc_id, unnest(blocks) AS block, unnest(range(1, len(blocks) + 1)) AS i FROM x),
+z AS (SELECT *, trim(block, E' \t\n\r') AS inner_, sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(block) - 2 AS off FROM y),
+u AS (SELECT doc_id, inner_, length(inner_) AS n, off + strpos(block, inner_) - 1 AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM z WHERE inner_ <> ''),
+r AS (SELECT doc_id, k, n AS total, 0 AS part FROM u WHERE k = 1 UNION ALL SELECT u.doc_id, u.k, CASE WHEN r.total + u.n > 787 THEN u.n ELSE r.total + u.n END, CASE WHEN r.total + u.n > 787 THEN r.part + 1 ELSE r.part END FROM r JOIN u ON u.doc_id = r.doc_id AND u.k = r.k + 1)
+SELECT doc_id, part AS chunk_index, string_agg(inner_, E'\n\n' ORDER BY k) AS content, min(start)::INT AS start_char, max(start + n)::INT AS end_char, '' AS heading FROM r JOIN u USING (doc_id, k) GROUP BY doc_id, part""")
 def chunk_packed_paragraphs(t: Tables) -> DataFrame:
     return chunking.chunk_documents(_paragraph_docs(t), "paragraphs")
 
@@ -169,10 +191,13 @@ def conversation_chunks(t: Tables) -> DataFrame:
     return chunking.conversation_chunks(t.conversations)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, n, length(coalesce(text, '')) AS chars, 0::BIGINT AS batch FROM o WHERE n = 1 UNION ALL
+SELECT o.conv_id, o.n, CASE WHEN r.chars >= 4000 THEN 0 ELSE r.chars END + length(coalesce(o.text, '')), CASE WHEN r.chars >= 4000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.conv_id = r.conv_id AND o.n = r.n + 1)
+SELECT conv_id, batch, CASE WHEN max(chars) >= 4000 THEN 'size' ELSE 'close' END AS reason, string_agg(conv_id || ':' || turn, ',' ORDER BY n) AS turn_ids, sha256(string_agg(text, '|' ORDER BY n)) AS texts FROM r JOIN o USING (conv_id, n) GROUP BY 1, 2""")
 def stream_turn_flush(t: Tables) -> DataFrame:
     turns = t.conversations.select("conv_id", F.col("turn").alias("nth"), F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    return conversations.batches_offline(turns)
+    return conversations.batches_offline(turns).withColumns({"turn_ids": F.array_join("turn_ids", ","), "texts": fn.content_hash(F.array_join("texts", "|"))})
 
 
 @query()
@@ -192,7 +217,9 @@ def chunk_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", fn.chunk_uuid("source", F.lit("user"), "doc_id", F.lit(0)).alias("chunk_uuid"))
 
 
-@query()
+@query("""WITH b AS (SELECT DISTINCT source, array_to_string(list_transform(range(1, length(source) + 1), lambda i: lpad(bin(ord(substr(source, i, 1))), 8, '0')), '') AS bits FROM documents),
+p AS (SELECT source, rpad(bits, (ceil(length(bits) / 5.0) * 5)::INT, '0') AS bits FROM b)
+SELECT source, 'Workspace_' || array_to_string(list_transform(range(0, length(bits) // 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda k: substr(bits, 5 * i + k, 1)::INT * (2 ** (5 - k))::INT))::INT, 1)), '') AS collection FROM p""")
 def collection_names(t: Tables) -> DataFrame:
     return t.documents.select("source", fn.namespace("Workspace", "source").alias("collection")).distinct()
 
@@ -210,6 +237,6 @@ FROM c LEFT JOIN b ON c.claim_id = b.claim_id AND nth = 1""")
 def claim_support(t: Tables) -> DataFrame:
     from siftloom.operators.search import claims_supported
 
-    claims = t.benchmark.select(F.col("item_id").alias("claim_id"), fn.claim_tokens("text").alias("tokens"))
-    evidence = t.documents.select(F.col("doc_id").alias("evidence_id"), fn.claim_tokens("text").alias("tokens"))
+    claims = t.benchmark.select(F.col("item_id").alias("claim_id"), F.col("text").alias("content"))
+    evidence = t.documents.select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"))
     return claims_supported(claims, evidence)

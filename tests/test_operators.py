@@ -83,7 +83,7 @@ def test_buffer():
 
 def test_stream(spark, tmp_path):
     source, store, letters = (str(tmp_path / x) for x in ("in", "store", "letters"))
-    data = [(1, "a", "see postgres://u:pa55word@h/db now"), (1, "a", "repeat"), (1, "b", "z" * 4000), (2, "c", "short")]
+    data = [(1, "a", "see postgres://u:pa55word@h/db now"), (1, "a", "repeat"), (1, "lost", None), (1, "b", "z" * 4000), (2, "c", "short")]
     spark.createDataFrame(data, "conv_id long, turn_id string, text string").coalesce(1).write.json(source)
     turns = limits.file_queue(spark, source, "conv_id long, turn_id string, text string")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers keep the query awake
@@ -94,6 +94,8 @@ def test_stream(spark, tmp_path):
     conversations.flush_writer(store, letters)(again, 1_000)
     assert rows(spark.read.parquet(store).where("batch = 1000"), "conv_id", "chunk_index", "content") == [(1, 2, "later")]
     assert got[0] == (1, 0, "see [redacted:connection_string] now") and len(got) == 2 and got[1][2].startswith("z")
+    assert rows(spark.read.parquet(letters), "conv_id", "at", "dedup_key") == [(1, 1, "lost")]
+    assert rows(spark.read.parquet(f"{store}_statistics").where("conv_id = 1 AND kept > 1"), "kept", "dropped", "masked") == [(2, 1, 1)]
 
 
 def test_token_bucket(spark):
@@ -103,6 +105,33 @@ def test_token_bucket(spark):
     assert got == [True, True, False, False, True, False]
 
 
+def test_first_hit_windows(spark):
+    """A window lasts from its first hit whatever comes in; hits every 30 s with a window of 60 s open a new one every second time."""
+    e = spark.createDataFrame([(i, k, 30 * i) for k in (1, 2) for i in range(6)] + [(9, None, 1)], "event_id int, k int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = limits.first_hit_windows(e, "k", "ts", 1, 60).where("k = 1").orderBy("event_id").collect()
+    assert [(r.window_start.minute, r.nth, r.allowed) for r in got] == [(0, 1, True), (0, 2, False), (1, 1, True), (1, 2, False), (2, 1, True), (2, 2, False)]
+
+
+def test_walk_takes_batches(spark):
+    """One key over many Arrow batches: the state goes on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    e = spark.range(500).selectExpr("id AS event_id", "1 AS k", "timestamp_seconds(id) AS ts")
+    assert limits.token_bucket(e, "k", "ts", 10, 100).where("allowed").count() == 10 + 49
+    turns = spark.range(40).selectExpr("id % 2 AS conv_id", "id AS nth", "string(id) AS turn_id", "repeat('x', 900) AS text")
+    got = conversations.batches_offline(turns).collect()
+    assert [len(r.texts) for r in sorted(got, key=lambda r: (r.conv_id, r.batch))] == [5, 5, 5, 5] * 2
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_redelivery(spark, tmp_path):
+    pending = spark.createDataFrame([("a", 1, 9000), ("b", 5, 9000), ("c", None, 9000), ("d", 7, 10), ("e", 2, None)], "message_id string, deliveries int, idle_ms long")
+    again, poison, waiting = limits.reclaimed(pending, 1000, 5)
+    assert rows(again, "message_id", "deliveries") == [("a", 2), ("c", 1)] and rows(poison, "message_id") == [("b",)] and rows(waiting, "message_id") == [("d",), ("e",)]
+    letters = str(tmp_path / "letters")
+    limits.consumer(lambda m: m.where("message_id <> 'c'"), letters, 5)(pending, 3)
+    assert rows(spark.read.parquet(letters), "message_id", "reason") == [("b", "poison"), ("c", "failed"), ("d", "poison")]
+
+
 def test_entry_without_optional_parts():
     import __spark_entry__
 
@@ -127,3 +156,101 @@ def test_clean(spark):
     assert clean(" e\u0301\u200b\x07\n b ", 4) == "\u00e9\n b" and clean("a \n b", one_line=True) == "a b"
     df = spark.createDataFrame([("a\x00 ",), (None,)], "t string")
     assert [r.t for r in df.select(cleaned(F.col("t")).alias("t")).collect()] == ["a", None]
+
+
+def test_joins_and_rows_agree(spark, monkeypatch):
+    """Queries that are too large to be broadcast give the same by joins; small blocks of queries and terms too."""
+    from siftloom.operators import inrow
+
+    texts = ["the cat sat", "a cat and a dog", "", None, "dog dog dog the", "Émile the cat", "x " * 50 + "cat", "the cat sat", "nothing here"]
+    chunks = spark.createDataFrame([(i, f"d{i % 3}", t) for i, t in enumerate(texts)], "chunk_id int, document_id string, content string").repartition(3)
+    queries = spark.createDataFrame([("q1", "cat the"), ("q2", "dog"), ("q3", ""), ("q4", None), ("q5", "absent"), ("q6", "CAT cat sat")], "query_id string, query string")
+    vectors = spark.createDataFrame([(i, f"d{i % 3}", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0], None, [-1.0, 0.5]])], "chunk_id int, document_id string, embedding array<float>").repartition(2)
+    asked = spark.createDataFrame([(1, "d0", [1.0, 0.2]), (2, "d1", [0.0, 0.0]), (3, "d2", None)], "query_id int, query_document string, vector array<float>")
+    claims = queries.select(F.col("query_id").alias("claim_id"), F.col("query").alias("content"))
+    evidence = chunks.select(F.col("chunk_id").alias("evidence_id"), "content")
+
+    def every():
+        return [
+            rows(search.bm25(chunks, queries, 3), "query_id", "chunk_id", "document_id", "score", "pos"), rows(search.all_terms(chunks, queries, 3), "query_id", "chunk_id", "score", "pos"),
+            rows(search.vectors_topk(vectors, asked, 4, -0.5), "query_id", "chunk_id", "score", "pos"), rows(search.nearest_others(vectors, asked, 2, -0.9), "query_id", "chunk_id", "cos", "pos"),
+            sorted(tuple(map(str, r)) for r in search.claims_supported(claims, evidence).collect()),
+        ]
+
+    got = every()
+    assert all(got) and ("q1", 0) in [r[:2] for r in got[0]] and [r[1] for r in got[1] if r[0] == "q6"] == [0, 7]
+    monkeypatch.setattr(inrow, "MAX_BYTES", -1)
+    assert every() == got
+    monkeypatch.undo()
+    monkeypatch.setattr(inrow, "QUERIES", 2)
+    assert every() == got
+    none = chunks.where("false")
+    assert search.bm25(none, queries, 3).count() == search.all_terms(none, queries, 3).count() == 0 and search.bm25(chunks, queries.where("false"), 3).count() == 0
+
+
+def test_best_rows_keep_ties_in_order():
+    """More rows than are held at once: the same best as by sorting all, ties by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siftloom.operators import inrow
+
+    rng = np.random.default_rng(2)
+    best = inrow.Best(3, 4, pa.schema([("chunk_id", pa.int64())]))
+    every = []
+    for at in range(0, 5000, 100):
+        ids = rng.permutation(np.arange(at, at + 100))
+        scores = rng.integers(0, 5, (100, 3)) / 4
+        best.add(0, scores, scores > 0, pa.table({"chunk_id": ids}))
+        every += [(q, -scores[i, q], ids[i]) for i in range(100) for q in range(3) if scores[i, q] > 0]
+        best._prune()
+    got = pa.Table.from_batches(best.result(pa.array([10, 11, 12])))
+    want = [x for q in range(3) for x in sorted(y for y in every if y[0] == q)[:4]]
+    assert list(zip(got["query_id"].to_pylist(), got["chunk_id"].to_pylist(), strict=True)) == [(10 + q, i) for q, _, i in want]
+
+
+def test_isolation(spark):
+    page = spark.createDataFrame([(1, 5, "d", 0.5, 1)], "query_id int, chunk_id int, document_id string, score double, pos int")
+
+    def broken():
+        raise RuntimeError("no index")
+
+    merged, failures = search.isolated({"a": lambda: page, "b": broken, "c": lambda: page.withColumn("chunk_id", F.lit(4)), "d": lambda: page.withColumn("score", F.raise_error(F.lit("late")).cast("double"))}, 5)
+    assert rows(merged, "chunk_id", "pos") == [(4, 1), (5, 2)] and set(failures) == {"b", "d"} and "no index" in failures["b"]
+    with pytest.raises(RuntimeError):
+        search.isolated({"b": broken}, 5, (RuntimeError,))
+    assert search.tool_search({"a": lambda: search.in_scope(page, " ")}, 5) == (None, "a workspace must be named")
+    assert search.isolated({"b": broken}, 5)[0] is None
+
+
+def test_pack(spark):
+    from siftloom.operators import tagging
+
+    told = '{"name": "law", "chunking": {"strategy": "numbered_sections", "heading_patterns": [{"level": 1, "regex": "(\\\\d+) [A-Z]"}], "split_at_level": 1, "max_tokens": 50}, "tag_schema": {"fields": {"kind": {"type": "enum", "values": ["lease", "other"], "rules": {"lease": ["rent"]}}, "on": {"type": "date"}}}}'
+    pack = tagging.read_pack(told)
+    assert pack.name == "law" and pack.sections.split_at == 1 and pack.sections.max_tokens == 50
+    df = spark.createDataFrame([("h", "the Rent is due", {"on": "2024-01-02"}), (None, None, None)], "heading string, content string, metadata map<string,string>")
+    assert [r.tag_strings for r in tagging.tagged(df, pack.tagger).collect()] == [["kind=lease", "on=2024-01-02"], ["kind=other"]]
+    for bad in ("[]", "{}", "{"):
+        with pytest.raises(ValueError):
+            tagging.read_pack(bad)
+    with pytest.raises(ValueError):
+        tagging.RulesTagger({"x": tagging.TagField("number")}).tags(F.lit(""), F.lit(""), F.lit(None))
+
+
+def test_only_absent_parts_are_passed_over(tmp_path):
+    """The entry module hides that the subpackage is not there, and nothing else."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "siftloom", tmp_path / "siftloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('N', len(e.queries()), 'op9_bpe' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=100)
+    assert run().stdout.startswith("N ") and run().stdout.split()[2] == "False"
+    (tmp_path / "siftloom" / "llm").mkdir()
+    (tmp_path / "siftloom" / "llm" / "__init__.py").touch()
+    (tmp_path / "siftloom" / "llm" / "queries.py").write_text("import no_such_library\n")
+    assert "no_such_library" in run().stderr and not run().stdout
