@@ -209,8 +209,8 @@ def joined_page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     end = F.sum(F.length("content") + 2).over(order) - 2
     placed = chunks.select("document_id", "chunk_index", "content", end.alias("to_char")).withColumn("from_char", F.col("to_char") - F.length("content"))
     totals = placed.groupBy("document_id").agg(F.max("to_char").alias("total_chars"))
-    # the joint behind a chunk may be all that a page has of it
-    touched = placed.where((F.col("from_char") < offset + limit) & (F.col("to_char") + 2 > offset))
+    # the joint before or behind a chunk may be all that a page has of it
+    touched = placed.where((F.col("from_char") - 2 < offset + limit) & (F.col("to_char") + 2 > offset))
     parts = touched.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("x"), F.min("from_char").alias("first"))
     rows = totals.join(parts, "document_id", "left").withColumns({"offset": F.least(F.lit(max(offset, 0)).cast("long"), "total_chars"), "to": F.least(F.lit(offset + limit).cast("long"), "total_chars")})
     rows = rows.withColumn("truncated", F.col("to") < F.col("total_chars"))
