@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.operators.search import sized
+
 RISKS = ("none", "low", "medium", "high")
 
 
@@ -81,9 +83,42 @@ def merged_counts(rows: DataFrame, by: str, counts: str) -> DataFrame:
     return rows.select(by, F.explode(counts).alias("kind", "n")).groupBy(by, "kind").agg(F.sum("n").alias("n"))
 
 
+#: Accuracy of the sketch that brackets a percentile: rows between the brackets are about this part of a group.
+SKETCH = 10_000
+
+
 def percentiles(rows: DataFrame, by: str, measure: str, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact interpolated percentiles of each group."""
-    return rows.groupBy(by).agg(F.count(measure).alias("n"), *(F.round(F.percentile(measure, p), 6).alias(f"p{round(100 * p)}") for p in shares))
+    """Exact interpolated percentiles of each group: by, n, and one column a share; null without values.
+
+    A sketch of each group brackets every percentile; rows below a bracket are
+    counted, and only the few within are sorted, so no task holds a group.
+    """
+    names, margin = [f"p{round(100 * p)}" for p in shares], 4 / SKETCH
+    values = rows.select(F.col(by).alias("_by"), F.col(measure).cast("double").alias("v"))
+    wide = [max(p - margin, 0.0) for p in shares] + [min(p + margin, 1.0) for p in shares]
+    told = values.groupBy("_by").agg(F.count("v").alias("n"), F.percentile_approx("v", wide, SKETCH).alias("q"), F.min("v").alias("least"), F.max("v").alias("most"))
+    told = sized(told)  # a row a group; Spark reuses its exchange
+    # brackets reach the ends where the margin does, and in small groups, all of which are sorted
+    small = F.col("n") < SKETCH
+    low = lambda i: F.when(small | (shares[i] - margin <= 0), F.col("least")).otherwise(F.col("q")[i])
+    high = lambda i: F.when(small | (shares[i] + margin >= 1), F.col("most")).otherwise(F.col("q")[len(shares) + i])
+    marked = values.where("v is not null").alias("r").join(told.alias("t"), F.col("r._by").eqNullSafe(F.col("t._by"))).select(
+        F.col("r._by").alias("_by"), "v", F.array(*(F.struct(F.lit(i).alias("i"), low(i).alias("low"), high(i).alias("high")) for i in range(len(shares)))).alias("x")
+    )
+    each = marked.select("_by", "v", F.explode(F.filter("x", lambda b: F.col("v") <= b["high"])).alias("b"))
+    below = F.count(F.when(F.col("v") < F.col("b.low"), 1))
+    near = each.groupBy("_by", F.col("b.i").alias("i"), F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"), below.alias("below"))
+    order = Window.partitionBy("_by", "i").orderBy(F.col("v").asc_nulls_first())
+    upto = near.withColumn("upto", F.sum("c").over(order)).where("v is not null")
+    back = upto.alias("u").join(told.select("_by", "n").alias("t"), F.col("u._by").eqNullSafe(F.col("t._by"))).select(F.col("u._by").alias("_by"), "i", "v", "upto", "n")
+    rank = F.element_at(F.array(*map(F.lit, map(float, shares))), F.col("i") + 1) * (F.col("n") - 1)
+    found = back.withColumn("rank", rank).groupBy("_by", "i").agg(
+        F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v"))).alias("b"), F.max("rank").alias("rank")
+    )
+    part = F.col("rank") - F.floor("rank")
+    found = found.withColumn("p", F.round((1 - part) * F.col("a") + part * F.col("b"), 6)).groupBy("_by").pivot("i", list(range(len(shares)))).agg(F.first("p"))
+    met = told.select("_by", "n").alias("t").join(found.alias("f"), F.col("t._by").eqNullSafe(F.col("f._by")), "left")
+    return met.select(F.col("t._by").alias(by), "n", *(F.col(f"f.{i}").alias(name) for i, name in enumerate(names)))
 
 
 def floored_counters(steps: DataFrame, key: str, run: str, order: str, delta: str) -> DataFrame:
@@ -91,8 +126,6 @@ def floored_counters(steps: DataFrame, key: str, run: str, order: str, delta: st
 
     A walk with a floor ends at its sum less the lowest partial sum below 0.
     """
-    from pyspark.sql import Window
-
     once = steps.groupBy(key, run).agg(F.min_by(delta, order).alias("delta"), F.min(order).alias("at"))
     walk = F.sum("delta").over(Window.partitionBy(key).orderBy("at", run))
     return once.withColumn("walk", walk).groupBy(key).agg((F.sum("delta") - F.least(F.lit(0), F.min("walk"))).alias("value"))

@@ -254,3 +254,19 @@ def test_only_absent_parts_are_passed_over(tmp_path):
     (tmp_path / "siftloom" / "llm" / "__init__.py").touch()
     (tmp_path / "siftloom" / "llm" / "queries.py").write_text("import no_such_library\n")
     assert "no_such_library" in run().stderr and not run().stdout
+
+
+def test_percentiles_are_exact(spark):
+    """Against sorting: ties, outliers, one value, none, a null group and more rows than the sketch tells apart."""
+    import numpy as np
+
+    from siftloom.operators import stats
+
+    rng = np.random.default_rng(4)
+    groups = {"wide": rng.lognormal(0, 4, 30_000), "ties": rng.integers(0, 3, 25_000) * 1.0, "few": np.array([1.0, 2.0]), "one": np.array([7.0]), None: rng.standard_normal(500), "out": np.r_[np.zeros(20_000), 1e9]}
+    data = [(k, float(x)) for k, v in groups.items() for x in v] + [("none", None), ("few", None)]
+    got = {r.k: r for r in stats.percentiles(spark.createDataFrame(data, "k string, v double").repartition(5), "k", "v", (0.0, 0.5, 0.95, 0.99, 1.0)).collect()}
+    assert set(got) == {*groups, "none"} and got["none"].n == 0 and got["none"].p50 is None
+    for k, v in groups.items():
+        assert got[k].n == len(v)
+        assert [got[k][f"p{p}"] for p in (0, 50, 95, 99, 100)] == pytest.approx(np.percentile(v, [0, 50, 95, 99, 100]), rel=1e-9, abs=1e-6)
