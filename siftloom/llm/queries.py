@@ -32,49 +32,60 @@ def tokenizer_path(name: str = BPE_FILE) -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; null and empty texts are scored by their empty statistics, rows that repeat an id each by its own text."""
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of all documents, with limits and quantiles; null and empty texts have length 0."""
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_counts.token_report(token_counts.length_histogram(lengths), LIMITS, SHARES)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict; null and empty texts have counts of 0 and fail."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language; null texts and those without a letter are und with score 0."""
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its findings; null and empty texts have none, and a null text a null digest. The source counts as the path."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"), path_col="source")
     return found.select("doc_id", "n_candidates", "n_secrets", "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it; null and empty texts have size 0."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class, component and number of links; null texts and those without words are alone. Rows that repeat an id are one document."""
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class and number of links, as op7_ngram_join has them."""
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its stored form is read back; null and empty texts are one row of zeros."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its token digests; null and empty texts have no tokens."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its verdict; a null URL, or one without ://, has empty parts and is allowed."""
     listed = spark.range(1).selectExpr("explode(array(%s)) AS key" % ", ".join(f"'{n}.{e}/'" for n in LISTED_NAMES for e in LISTED_ENDS))
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
