@@ -131,17 +131,21 @@ def chunk_by_size(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents, "tokens")
 
 
-@query(r"""WITH RECURSIVE x AS (SELECT doc_id, regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM documents WHERE text <> ''),
+#: Sentences of docs (doc_id, text, size, overlap) packed one after another, as c (doc_id, start_char, end_char, content).
+_SENTENCES = r"""x AS (SELECT doc_id, regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM docs WHERE text <> ''),
 s AS (SELECT doc_id, i, string_split(p, chr(1)) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(2))) AS p, unnest(range(1, len(string_split(t, chr(2))) + 1)) AS i FROM x)),
 o AS (SELECT doc_id, i, u[1] AS u, length(u[1]) AS n, sum(length(u[1]) + coalesce(length(u[2]), 0)) OVER (PARTITION BY doc_id ORDER BY i) - length(u[1]) - coalesce(length(u[2]), 0) AS off FROM s),
 d AS (SELECT doc_id, list(n ORDER BY i) AS n, list(u ORDER BY i) AS u, list(off ORDER BY i) AS off FROM o GROUP BY 1),
-p AS (SELECT doc_id, len(n) AS k, list_prepend(0, list_transform(n, lambda y, i: list_sum(n[1:i]))) AS sums FROM d),
+p AS (SELECT doc_id, len(n) AS k, list_prepend(0, list_transform(n, lambda y, i: list_sum(n[1:i]))) AS sums, size, overlap FROM d JOIN docs USING (doc_id)),
 r AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS lo, NULL::BIGINT AS a, NULL::BIGINT AS b FROM p
-UNION ALL SELECT r.doc_id, r.i + 1, CASE WHEN full_ THEN r.lo + len(list_filter(sums[r.lo:r.i], lambda y: sums[r.i + 1] - y > 200)) ELSE r.lo END, CASE WHEN full_ THEN r.lo END, CASE WHEN full_ THEN r.i END
- FROM (SELECT r.*, k, sums, sums[r.i + 2] - sums[r.lo] > 787 AND r.lo <= r.i AS full_ FROM r JOIN p USING (doc_id) WHERE r.i < k) r),
+UNION ALL SELECT r.doc_id, r.i + 1, CASE WHEN full_ THEN r.lo + len(list_filter(sums[r.lo:r.i], lambda y: sums[r.i + 1] - y > overlap)) ELSE r.lo END, CASE WHEN full_ THEN r.lo END, CASE WHEN full_ THEN r.i END
+ FROM (SELECT r.*, k, sums, overlap, sums[r.i + 2] - sums[r.lo] > size AND r.lo <= r.i AS full_ FROM r JOIN p USING (doc_id) WHERE r.i < k) r),
 e AS (SELECT doc_id, a, b FROM r WHERE a IS NOT NULL UNION ALL SELECT doc_id, lo, i FROM r JOIN p USING (doc_id) WHERE i = k),
-c AS (SELECT doc_id, off[a] AS start_char, off[b] + n[b] AS end_char, trim(array_to_string(u[a:b], ' '), E' \t\n\r') AS content FROM e JOIN d USING (doc_id))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1)::INT AS chunk_index, content, start_char::INT AS start_char, end_char::INT AS end_char, '' AS heading FROM c WHERE content <> ''""")
+c AS (SELECT doc_id, (off[a])::INT AS start_char, (off[b] + n[b])::INT AS end_char, trim(array_to_string(u[a:b], ' '), E' \t\n\r') AS content FROM e JOIN d USING (doc_id))"""
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id, text, 787 AS size, 200 AS overlap FROM documents), {_SENTENCES}
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1)::INT AS chunk_index, content, start_char, end_char, '' AS heading FROM c WHERE content <> ''""")
 def chunk_by_sentences(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents, "sentences")
 
@@ -161,13 +165,18 @@ def chunk_by_rows(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents, "tabular")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+o AS (SELECT doc_id, i, '## ' || x AS x, sum(length(x) + 4) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 4 AS start FROM l)
+SELECT doc_id, (i - 1)::INT AS chunk_index, trim(x, E' \t\n\r') AS content, start::INT AS start_char, (start + length(x))::INT AS end_char, '' AS heading FROM o""")
 def chunk_by_sections(t: Tables) -> DataFrame:
     made = F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## ")))
     return chunking.chunk_documents(t.documents.withColumn("text", made), "structured")
 
 
-@query()
+@query(f"""WITH RECURSIVE made AS (SELECT doc_id, 'Source: ' || source || chr(10) || 'Language: ' || lang AS head, head || chr(10) || chr(10) || text AS text FROM documents),
+docs AS (SELECT doc_id, text, 787 - length(head) - 2 AS size, least(200, (787 - length(head) - 2) // 2) AS overlap FROM made), {_SENTENCES}
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1)::INT AS chunk_index, CASE WHEN start_char > length(head) THEN head || chr(10) || chr(10) || content ELSE content END AS content, start_char, end_char, '' AS heading
+FROM c JOIN made USING (doc_id) WHERE content <> ''""")
 def chunk_prose(t: Tables) -> DataFrame:
     made = F.concat(F.lit("Source: "), "source", F.lit("\nLanguage: "), "lang", F.lit("\n\n"), "text")
     return chunking.chunk_documents(t.documents.withColumn("text", made), "prose")
@@ -185,7 +194,10 @@ def conversation_chunk_index(t: Tables) -> DataFrame:
     return chunking.conversation_chunks(t.conversations, size=1_000_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, text FROM conversations WHERE text <> ''),
+docs AS (SELECT doc_id, text, 1000 AS size, 200 AS overlap FROM turns WHERE length(text) > 1000), {_SENTENCES},
+every AS (SELECT doc_id, 0 AS start_char, 0 AS end_char, text AS content FROM turns WHERE length(text) <= 1000 UNION ALL SELECT doc_id, start_char, end_char, content FROM c WHERE content <> '')
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, start_char, end_char) - 1)::INT AS chunk_index, content FROM every JOIN turns USING (doc_id)""")
 def conversation_chunks(t: Tables) -> DataFrame:
     """With the operator's own size, at which long turns are split."""
     return chunking.conversation_chunks(t.conversations)

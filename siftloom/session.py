@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_siftloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="siftloom-")) / "siftloom.zip"
+    folder = tempfile.mkdtemp(prefix="siftloom-")  # the driver serves it to executors as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "siftloom.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path(root.name) / f.relative_to(root))
