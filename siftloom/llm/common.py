@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows that an Arrow batch holds at most, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:

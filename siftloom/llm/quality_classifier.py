@@ -74,7 +74,11 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
 
 
 def _statistics_of(texts: pa.Array) -> np.ndarray:
-    return np.array([statistics(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.float32).reshape(-1, len(NAMES))
+    """The statistics of each text; one text at a time is a Python object."""
+    found = np.empty((len(texts), len(NAMES)), dtype=np.float32)
+    for i, text in enumerate(texts.cast(pa.binary())):
+        found[i] = statistics(text.as_py())
+    return found
 
 
 def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
