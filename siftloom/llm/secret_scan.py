@@ -247,6 +247,8 @@ def scan(docs: DataFrame, forest: str | None = None, id_col: str = "doc_id", tex
     for a null text. Texts of any length are read whole. ``path_col`` may name a file or
     a source; a path that stands right before a candidate counts as well. Without
     either no path speaks for or against it.
+    Write the result before filtering it by its findings: Spark would work them out
+    again for the filter.
     """
     forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
