@@ -458,9 +458,34 @@ def test_secrets_are_candidates_whatever_their_form(spark):
     assert [got[len(cases) + i].n_secrets for i in range(len(clean))] == [0] * len(clean)
 
 
+def test_many_findings_in_one_text(spark):
+    """Offsets over several blocks of sums, behind letters of several bytes, and masks put back by them; a text with the marks goes the other way."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(1500)]
+    text = " \u00e9\U0001f600 ".join(f'token = "{k}"' for k in keys)
+    texts = [text, "\ufdd0 " + " \ufdd1 ".join(f'token = "{k}"' for k in keys[:300])]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in rows.collect():
+        own = texts[r.doc_id]
+        assert [own[x.start : x.stop] for x in r.findings] == keys[: len(r.findings)] and len(r.findings) == (1500 if r.doc_id == 0 else 300)
+        assert sum(x.is_secret for x in r.findings) > 0.9 * len(r.findings)
+        at, want = 0, []
+        for x in r.findings:
+            if x.is_secret:
+                want += [own[at : x.start], secret_scan.MASK]
+                at = x.stop
+        assert r.redacted == "".join([*want, own[at:]])
+
+
+def test_paths_speak(spark):
+    """A path beside the text and one right before the candidate are the same to the forest's input."""
+    rows = [(1, "see tests/unit/key.py: token = \"abc123def456\"", None), (2, "token = \"abc123def456\"", "tests/unit/key.py"), (3, "see src/key.py: token = \"abc123def456\"", "src/key.py")]
+    told = secret_scan.with_candidates(spark.createDataFrame(rows, "doc_id int, text string, path string"))
+    assert {r.doc_id: r.candidates[0].inputs.checked_path for r in told.collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
+
+
 def test_forest_on_unseen_findings(spark):
     seen = secret_scan.default_forest(spark)
-    fresh = secret_scan.synthetic_findings(spark, 5000).where("id >= 4000" if "id" in secret_scan.synthetic_findings(spark, 1).columns else "true").withColumn("doc_id", F.monotonically_increasing_id())
+    fresh = secret_scan.synthetic_findings(spark, 5000).where("id >= 4000").withColumn("doc_id", F.col("id"))
     rows = secret_scan.scan(fresh.select("doc_id", "text", "path"), seen, path_col="path").join(fresh.select("doc_id", "label"), "doc_id")
     assert rows.agg(F.avg(((F.col("n_secrets") > 0) == (F.col("label") > 0)).cast("int"))).first()[0] > 0.97
 
