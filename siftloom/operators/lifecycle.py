@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.operators.search import in_scope
-from siftloom.operators.tables import newest, without
+from siftloom.operators.tables import newest, upserted, without
 
 
 def changed(rows: DataFrame, changes: DataFrame, keys: Sequence[str], values: Mapping[str, Column], when: Column | None = None) -> DataFrame:
@@ -37,6 +37,28 @@ def status_changed(documents: DataFrame, changes: DataFrame, now: Column) -> Dat
     return changed(documents, changes, ["document_id"], values, free)
 
 
+def pending_rows(documents: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Documents with those that are uploaded (document_id, workspace_id, uploaded_by, content_hash) made or set back to ``pending``, without chunks and errors.
+
+    An upload that does not name who uploaded it, or its hash, leaves what is stored.
+    """
+    made = uploads.select("document_id", "workspace_id", "uploaded_by", "content_hash", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error_message"))
+    stored = documents.select("document_id", "workspace_id", "uploaded_by", "content_hash", "status", F.col("chunk_count").cast("long").alias("chunk_count"), "error_message")
+    return upserted(stored, made, ["document_id"], ["uploaded_by", "content_hash"])
+
+
+def reuse_patched(vectors: DataFrame, uses: DataFrame) -> DataFrame:
+    """Vectors with the reuse counts that have changed (chunk_id, reuse_count)."""
+    return changed(vectors, uses, ["chunk_id"], {"reuse_count": F.col("new.reuse_count")})
+
+
+def touched(tenants: DataFrame, seen: DataFrame) -> DataFrame:
+    """Tenants (tenant_id, status, created_at, last_activity_at) with those seen (tenant_id, at) made or touched; activity never goes back."""
+    last = seen.groupBy("tenant_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    met = tenants.join(last, "tenant_id", "full")
+    return met.select("tenant_id", F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("created_at", "first").alias("created_at"), F.greatest("last_activity_at", "last").alias("last_activity_at"))
+
+
 def marked_failed(documents: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     """Documents that failed (workspace_id, document_id, error_message), whatever their run; other workspaces' stay as they are."""
     return changed(documents, failures, ["workspace_id", "document_id"], {"status": F.lit("failed"), "error_message": F.col("new.error_message"), "updated_at": now})

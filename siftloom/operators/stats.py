@@ -121,6 +121,13 @@ def percentiles(rows: DataFrame, by: str, measure: str, shares: Sequence[float]
     return met.select(F.col("t._by").alias(by), "n", *(F.col(f"f.{i}").alias(name) for i, name in enumerate(names)))
 
 
+def throughput(rows: DataFrame, by: str, at: str) -> DataFrame:
+    """Of each group its rows, the seconds from the first to the last, and rows a second (null within one moment): by, n, seconds, per_second."""
+    span = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6
+    told = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), span.alias("seconds"))
+    return told.select(by, "n", F.round("seconds", 3).alias("seconds"), F.when(F.col("seconds") > 0, F.round(F.col("n") / F.col("seconds"), 6)).alias("per_second"))
+
+
 def floored_counters(steps: DataFrame, key: str, run: str, order: str, delta: str) -> DataFrame:
     """Counters that never fall below 0, each run applied once in order: key, value.
 

@@ -260,6 +260,42 @@ def status_changes(t: Tables) -> DataFrame:
     return lifecycle.status_changed(documents, changes, _now()).select("document_id", "status", "error_message", F.col("processed_at").isNotNull().alias("done"))
 
 
+@query("""WITH d AS (SELECT o_orderkey AS document_id, o_orderstatus AS workspace_id, o_orderpriority AS uploaded_by, 'h' || o_custkey AS content_hash, o_custkey AS chunk_count FROM orders),
+u AS (SELECT o_orderkey + 9000 AS document_id, 'F' AS workspace_id, CASE WHEN o_custkey % 2 = 0 THEN 'someone' END AS uploaded_by, CASE WHEN o_custkey % 3 = 0 THEN 'n' || o_custkey END AS content_hash FROM orders)
+SELECT coalesce(u.document_id, d.document_id) AS document_id, coalesce(u.workspace_id, d.workspace_id) AS workspace_id, coalesce(u.uploaded_by, d.uploaded_by) AS uploaded_by, coalesce(u.content_hash, d.content_hash) AS content_hash,
+CASE WHEN u.document_id IS NULL THEN 'processed' ELSE 'pending' END AS status, CASE WHEN u.document_id IS NULL THEN chunk_count ELSE 0 END AS chunk_count, CASE WHEN u.document_id IS NULL THEN 'old' END AS error_message FROM d FULL JOIN u ON d.document_id = u.document_id""")
+def pending_documents(t: Tables) -> DataFrame:
+    documents = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("workspace_id"), F.col("o_orderpriority").alias("uploaded_by"), F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("content_hash"), F.lit("processed").alias("status"), F.col("o_custkey").alias("chunk_count"), F.lit("old").alias("error_message"))
+    uploads = t.orders.select((F.col("o_orderkey") + 9000).alias("document_id"), F.lit("F").alias("workspace_id"), F.when(F.col("o_custkey") % 2 == 0, "someone").alias("uploaded_by"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("n"), F.col("o_custkey").cast("string"))).alias("content_hash"))
+    return lifecycle.pending_rows(documents, uploads)
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN (vec_id % 9)::INT ELSE 0 END AS reuse_count FROM embeddings")
+def reuse_counts_patched(t: Tables) -> DataFrame:
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("reuse_count"))
+    uses = t.labels.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 9).cast("int").alias("reuse_count")).dropDuplicates(["chunk_id"])
+    return lifecycle.reuse_patched(vectors, uses)
+
+
+@query("""WITH s AS (SELECT user_id, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1)
+SELECT coalesce(c_custkey, user_id) AS tenant_id, CASE WHEN c_custkey IS NULL THEN 'active' ELSE 'old' END AS status, coalesce(CASE WHEN c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-05' END, first) AS created_at, greatest(CASE WHEN c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-20' END, last) AS last_activity_at
+FROM customer FULL JOIN s ON c_custkey = user_id""")
+def tenants_touched(t: Tables) -> DataFrame:
+    stamp = lambda x: F.lit(x).cast("timestamp_ntz")
+    tenants = t.customer.select(F.col("c_custkey").alias("tenant_id"), F.lit("old").alias("status"), stamp("2024-01-05").alias("created_at"), stamp("2024-01-20").alias("last_activity_at"))
+    return lifecycle.touched(tenants, t.events.select(F.col("user_id").alias("tenant_id"), F.col("ts").alias("at")))
+
+
+@query("SELECT event_type, count(*) AS n, round(epoch_us(max(ts) - min(ts)) / 1e6::DOUBLE, 3) AS seconds, round(count(*) / (epoch_us(max(ts) - min(ts)) / 1e6::DOUBLE), 6) AS per_second FROM events GROUP BY 1")
+def event_throughput(t: Tables) -> DataFrame:
+    return stats.throughput(t.events, "event_type", "ts")
+
+
+@query("SELECT event_id AS message_id, ts AS sent_at FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id")
+def topic_history(t: Tables) -> DataFrame:
+    return limits.history(t.events.select(F.col("event_id").alias("message_id"), F.col("event_type").alias("topic"), F.col("ts").alias("sent_at")), "purchase").select("message_id", "sent_at")
+
+
 @query(f"WITH {_ORDERS} SELECT document_id, CASE WHEN workspace_id = 'F' AND document_id % 7 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN workspace_id = 'F' AND document_id % 7 = 0 THEN 'no space' END AS error_message FROM d")
 def failed_documents(t: Tables) -> DataFrame:
     failures = _orders(t).where("document_id % 7 = 0").select(F.lit("F").alias("workspace_id"), "document_id", F.lit("no space").alias("error_message"))

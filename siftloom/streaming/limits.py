@@ -86,6 +86,11 @@ def file_queue(spark: SparkSession, path: str, schema: str, per_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+def history(messages: DataFrame, topic: str) -> DataFrame:
+    """What was sent under a topic, in order (message_id, topic, sent_at, ...)."""
+    return messages.where(F.col("topic") == topic).orderBy("sent_at", "message_id")
+
+
 def delivered(messages: DataFrame, max_deliveries: int = 5) -> tuple[DataFrame, DataFrame]:
     """Pending messages (message_id, topic, deliveries, idle_ms, ...) split into those to hand out again, with one delivery more, and poison.
 
