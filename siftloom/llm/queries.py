@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import bpe, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
+from siftloom.llm import bpe, language_id, media, mixing, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Files of public tokenizers, by name; never copied.
@@ -90,6 +90,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its token digests; null and empty texts have no tokens."""
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 OP3_SQL = r"""
