@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import bpe, language_id, media, mixing, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
+from siftloom.llm import bpe, collocations, language_id, media, mixing, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from siftloom.llm.common import table
 
 #: Files of public tokenizers, by name; never copied.
@@ -90,6 +90,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language; null texts count as empty, a null language as und."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its token digests; null and empty texts have no tokens."""
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -244,4 +250,31 @@ FROM fits
     " OR ".join(f"plain = '{n}.{e}' OR ends_with(plain, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS),
 )
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op7_ngram_links": OP7_LINKS_SQL, "op10_url_filter": OP10_SQL}
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT COALESCE(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+        FROM documents)),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM pieces, (VALUES (1), (2), (3), (4)) sizes(size)),
+f AS (SELECT lang, size, phrase, count(*)::BIGINT AS a FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM found) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+worst AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, a AS longer, unnest(list_distinct(flatten(list_transform(range(2, size), lambda n: list_transform(range(1, size - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))))) AS phrase
+  FROM found WHERE size > 2),
+held AS (SELECT DISTINCT i.lang, i.phrase FROM inner_ i JOIN found USING (lang, phrase) WHERE 100::HUGEINT * longer >= 80::HUGEINT * a),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM worst ANTI JOIN held USING (lang, phrase) JOIN words USING (lang)
+QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_collocations": OP11_SQL, "op3_quality_rules": OP3_SQL, "op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op7_ngram_links": OP7_LINKS_SQL, "op10_url_filter": OP10_SQL}
