@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import bpe, collocations, language_id, media, mixing, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
-from siftloom.llm.common import table
+from siftloom.llm import bpe, collocations, language_id, media, mixing, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, time_partitions, token_counts, url_filter
+from siftloom.llm.common import shared_dir, table
 
 #: Files of public tokenizers, by name; never copied.
 BPE_FILE = "byte_bpe_50k.json"
@@ -95,6 +96,25 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def click_moment(schema_type: str) -> Column:
+    """op12's moment of a click: ts, for some ids moved back by days or floored to Monday; null ts gives null."""
+    k = F.crc32(F.col("click_id").cast("string").cast("binary")) % 128
+    back = F.expr("ts - make_dt_interval(cast(pow(crc32(cast(cast(click_id as string) as binary)) % 128 + 6, 3) as int))")
+    monday = F.trunc(F.col("ts").cast("date"), "week").cast(schema_type)
+    return F.when(k < 16, back).when(k > 111, monday).otherwise(F.col("ts"))
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of clicks after they were written up to April and rewritten for all; null ts are the leaf null, null ids digest as nothing. Each call has a folder of its own, which stays."""
+    clicks = table(spark, sf_dir, "clicks")
+    limit = 1 + clicks.count() // 800
+    moment, order = click_moment(clicks.schema["ts"].dataType.simpleString()), ("arrived_at", "click_id")
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast(clicks.schema["arrived_at"].dataType), F.lit(False))
+    folder = f"{shared_dir(spark)}/op12-{uuid.uuid4().hex}"
+    old = time_partitions.write_layout(clicks.where(early), folder, limit, moment, order)
+    return time_partitions.rewrite_layout(clicks, folder, limit, moment, order, old, ~early, "click_id")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its token digests; null and empty texts have no tokens."""
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
@@ -113,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_time_partitions": op12_time_partitions,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
