@@ -56,16 +56,24 @@ def tolerance(metric: Column, n: Column) -> Column:
 def gate(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Baseline (mode, metric, value) against current (mode, metric, value, n): delta, allowed, regressed, and the ratcheted baseline.
 
-    A metric that the current run lacks has regressed.
+    Only what the baseline has is judged. A metric that the current run lacks
+    counts as 0, with the largest ``n`` of the run for its tolerance.
     """
-    both = baseline.withColumnRenamed("value", "base").join(current, ["mode", "metric"], "left")
-    allowed = tolerance(F.col("metric"), F.coalesce("n", F.lit(1)))
+    both = baseline.withColumnRenamed("value", "base").join(current, ["mode", "metric"], "left").join(F.broadcast(current.agg(F.max("n").alias("n_run"))))  # one row
+    allowed = tolerance(F.col("metric"), F.coalesce("n", "n_run", F.lit(1)))
+    now = F.coalesce("value", F.lit(0.0))
     return both.select(
-        "mode", "metric", "base", "value", F.round(F.col("value") - F.col("base"), 6).alias("delta"), F.round(allowed, 6).alias("allowed"),
-        F.coalesce(F.col("value") < F.col("base") - allowed, F.lit(True)).alias("regressed"), F.greatest("base", "value").alias("ratchet"),
+        "mode", "metric", "base", "value", F.round(now - F.col("base"), 6).alias("delta"), F.round(allowed, 6).alias("allowed"),
+        (now < F.col("base") - allowed).alias("regressed"), F.greatest("base", "value").alias("ratchet"),
     )
 
 
+def ratcheted(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """The baseline that never falls: mode, metric, value, the greater one of both sides, with what only one of them has."""
+    both = baseline.select("mode", "metric", F.col("value").alias("base")).join(current.select("mode", "metric", "value"), ["mode", "metric"], "full")
+    return both.select("mode", "metric", F.greatest("base", "value").alias("value"))
+
+
 def latest(rows: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
     """The last row of each key."""
     order = Window.partitionBy(*keys).orderBy(F.col(at).desc(), *(F.col(t).desc() for t in ties))
@@ -73,18 +81,20 @@ def latest(rows: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
 
 
 def promoted(events: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Cases from feedback: answered gives grade 2, partial with evidence 1; expected documents are those of the evidence, else all, each once in order.
+    """Cases from feedback: answered gives grade 2, partial with evidence 1; expected documents are those of the evidence, without evidence all, each once in order.
 
     events: event_id, document_ids, chunk_ids (arrays side by side); feedback:
-    event_id, verdict, evidence (chunk ids).
+    event_id, verdict, evidence (chunk ids). Evidence that names no chunk of the
+    event, and events without documents, give no case.
     """
     met = feedback.join(events, "event_id")
     named = F.coalesce(F.size("evidence"), F.lit(-1)) > 0
     grade = F.when(F.col("verdict") == "answered", 2).when((F.col("verdict") == "partial") & named, 1)
     pairs = F.arrays_zip(F.col("document_ids").alias("d"), F.col("chunk_ids").alias("c"))
     told = F.transform(F.filter(pairs, lambda p: F.array_contains(F.col("evidence"), p["c"])), lambda p: p["d"])
-    expected = F.array_distinct(F.when(named & (F.size(told) > 0), told).otherwise(F.col("document_ids")))
-    return met.withColumn("grade", grade).where("grade is not null").select("event_id", "grade", expected.alias("expected"))
+    expected = F.array_distinct(F.when(named, told).otherwise(F.col("document_ids")))
+    cases = met.select("event_id", grade.alias("grade"), expected.alias("expected"))
+    return cases.where("grade is not null and size(expected) > 0")
 
 
 def merged_cases(cases: DataFrame) -> DataFrame:
@@ -99,22 +109,45 @@ def merged_cases(cases: DataFrame) -> DataFrame:
     return found.join(ids, ["workspace_id", "case_key"], "left").select("workspace_id", "case_key", "query", F.coalesce("expected", none).alias("expected"), "grade")
 
 
+#: The kinds of feedback that count as an answer.
+POSITIVE = ("answered", "partial")
+#: Days that a scorecard looks back, and labelled cases below which its rates are of low confidence.
+WINDOW_DAYS, MIN_CASES = 30, 50
+
+
+def distribution(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """A map from each value that is not null to its number, a row for each ``by``."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "n")))).alias(name))
+
+
 def scorecard(events: DataFrame, feedback: DataFrame, by: str = "workspace_id") -> DataFrame:
-    """Captured events, feedback, and its rates: feedback over captured (0 without), answered over feedback (null without)."""
+    """Captured events, feedback, their distributions, and rates: feedback over captured (0 without), answered or partial over feedback (null without).
+
+    events: by, quality_verdict; feedback: by, verdict. Groups that either side has.
+    """
     captured = events.groupBy(by).agg(F.count(F.lit(1)).alias("captured"))
-    said = feedback.groupBy(by).agg(F.count(F.lit(1)).alias("feedback"), F.count(F.when(F.col("verdict") == "answered", 1)).alias("answered"), F.count(F.when(F.col("verdict") == "partial", 1)).alias("partial"), F.count(F.when(F.col("verdict") == "wrong", 1)).alias("wrong"))
-    both = captured.join(said, by, "full").fillna(0, ["captured", "feedback", "answered", "partial", "wrong"])
-    return both.withColumns({
-        "feedback_rate": F.when(F.col("captured") > 0, F.round(F.col("feedback") / F.col("captured"), 6)).otherwise(0.0),
-        "answered_rate": F.when(F.col("feedback") > 0, F.round(F.col("answered") / F.col("feedback"), 6)),
-    })
+    said = feedback.groupBy(by).agg(F.count(F.lit(1)).alias("feedback"), F.count(F.when(F.col("verdict").isin(*POSITIVE), 1)).alias("positive"))
+    both = captured.join(said, by, "full").fillna(0, ["captured", "feedback", "positive"])
+    both = both.join(distribution(events, by, "quality_verdict", "verdict_distribution"), by, "left").join(distribution(feedback, by, "verdict", "feedback_distribution"), by, "left")
+    none = F.create_map().cast("map<string,bigint>")
+    return both.select(
+        by,
+        "captured",
+        "feedback",
+        F.when(F.col("captured") > 0, F.round(F.col("feedback") / F.col("captured"), 6)).otherwise(0.0).alias("feedback_rate"),
+        F.when(F.col("feedback") > 0, F.round(F.col("positive") / F.col("feedback"), 6)).alias("answer_rate"),
+        F.coalesce("verdict_distribution", none).alias("verdict_distribution"),
+        F.coalesce("feedback_distribution", none).alias("feedback_distribution"),
+    )
 
 
 def replay_metrics(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """Metrics of every mode over active cases (query_id, id, grade): results have mode too; a mode that found nothing counts as zeros."""
+    from siftloom.operators.search import sized
+
     modes = results.select("mode").distinct()
-    # a few names of search modes
-    judged = cases.join(F.broadcast(modes)).withColumn("query_id", F.struct("mode", "query_id"))
+    judged = cases.join(sized(modes)).withColumn("query_id", F.struct("mode", "query_id"))
     ranked = results.withColumn("query_id", F.struct("mode", "query_id"))
     per = metrics(ranked, judged, k).select(F.col("query_id.mode").alias("mode"), F.col("query_id.query_id").alias("query_id"), "recall", "mrr", "ndcg", "hit")
     return means(per)
@@ -127,11 +160,48 @@ def corpus_gaps(feedback: DataFrame, by: str = "workspace_id", n: int = 5) -> Da
     return last.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "query_text"))), lambda x: x["query_text"]).alias("gaps"))
 
 
-def full_scorecard(events: DataFrame, feedback: DataFrame, cases: DataFrame, by: str = "workspace_id") -> DataFrame:
-    """The scorecard with the number of active cases and the last gaps."""
-    active = cases.where("active").groupBy(by).agg(F.count(F.lit(1)).alias("active_cases"))
-    both = scorecard(events, feedback, by).join(active, by, "left").join(corpus_gaps(feedback, by), by, "left")
-    return both.withColumns({"active_cases": F.coalesce("active_cases", F.lit(0)), "gaps": F.coalesce("gaps", F.array().cast("array<string>"))})
+def full_scorecard(
+    events: DataFrame, feedback: DataFrame, cases: DataFrame, runs: DataFrame, now: Column, by: str = "workspace_id", days: int = WINDOW_DAYS, least: int = MIN_CASES
+) -> DataFrame:
+    """The scorecard of the last ``days`` with active cases, gaps, the last run and a summary; low_confidence: fewer than ``least`` active cases.
+
+    events and feedback have created_at; cases: by, active; runs: by, run_id,
+    status, started_at and whatever a run holds, the last of which is the struct
+    last_run (null without). Events and feedback older than the window don't
+    count; gaps, cases and runs are of any time. Groups that any side but the
+    runs has.
+    """
+
+    def recent(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("created_at") > now - F.make_dt_interval(F.lit(days)))
+
+    active = cases.where("active").groupBy(by).agg(F.count(F.lit(1)).alias("eval_case_count"))
+    rest = [c for c in runs.columns if c != by]
+    last = runs.groupBy(by).agg(F.max_by(F.struct(*rest), F.struct("started_at", "run_id")).alias("last_run"))
+    both = scorecard(recent(events), recent(feedback), by).join(active, by, "full").join(corpus_gaps(feedback, by), by, "full").join(last, by, "left")
+    none = F.create_map().cast("map<string,bigint>")
+    both = both.withColumns({
+        **{c: F.coalesce(c, F.lit(0)) for c in ("captured", "feedback", "feedback_rate", "eval_case_count")},
+        **{c: F.coalesce(c, none) for c in ("verdict_distribution", "feedback_distribution")},
+        "gaps": F.coalesce("gaps", F.array().cast("array<string>")),
+    }).withColumn("low_confidence", F.col("eval_case_count") < least)
+    return both.withColumn("summary", _summary(days, least))
+
+
+def _summary(days: int, least: int) -> Column:
+    """What the scorecard says, in words."""
+
+    def percent(rate: str) -> Column:
+        return F.concat(F.round(100 * F.col(rate)).cast("long").cast("string"), F.lit("%"))
+
+    feedback = F.when(
+        F.col("answer_rate").isNotNull(),
+        F.concat(F.lit(" "), F.col("feedback").cast("string"), F.lit(" of them have feedback ("), percent("feedback_rate"), F.lit("); "), percent("answer_rate"), F.lit(" of that is answered in full or in part.")),
+    ).otherwise("")
+    few = F.when(F.col("low_confidence"), f" With fewer than {least} cases all rates are of low confidence.").otherwise("")
+    gaps = F.when(F.size("gaps") > 0, F.concat(F.lit(" Queries without relevant results: "), F.array_join("gaps", ", "), F.lit("."))).otherwise("")
+    said = F.concat(F.col("captured").cast("string"), F.lit(f" searches captured in {days} days."), feedback, F.lit(" "), F.col("eval_case_count").cast("string"), F.lit(" labelled cases."), few, gaps)
+    return F.when((F.col("captured") == 0) & (F.col("eval_case_count") == 0), "No searches captured and no labelled cases.").otherwise(said)
 
 
 def dataset_eval(results: DataFrame, expected: DataFrame, k: int, min_hit_rate: float = 0.0) -> tuple[DataFrame, DataFrame]:

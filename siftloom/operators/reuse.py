@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.functions.text import content_hash
 from siftloom.operators.search import nearest_others
 from siftloom.session import ship
 
@@ -25,25 +26,25 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def reuse_events(new: DataFrame, stored: DataFrame, ledger: DataFrame | None = None, floor: float = MIN_COSINE, least: float = MIN_RATIO) -> DataFrame:
-    """New events of reuse: new_chunk, new_document, chunk_id, document_id, cos, ratio.
+    """New events of reuse: new_chunk, new_document, content_hash, chunk_id, document_id, cos, ratio.
 
     new and stored: chunk_id, document_id, content, embedding. Short chunks
     don't count; of each new chunk the NEAREST vectors of other documents with
-    at least ``floor`` are compared as texts. Pairs that the ledger
-    (new_document, document_id, chunk_id) already has are left out, and each
-    such triple is one event.
+    at least ``floor`` are compared as texts. A chunk that is reused by a document
+    in one content (``content_hash`` of the new chunk) is one event; what the ledger
+    (new_document, content_hash, document_id, chunk_id) already has is left out.
     """
     ship(new.sparkSession)
     long = new.where(F.length(F.trim("content")) >= MIN_CHARS)
     asked = long.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("query_document"), F.col("embedding").alias("vector"))
     near = nearest_others(stored, asked, NEAREST, floor)
-    texts = near.join(long.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("new_document"), F.col("content").alias("new_content")), "query_id").join(stored.select("chunk_id", "content"), "chunk_id")
+    texts = near.join(long.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("new_document"), F.col("content").alias("new_content"), content_hash(F.col("content")).alias("content_hash")), "query_id").join(stored.select("chunk_id", "content"), "chunk_id")
     met = texts.withColumn("ratio", F.round(similarity(F.col("new_content"), F.col("content")), 6)).where(F.col("ratio") >= least)
-    keys = ["new_document", "document_id", "chunk_id"]
+    keys = ["new_document", "content_hash", "document_id", "chunk_id"]
     best = met.groupBy(*keys).agg(F.max_by(F.struct(F.col("query_id").alias("new_chunk"), "cos", "ratio"), F.struct("ratio", "cos", "query_id")).alias("x")).select(*keys, "x.*")
     if ledger is not None:
         best = best.join(ledger.select(*keys), keys, "left_anti")
-    return best.select("new_chunk", "new_document", "chunk_id", "document_id", "cos", "ratio")
+    return best.select("new_chunk", "new_document", "content_hash", "chunk_id", "document_id", "cos", "ratio")
 
 
 def reuse_counts(events: DataFrame) -> DataFrame:

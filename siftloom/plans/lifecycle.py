@@ -422,11 +422,16 @@ def eval_replay(t: Tables) -> DataFrame:
     return evaluation.replay_metrics(cases, results, 10).drop("ndcg")
 
 
-@query("""WITH f AS (SELECT user_id % 20 AS workspace_id, event_id, props, ts, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error'),
-c AS (SELECT user_id % 20 AS workspace_id, count(*) AS captured, count(*) FILTER (event_id % 3 = 0) AS active_cases FROM events GROUP BY 1)
-SELECT workspace_id, captured, active_cases, (SELECT string_agg(props, '|' ORDER BY n) FROM f WHERE f.workspace_id = c.workspace_id AND n <= 5) AS gaps FROM c""")
+@query("""WITH e AS (SELECT *, user_id % 20 AS workspace_id, ts > TIMESTAMP '2024-01-31' - INTERVAL 10 DAY AS recent FROM events),
+f AS (SELECT workspace_id, props, row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, event_id DESC) AS n FROM e WHERE event_type = 'error'),
+r AS (SELECT workspace_id, event_id, row_number() OVER (PARTITION BY workspace_id ORDER BY ts DESC, event_id DESC) AS n FROM e WHERE event_type = 'signup')
+SELECT workspace_id, count(*) FILTER (recent) AS captured, count(*) FILTER (recent AND event_type = 'error') AS feedback, CASE WHEN count(*) FILTER (recent AND event_type = 'error') > 0 THEN 0.0 END::DOUBLE AS answer_rate, count(*) FILTER (event_id % 3 = 0) AS eval_case_count,
+count(*) FILTER (event_id % 3 = 0) < 90 AS low_confidence, (SELECT string_agg(props, '|' ORDER BY n) FROM f WHERE f.workspace_id = e.workspace_id AND n <= 5) AS gaps, (SELECT max(event_id) FROM r WHERE r.workspace_id = e.workspace_id AND n = 1) AS last_run FROM e GROUP BY 1""")
 def scorecard_gaps(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("workspace_id", F.col("user_id") % 20)
-    said = rows.where("event_type = 'error'").select("workspace_id", "event_id", F.lit("not_relevant").alias("verdict"), F.col("props").alias("query_text"), F.col("ts").alias("created_at"))
+    rows = t.events.withColumns({"workspace_id": F.col("user_id") % 20, "quality_verdict": F.lit(None).cast("string"), "created_at": F.col("ts")})
+    said = rows.where("event_type = 'error'").select("workspace_id", "event_id", F.lit("not_relevant").alias("verdict"), F.col("props").alias("query_text"), "created_at")
     cases = rows.select("workspace_id", (F.col("event_id") % 3 == 0).alias("active"))
-    return evaluation.full_scorecard(rows, said, cases).select("workspace_id", "captured", "active_cases", F.when(F.size("gaps") > 0, F.array_join("gaps", "|")).alias("gaps"))
+    runs = rows.where("event_type = 'signup'").select("workspace_id", F.col("event_id").alias("run_id"), F.lit("completed").alias("status"), F.col("ts").alias("started_at"))
+    now = F.lit("2024-01-31 00:00:00").cast(t.events.schema["ts"].dataType)
+    told = evaluation.full_scorecard(rows, said, cases, runs, now, days=10, least=90)
+    return told.select("workspace_id", "captured", "feedback", "answer_rate", "eval_case_count", "low_confidence", F.when(F.size("gaps") > 0, F.array_join("gaps", "|")).alias("gaps"), F.col("last_run.run_id").alias("last_run"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.operators import evaluation, reuse, search
@@ -209,9 +209,9 @@ def recall_mrr_ndcg(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RANKED}, u AS (UNPIVOT (SELECT query_id AS mode, recall, mrr, ndcg FROM m) ON recall, mrr, ndcg INTO NAME metric VALUE base),
 c AS (SELECT mode, metric, round(base * CASE WHEN metric = 'mrr' THEN 0.4 ELSE 1.01 END, 6) AS value, 30 AS n FROM u WHERE mode <> 'src3')
-SELECT u.mode, u.metric, u.base, c.value, round(c.value - u.base, 6) AS delta,
-round(greatest(0.02, CASE u.metric WHEN 'mrr' THEN 0.5 WHEN 'recall' THEN 1.0 ELSE 1 - 1 / log2(3) END / coalesce(n, 1)), 6) AS allowed,
-coalesce(c.value < u.base - greatest(0.02, CASE u.metric WHEN 'mrr' THEN 0.5 WHEN 'recall' THEN 1.0 ELSE 1 - 1 / log2(3) END / coalesce(n, 1)), true) AS regressed, greatest(u.base, c.value) AS ratchet
+SELECT u.mode, u.metric, u.base, c.value, round(coalesce(c.value, 0) - u.base, 6) AS delta,
+round(greatest(0.02, CASE u.metric WHEN 'mrr' THEN 0.5 WHEN 'recall' THEN 1.0 ELSE 1 - 1 / log2(3) END / 30), 6) AS allowed,
+coalesce(c.value, 0) < u.base - greatest(0.02, CASE u.metric WHEN 'mrr' THEN 0.5 WHEN 'recall' THEN 1.0 ELSE 1 - 1 / log2(3) END / 30) AS regressed, greatest(u.base, c.value) AS ratchet
 FROM u LEFT JOIN c ON u.mode = c.mode AND u.metric = c.metric""")
 def gate_regressions(t: Tables) -> DataFrame:
     rows = evaluation.metrics(*_ranked(t), 10).select(F.col("query_id").alias("mode"), "recall", "mrr", "ndcg").unpivot("mode", ["recall", "mrr", "ndcg"], "metric", "value")
@@ -225,28 +225,37 @@ def eval_means(t: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT l_orderkey AS event_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS d, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS c FROM lineitem GROUP BY 1),
-f AS (SELECT o_orderkey AS event_id, ['answered', 'partial', 'wrong'][1 + o_orderkey % 3] AS verdict, CASE WHEN o_orderkey % 2 = 0 THEN [1, 3] ELSE [] END AS evidence FROM orders),
+f AS (SELECT o_orderkey AS event_id, ['answered', 'partial', 'not_relevant'][1 + o_orderkey % 3] AS verdict, CASE WHEN o_orderkey % 2 = 0 THEN [1, 3] ELSE [] END AS evidence FROM orders),
 g AS (SELECT e.event_id, CASE WHEN verdict = 'answered' THEN 2 WHEN verdict = 'partial' AND len(evidence) > 0 THEN 1 END AS grade, d, list_filter(d, lambda x, i: list_contains(evidence, c[i])) AS told, evidence FROM e JOIN f USING (event_id)),
-x AS (SELECT event_id, grade, CASE WHEN len(evidence) > 0 AND len(told) > 0 THEN told ELSE d END AS expected FROM g WHERE grade IS NOT NULL)
-SELECT event_id, grade, array_to_string(list_filter(expected, lambda v, i: list_position(expected, v) = i), ',') AS expected FROM x""")
+x AS (SELECT event_id, grade, CASE WHEN len(evidence) > 0 THEN told ELSE d END AS expected FROM g WHERE grade IS NOT NULL)
+SELECT event_id, grade, array_to_string(list_filter(expected, lambda v, i: list_position(expected, v) = i), ',') AS expected FROM x WHERE len(expected) > 0""")
 def feedback_promotion(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     events = lines.select(F.col("l_orderkey").alias("event_id"), F.col("x.l_partkey").alias("document_ids"), F.col("x.l_linenumber").alias("chunk_ids"))
-    verdict = F.element_at(F.array(*map(F.lit, ("answered", "partial", "wrong"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    verdict = F.element_at(F.array(*map(F.lit, ("answered", "partial", "not_relevant"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
     evidence = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array().cast("array<int>"))
     feedback = t.orders.select(F.col("o_orderkey").alias("event_id"), verdict.alias("verdict"), evidence.alias("evidence"))
     return evaluation.promoted(events, feedback).withColumn("expected", F.array_join("expected", ","))
 
 
-@query("""WITH c AS (SELECT user_id % 20 AS workspace_id, count(*) AS captured FROM events GROUP BY 1),
-f AS (SELECT user_id % 20 AS workspace_id, count(*) AS feedback, count(*) FILTER (event_type = 'purchase') AS answered, count(*) FILTER (event_type = 'click') AS "partial", count(*) FILTER (event_type = 'error') AS wrong FROM events WHERE event_type IN ('purchase', 'click', 'error') AND user_id % 20 <> 7 GROUP BY 1)
-SELECT workspace_id, coalesce(captured, 0) AS captured, coalesce(feedback, 0) AS feedback, coalesce(answered, 0) AS answered, coalesce("partial", 0) AS "partial", coalesce(wrong, 0) AS wrong,
-CASE WHEN captured > 0 THEN round(coalesce(feedback, 0)::DOUBLE / captured, 6) ELSE 0 END AS feedback_rate, CASE WHEN feedback > 0 THEN round(answered::DOUBLE / feedback, 6) END AS answered_rate FROM c FULL JOIN f USING (workspace_id)""")
+_VERDICT = "CASE event_type WHEN 'purchase' THEN 'answered' WHEN 'click' THEN 'partial' WHEN 'error' THEN 'not_relevant' END"
+
+
+@query(f"""WITH c AS (SELECT user_id % 20 AS workspace_id, count(*) AS captured FROM events GROUP BY 1),
+v AS (SELECT user_id % 20 AS workspace_id, string_agg(kind || ':' || n, ',' ORDER BY kind) AS verdicts FROM (SELECT user_id, event_type AS kind, count(*) OVER (PARTITION BY user_id % 20, event_type) AS n, row_number() OVER (PARTITION BY user_id % 20, event_type) AS nth FROM events WHERE event_type <> 'view') WHERE nth = 1 GROUP BY 1),
+x AS (SELECT user_id % 20 AS workspace_id, {_VERDICT} AS verdict FROM events WHERE event_type IN ('purchase', 'click', 'error') AND user_id % 20 <> 7),
+f AS (SELECT workspace_id, count(*) AS feedback, count(*) FILTER (verdict IN ('answered', 'partial')) AS positive, concat('answered:', count(*) FILTER (verdict = 'answered'), ',not_relevant:', count(*) FILTER (verdict = 'not_relevant'), ',partial:', count(*) FILTER (verdict = 'partial')) AS feedbacks FROM x GROUP BY 1)
+SELECT workspace_id, captured, coalesce(feedback, 0) AS feedback, round(coalesce(feedback, 0)::DOUBLE / captured, 6) AS feedback_rate,
+CASE WHEN feedback > 0 THEN round(positive::DOUBLE / feedback, 6) END AS answer_rate, coalesce(verdicts, '') AS verdicts, coalesce(feedbacks, '') AS feedbacks FROM c LEFT JOIN f USING (workspace_id) LEFT JOIN v USING (workspace_id)""")
 def eval_scorecard(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("workspace_id", F.col("user_id") % 20)
-    said = rows.where(F.col("event_type").isin("purchase", "click", "error") & (F.col("workspace_id") != 7))
-    verdict = F.when(F.col("event_type") == "purchase", "answered").when(F.col("event_type") == "click", "partial").otherwise("wrong")
-    return evaluation.scorecard(rows, said.withColumn("verdict", verdict))
+    rows = t.events.withColumn("workspace_id", F.col("user_id") % 20).withColumn("quality_verdict", F.expr("nullif(event_type, 'view')"))
+    said = rows.where(F.col("event_type").isin("purchase", "click", "error") & (F.col("workspace_id") != 7)).withColumn("verdict", F.expr(_VERDICT))
+    return evaluation.scorecard(rows, said).select("workspace_id", "captured", "feedback", "feedback_rate", "answer_rate", _told("verdict_distribution").alias("verdicts"), _told("feedback_distribution").alias("feedbacks"))
+
+
+def _told(counts: str) -> Column:
+    """A map of counts as one string, by name."""
+    return F.array_join(F.transform(F.sort_array(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
 
 
 @query("""SELECT o_orderstatus AS workspace_id, md5(lower(o_orderpriority)) AS case_key, min(o_orderpriority) AS query, array_to_string(list_sort(list_distinct(flatten(list([o_custkey % 7, o_custkey % 11])))), ',') AS expected, max(o_orderkey % 3) AS grade FROM orders GROUP BY 1, 2""")

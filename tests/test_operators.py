@@ -146,8 +146,51 @@ def test_reuse(spark):
     new = spark.createDataFrame([(9, 20, text, [1.0, 0.0]), (8, 20, "short", [1.0, 0.0])], "chunk_id int, document_id int, content string, embedding array<float>")
     got = reuse.reuse_events(new, stored)
     assert rows(got, "new_chunk", "chunk_id") == [(9, 1)] and rows(reuse.reuse_counts(got), "chunk_id", "reuse_count") == [(1, 1)]
-    ledger = spark.createDataFrame([(20, 10, 1)], "new_document int, document_id int, chunk_id int")
+    ledger = got.select("new_document", "content_hash", "document_id", "chunk_id")
     assert reuse.reuse_events(new, stored, ledger).count() == 0
+    # another passage of the same document that repeats the same chunk is an event of its own
+    second = spark.createDataFrame([(7, 20, text + "!", [1.0, 0.0])], new.schema)
+    assert rows(reuse.reuse_events(new.unionByName(second), stored, ledger), "new_chunk", "chunk_id") == [(7, 1)]
+
+
+def test_promotion_needs_chunks_of_the_event(spark):
+    from siftloom.operators import evaluation
+
+    events = spark.createDataFrame([(i, ["d1", "d2", "d1"], ["c1", "c2", "c3"]) for i in range(7)] + [(7, [], [])], "event_id int, document_ids array<string>, chunk_ids array<string>")
+    said = [(0, "answered", None), (1, "answered", ["c3", "c1"]), (2, "answered", ["other"]), (3, "partial", ["c2"]), (4, "partial", []), (5, "not_relevant", ["c1"]), (6, "partial", ["x"]), (7, "answered", None), (9, "answered", None)]
+    got = evaluation.promoted(events, spark.createDataFrame(said, "event_id int, verdict string, evidence array<string>"))
+    assert sorted(map(tuple, got.collect())) == [(0, 2, ["d1", "d2"]), (1, 2, ["d1"]), (3, 1, ["d2"])]
+
+
+def test_gate_counts_what_is_absent_as_nothing(spark):
+    from siftloom.operators import evaluation
+
+    base = spark.createDataFrame([("kw", "mrr", 0.9), ("kw", "recall", 0.015), ("vec", "mrr", 0.01)], "mode string, metric string, value double")
+    now = spark.createDataFrame([("kw", "mrr", 0.89, 100), ("new", "mrr", 0.5, 100)], "mode string, metric string, value double, n int")
+    got = {(r.mode, r.metric): (r.delta, r.regressed) for r in evaluation.gate(base, now).collect()}
+    assert got == {("kw", "mrr"): (-0.01, False), ("kw", "recall"): (-0.015, False), ("vec", "mrr"): (-0.01, False)}
+    assert all(r.regressed for r in evaluation.gate(base.where("metric = 'mrr' and mode = 'kw'"), now.limit(0)).collect())
+    assert {(r.mode, r.metric): r.value for r in evaluation.ratcheted(base, now).collect()} == {("kw", "mrr"): 0.9, ("kw", "recall"): 0.015, ("vec", "mrr"): 0.01, ("new", "mrr"): 0.5}
+
+
+def test_scorecard_in_full(spark):
+    import datetime as dt
+
+    from siftloom.operators import evaluation
+
+    now, old = dt.datetime(2024, 3, 1), dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([("w", v, t) for v, t in [("sufficient", now), ("sufficient", now), (None, now), ("low_confidence", now), ("sufficient", old)]] + [("v", None, old)], "workspace_id string, quality_verdict string, created_at timestamp")
+    feedback = spark.createDataFrame([("w", i, v, q, t) for i, v, q, t in [(1, "answered", "a", now), (2, "partial", "b", now), (3, "not_relevant", "c", now), (4, "not_relevant", "d", old)]], "workspace_id string, event_id int, verdict string, query_text string, created_at timestamp")
+    cases = spark.createDataFrame([("w", True)] * 3 + [("w", False), ("u", True)], "workspace_id string, active boolean")
+    runs = spark.createDataFrame([("w", 1, "completed", old), ("w", 2, "failed", now)], "workspace_id string, run_id int, status string, started_at timestamp")
+    got = {r.workspace_id: r for r in evaluation.full_scorecard(events, feedback, cases, runs, F.lit(now), least=3).collect()}
+    w = got["w"]
+    assert (w.captured, w.feedback, w.feedback_rate, w.answer_rate, w.eval_case_count, w.low_confidence) == (4, 3, 0.75, 0.666667, 3, False)
+    assert w.verdict_distribution == {"sufficient": 2, "low_confidence": 1} and w.feedback_distribution == {"answered": 1, "partial": 1, "not_relevant": 1}
+    assert w.gaps == ["c", "d"] and (w.last_run.run_id, w.last_run.status) == (2, "failed")
+    assert w.summary == "4 searches captured in 30 days. 3 of them have feedback (75%); 67% of that is answered in full or in part. 3 labelled cases. Queries without relevant results: c, d."
+    assert (got["u"].captured, got["u"].answer_rate, got["u"].low_confidence, got["u"].last_run) == (0, None, True, None)
+    assert "v" not in got
 
 
 def test_clean(spark):
