@@ -3,8 +3,8 @@
 Each language has a probability for each piece of a fixed public vocabulary,
 learned by expectation maximisation. A word's probability is the sum over all
 ways to cut it into pieces, by the forward algorithm; a text's is the product
-over its words. Words of any length are summed over whole: sums of long ones are
-scaled as they shrink.
+over its words. Words of any length are summed over whole: sums are scaled as
+they shrink.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ PER_LANGUAGE = 1500
 ROUNDS, PARTS = 2, 8
 #: Languages whose counts one job gathers, and whose probabilities one reading of the texts uses: at most 70 MB with 32 000 pieces.
 LEARNED_AT_ONCE, SCORED_AT_ONCE = 64, 512
-#: Words up to this length need no scaling: sums of that many unknown letters are far above the least double.
+#: Steps after which sums are scaled, and the least probability of a piece: their product is far above the least double.
+STEPS, LEAST = 8, 1e-30
+#: Longest word that a fit sums over without logarithms.
 SHORT = 32
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-7
@@ -101,7 +103,7 @@ class Lattice:
             for k in range(min(longest, n - i)):
                 held[(i + k + 1) % (longest + 1)] += now * probs[table[:, i, k]]
             now[:] = 0
-            if n > SHORT and i % 8 == 7:
+            if i % STEPS == STEPS - 1:
                 top = held.max(0)
                 held /= top
                 logs += np.log(top)
@@ -134,9 +136,11 @@ class Lattice:
         counts = np.zeros(len(probs))
         with np.errstate(divide="ignore"):
             logs = np.log(probs)
+        # so many letters, each the least likely piece, are still far above the least double
+        longest_short = min(SHORT, int(600 / max(-logs[probs > 0].min(initial=-1.0), 1.0)))
         for where, table in self.grouped(words):
             m, n, longest = table.shape
-            short = n <= SHORT
+            short = n <= longest_short
             p = (probs if short else logs)[table]
             join, add, nothing, one = (np.multiply, np.add, 0.0, 1.0) if short else (np.add, np.logaddexp, -np.inf, 0.0)
             alpha, beta = np.full((m, n + 1), nothing), np.full((m, n + 1), nothing)
@@ -218,7 +222,7 @@ class Scorer:
     """A worker's model with the probabilities of the words it met last."""
 
     def __init__(self, pieces: Sequence[str], probs: np.ndarray):
-        self.lattice, self.probs = Lattice(pieces), probs
+        self.lattice, self.probs = Lattice(pieces), np.where(probs > 0, np.maximum(probs, LEAST), 0.0)
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((1024, probs.shape[1]))
 

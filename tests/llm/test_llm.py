@@ -333,6 +333,20 @@ def test_forward_sums_all_segmentations():
     assert (counts * [1, 1, 2, 1, 2, 0, 1]).sum() == pytest.approx(6)
 
 
+@pytest.mark.parametrize("rare", [1e-7, 1e-12, 1e-29, 1e-45])
+def test_rare_pieces_give_numbers_at_every_length(rare):
+    pieces = ["▁", *"abcdefgh"]
+    probs = np.vstack([np.full((1, 2), 0.5), np.full((8, 2), rare) * [1, 2], np.zeros((1, 2)), np.full((1, 2), 1e-7)])
+    words = ["abcdefgh"[k % 8] * k for k in range(1, 8)] + [("abcdefgh" * 6)[:k] for k in range(5, 48)]
+    logs = language_id.Scorer(pieces, probs).log_likelihoods([[w] for w in words])
+    assert np.isfinite(logs).all()
+    if rare >= 1e-29:
+        for row, word in zip(logs, words, strict=True):
+            assert row == pytest.approx([math.log(0.5) + len(word) * math.log(rare * x) for x in (1, 2)], rel=1e-9)
+        counts = language_id.Lattice(pieces).expected(words, np.ones(len(words)), probs[:, 0])
+        assert counts[:9].sum() == pytest.approx(sum(map(len, words)) + len(words))
+
+
 def exact_log(word, ids, p, unknown, longest):
     """The logarithm of the sum over all segmentations, in exact fractions."""
     sums = [Fraction(1)]
