@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.operators import evaluation, reuse, search
+from siftloom.operators import evaluation, keyword_index, reuse, search
 from siftloom.plans.registry import Tables, query
+from siftloom.session import shared_folder
 
 _BM25 = r"""
 w AS (SELECT doc_id AS chunk_id, source AS document_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
@@ -38,6 +39,16 @@ def bm25_topk(t: Tables) -> DataFrame:
     return _keyword(t, 10)
 
 
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, document_id, score, pos FROM kw WHERE pos <= 10")
+def bm25_index_topk(t: Tables) -> DataFrame:
+    """The same from a stored index, made in one segment and an append."""
+    path = shared_folder(t.spark, "keyword-index")
+    chunks = _chunks(t)
+    keyword_index.append(chunks.where("chunk_id % 3 > 0"), path, "first")
+    keyword_index.append(chunks.where("chunk_id % 3 = 0"), path, "second")
+    return keyword_index.search_index(t.spark, path, _queries(t), 10)
+
+
 @query(r"""WITH w AS (SELECT doc_id AS chunk_id, source AS document_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
 a AS (SELECT item_id AS query_id, list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), 1, 100000) AS t FROM benchmark),
 q AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM a),

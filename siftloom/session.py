@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +27,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, Path(root.name) / f.relative_to(root))
     context.addPyFile(str(path))
     context._siftloom_shipped = True
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all machines share, ``spark.checkpoint.dir``; it stays.
+
+    Where a local session has none a folder under the temporary directory stands
+    in for it. Raises ValueError on a cluster without one.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+        told = "file://" + tempfile.gettempdir() + "/siftloom-checkpoints"
+    return f"{told.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
