@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftloom.functions.text import BROADENED, INSUFFICIENT, KEYWORD_RETRY, LOW, STOPWORDS, claim_tokens, gate_reason, gate_verdict, reuse_multiplier, support_level
-from siftloom.operators import inrow
+from siftloom.operators import inrow, vector_index
 
 #: Published defaults of BM25.
 K1, B = 1.2, 0.75
 ALPHA = 0.7
 #: Bytes of a side that is broadcast at most; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Cosine from which on random projections find nearly all pairs.
+NEAR = 0.8
 
 
 def width(df: DataFrame) -> Column:
@@ -313,11 +315,16 @@ def nearest_others(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: fl
     """For each query vector its k nearest vectors of other documents with at least ``floor``: query_id, chunk_id, document_id, cos, pos.
 
     queries: query_id, query_document, vector. Rows without a vector or document are left out.
+    Queries too large to be sent to the vectors meet them in buckets of random
+    projections where the floor is NEAR or more, which misses few pairs; below
+    that they are compared with every vector.
     """
     if inrow.fits(queries, "vector"):
         near = inrow.cosine_rows(vectors, queries, k, floor, False, "query_document").withColumnRenamed("score", "cos")
         order = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "chunk_id")
         return near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    if floor >= NEAR:
+        return vector_index.near_pairs(vectors, queries, k, floor)
     vectors, queries = vectors.where("embedding is not null"), queries.where("vector is not null")
     pairs = vectors.select("chunk_id", "document_id", "embedding").join(sized(queries), F.col("document_id") != F.col("query_document"))
     near = pairs.select("query_id", "chunk_id", "document_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cos")).where(F.col("cos") >= floor)

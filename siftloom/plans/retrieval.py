@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.operators import evaluation, keyword_index, reuse, search
+from siftloom.operators import evaluation, keyword_index, reuse, search, vector_index
 from siftloom.plans.registry import Tables, query
 from siftloom.session import shared_folder
 
@@ -44,8 +44,8 @@ def bm25_index_topk(t: Tables) -> DataFrame:
     """The same from a stored index, made in one segment and an append."""
     path = shared_folder(t.spark, "keyword-index")
     chunks = _chunks(t)
-    keyword_index.append(chunks.where("chunk_id % 3 > 0"), path, "first")
-    keyword_index.append(chunks.where("chunk_id % 3 = 0"), path, "second")
+    keyword_index.append(chunks.where("chunk_id % 3 > 0"), path, "first", buckets=8)
+    keyword_index.append(chunks.where("chunk_id % 3 = 0"), path, "second", buckets=8)
     return keyword_index.search_index(t.spark, path, _queries(t), 10)
 
 
@@ -71,6 +71,27 @@ def cosine_topk(t: Tables) -> DataFrame:
     return search.vectors_topk(vectors, asked, 10).select("query_id", "chunk_id", "document_id", "score", "pos")
 
 
+@query()
+def vector_index_topk(t: Tables) -> DataFrame:
+    """Vectors with an id divisible by 100 against all, from a stored index of two segments. The vectors have no clusters, so most lists are read."""
+    path = shared_folder(t.spark, "vector-index")
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), "embedding")
+    vector_index.create(vectors, path, lists=16)
+    vector_index.append(vectors.where("chunk_id % 3 > 0"), path, "first")
+    vector_index.append(vectors.where("chunk_id % 3 = 0"), path, "second")
+    asked = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search_index(t.spark, path, asked, 10, probes=12)
+
+
+@query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS document_id, round({_DOT}, 6) AS cos FROM embeddings a, embeddings b WHERE a.label <> b.label + 1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id)::INT AS pos FROM s WHERE cos >= 0.8 QUALIFY pos <= 5""")
+def near_vectors(t: Tables) -> DataFrame:
+    """All vectors against all of other labels, by buckets of random projections: those with a cosine of 0.8 or more."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), "embedding")
+    moved = t.embeddings.select(F.col("vec_id").alias("query_id"), (F.col("label") + 1).alias("query_document"), F.transform("embedding", lambda x: 2 * x).alias("vector"))
+    return vector_index.near_pairs(vectors, moved, 5, 0.8)
+
+
 @query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS document_id, round({_DOT}, 6) AS cos FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.label <> b.label)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id)::INT AS pos FROM s WHERE cos >= 0.1 QUALIFY pos <= 5""")
 def knn_other_documents(t: Tables) -> DataFrame:

@@ -90,3 +90,80 @@ def test_nothing_to_index(spark, chunks):
     keyword_index.append(spark.createDataFrame([(1, "d", None), (2, "d", " .")], chunks.schema), found, "a")
     queries = spark.createDataFrame([("q", "w1")], "query_id string, query string")
     assert keyword_index.search_index(spark, found, queries, 3).count() == 0
+
+
+def clustered(n, dim, seed, spread=0.25):
+    """Vectors around some centres, with copies, nulls and other lengths."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(30, dim))
+    found = centres[rng.integers(0, 30, n)] + spread * rng.normal(size=(n, dim))
+    rows = [(i, int(i % 11), x.astype(np.float32).tolist()) for i, x in enumerate(found)]
+    rows[5], rows[6], rows[7] = (5, 5, None), (6, 6, [1.0]), (7, 7, [0.0] * dim)
+    return rows + [(n + i, 3, rows[9][2]) for i in range(40)]
+
+
+def recall(got, want):
+    g, w = ({(r.query_id, r.chunk_id) for r in x.collect()} for x in (got, want))
+    return len(g & w) / max(len(w), 1)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.createDataFrame(clustered(2500, 24, 5), "chunk_id long, document_id int, embedding array<float>").repartition(3).cache()
+
+
+def test_vector_index_finds_what_exact_search_finds(spark, vectors):
+    from siftloom.operators import vector_index
+
+    found = shared_folder(spark, "test-vectors")
+    vector_index.create(vectors, found, lists=20, parts=6)
+    vector_index.append(vectors.where("chunk_id < 1000"), found, "a")
+    vector_index.append(vectors.where("chunk_id >= 1000"), found, "b")
+    vector_index.append(vectors.where("chunk_id >= 1000"), found, "b")
+    asked = vectors.where("chunk_id % 50 = 0 or chunk_id in (5, 6)").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = search.vectors_topk(vectors, asked, 10)
+    few = vector_index.search_index(spark, found, asked, 10, probes=4)
+    assert recall(few, want) >= 0.9
+    every = vector_index.search_index(spark, found, asked, 10, probes=20, again=500)
+    own = lambda df: sorted(tuple(r) for r in df.where("query_id <> 6").select("query_id", "pos", "chunk_id", "document_id", "score").collect())
+    assert own(every) == own(want)
+    assert spark.read.parquet(f"{found}/lists").count() == vectors.where("size(embedding) = 24").count()
+    plan = few._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "list#" in plan and " IN (" in plan or "INSET" in plan
+
+
+def test_buckets_of_projections_find_near_vectors(spark, vectors):
+    from siftloom.operators import vector_index
+
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("query_document"), F.col("embedding").alias("vector"))
+    for floor in (0.8, 0.92):
+        want = search.nearest_others(vectors, asked, 5, floor)
+        got = vector_index.near_pairs(vectors, asked, 5, floor)
+        assert recall(got, want) >= 0.9
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # all vectors of a bucket: then nothing is missed
+    every = vector_index.near_pairs(vectors, asked, 5, 0.8, tables=1, bits=1, flips=1)
+    columns = ["query_id", "pos", "chunk_id", "document_id", "cos"]
+    exact = search.nearest_others(vectors, asked, 5, 0.8)
+    assert sorted(map(tuple, every.select(columns).collect())) == sorted(map(tuple, exact.select(columns).collect()))
+
+
+def test_large_sides_take_the_buckets(spark, vectors, monkeypatch):
+    from siftloom.operators import inrow
+
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("query_document"), F.col("embedding").alias("vector"))
+    want = search.nearest_others(vectors, asked, 5, 0.95)
+    monkeypatch.setattr(inrow, "fits", lambda *_: False)
+    assert recall(search.nearest_others(vectors, asked, 5, 0.95), want) >= 0.9
+
+
+def test_no_vectors(spark, vectors):
+    from siftloom.operators import vector_index
+
+    asked = vectors.limit(0).select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("query_document"), F.col("embedding").alias("vector"))
+    assert vector_index.near_pairs(vectors, asked).count() == 0
+    with pytest.raises(ValueError, match="no vector"):
+        vector_index.fit(vectors.where("embedding is null"))
