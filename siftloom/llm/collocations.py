@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import cut, small_batches
+from siftloom.llm.common import byte_batches, cut
 
 #: Words of a phrase at most.
 WORDS = 4
@@ -55,7 +55,7 @@ def _strings(values: list[bytes]) -> pa.Array:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word and its number n, for rows with text and lang that are not null; a task counts up to ``HELD`` words before it hands them on."""
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -116,14 +116,14 @@ def reaches(tokens: list[bytes], order: dict[bytes, int], whole: bool, limit: in
 
 
 def fragments(docs: DataFrame, counts: DataFrame, least: int, size: int, limit: int, held_most: int = HELD) -> DataFrame:
-    """The rewritten fragments with their number n: lang, route (the partition's key), split, skip (words before the pivot), fragment.
+    """The rewritten fragments with their number n: lang, route (the partition's key), split, fragment (a digit, the number of words before the pivot, then the words).
 
     ``split`` marks the pivots that hold so many words that their fragments go
     to several partitions, by their hash. A task merges equal fragments up to
     ``held_most`` of them.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark)
     order, whole = ordered_words(counts, least, limit)
     share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // SHARE)
     parts = {(r.lang, r.word.encode()): -(-r.n // share) for r in counts.where(F.col("n") > share).collect()}  # at most SHARE words
@@ -147,11 +147,10 @@ def fragments(docs: DataFrame, counts: DataFrame, least: int, size: int, limit:
                         pa.array([lang] * len(found), pa.string()),
                         pa.array(np.array(route, dtype=np.uint32).view(np.int32)),
                         pa.array([k > 1 for k in several]),
-                        pa.array(np.full(len(found), skip, dtype=np.int32)),
-                        _strings(found),
+                        _strings([b"%d %b" % (skip, f) for f in found]),
                         pa.array(list(counts.values()), pa.int64()),
                     ],
-                    ["lang", "route", "split", "skip", "fragment", "n"],
+                    ["lang", "route", "split", "fragment", "n"],
                 )
             held.clear()
 
@@ -171,7 +170,7 @@ def fragments(docs: DataFrame, counts: DataFrame, least: int, size: int, limit:
                 yield from flushed()
         yield from flushed()
 
-    return docs.mapInArrow(run, "lang string, route int, split boolean, skip int, fragment string, n bigint")
+    return docs.mapInArrow(run, "lang string, route int, split boolean, fragment string, n bigint")
 
 
 def owned(fragment: bytes, skip: int, size: int) -> list[bytes]:
@@ -184,32 +183,58 @@ def owned(fragment: bytes, skip: int, size: int) -> list[bytes]:
     return found
 
 
+def expanded(fragments: dict[bytes, int], least: int, size: int) -> dict[bytes, int]:
+    """The phrases of a pivot's fragments with their numbers; those with a neighbour that is next to the pivot fewer than ``least`` times are left out.
+
+    A phrase of two words or more holds the pivot and a word beside it, and is
+    no more frequent than these two.
+    """
+    counts: dict[bytes, int] = {}
+    split = [(f[0] - 48, f[2:].split(b" "), n) for f, n in fragments.items()]
+    if least > 1:
+        before: dict[bytes, int] = {}
+        after: dict[bytes, int] = {}
+        for skip, words, n in split:
+            if skip:
+                w = words[skip - 1]
+                before[w] = before.get(w, 0) + n
+            if skip + 1 < len(words):
+                w = words[skip + 1]
+                after[w] = after.get(w, 0) + n
+    for skip, words, n in split:
+        if least > 1:
+            if skip + 1 < len(words) and after[words[skip + 1]] < least:
+                del words[skip + 1 :]
+            if skip and before[words[skip - 1]] < least:
+                del words[:skip]
+                skip = 0
+            if len(words) == 1:
+                continue
+        for phrase in owned(b" ".join(words), skip, size):
+            counts[phrase] = counts.get(phrase, 0) + n
+    return counts
+
+
 def mined(pieces: DataFrame, least: int, size: int, held_most: int = HELD) -> DataFrame:
     """lang, phrase, its number of words and its number a, for phrases of 2 to ``size`` words that occur ``least`` times or more.
 
     Fragments are dealt by pivot and sorted by it, so that a task sees one
     pivot after the other; counts are final when the next one comes. Those of a
-    pivot with very many phrases are handed on in parts, as are those of the pivots
+    pivot with very many fragments are handed on in parts, as are those of the pivots
     that are split, and summed once more.
     """
     dealt = pieces.repartition("route").sortWithinPartitions("route", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: Counter = Counter()
-        counts: Counter = Counter()
+        merged: dict[bytes, int] = {}
         out: list[tuple[str, bytes, int, bool]] = []
         now, partly = None, False
 
-        def expand() -> None:
-            for (skip, fragment), n in merged.items():
-                for phrase in owned(fragment, skip, size):
-                    counts[phrase] += n
-            merged.clear()
-
         def close() -> None:
-            expand()
-            out.extend((now[1], phrase, n, partly) for phrase, n in counts.items() if partly or n >= least)
-            counts.clear()
+            # parts of a pivot's counts say nothing about what is frequent
+            found = expanded(merged, 1 if partly else least, size)
+            out.extend((now[1], phrase, n, partly) for phrase, n in found.items() if partly or n >= least)
+            merged.clear()
 
         def ready() -> pa.RecordBatch:
             langs, found, numbers, split = zip(*out, strict=True)
@@ -217,19 +242,24 @@ def mined(pieces: DataFrame, least: int, size: int, held_most: int = HELD) -> Da
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), _strings(list(found)), pa.array(numbers, pa.int64()), pa.array(split)], ["lang", "phrase", "a", "split"])
 
         for batch in batches:
-            route, lang = batch.column("route").to_numpy(), batch.column("lang").to_pylist()
-            split, skip, n = (batch.column(c).to_pylist() for c in ("split", "skip", "n"))
+            if not batch.num_rows:
+                continue
+            lang = batch.column("lang").dictionary_encode()
+            route, code = batch.column("route").to_numpy(), lang.indices.to_numpy()
+            split, n = batch.column("split").to_numpy(zero_copy_only=False), batch.column("n").to_pylist()
             fragment = batch.column("fragment").cast(pa.binary()).to_pylist()
-            for i, r in enumerate(route.tolist()):
-                if now is None or now[0] != r or now[1] != lang[i]:
+            edges = [0, *(np.flatnonzero((route[1:] != route[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(route)]
+            for a, b in pairwise(edges):
+                key = int(route[a]), lang.dictionary[int(code[a])].as_py()
+                if now != key:
                     if now is not None:
                         close()
-                    now, partly = (r, lang[i]), False
-                partly = partly or split[i]
-                merged[skip[i], fragment[i]] += n[i]
-                if len(merged) >= held_most:
-                    expand()
-                    if len(counts) >= held_most:
+                    now, partly = key, bool(split[a:b].any())
+                partly = partly or bool(split[a:b].any())
+                for at in range(a, b, held_most):
+                    for f, x in zip(fragment[at : min(b, at + held_most)], n[at : min(b, at + held_most)], strict=True):
+                        merged[f] = merged.get(f, 0) + x
+                    if len(merged) >= held_most:
                         partly = True
                         close()
             if len(out) >= held_most // 10:

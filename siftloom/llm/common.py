@@ -68,6 +68,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def byte_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Like :func:`small_batches`, with a bound of bytes in place of one of rows, so that batches of short rows stay large."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == BATCH_ROWS:
+        spark.conf.unset(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
