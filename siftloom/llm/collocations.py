@@ -30,7 +30,7 @@ ORDERED, ORDERED_BYTES = 400_000, 64
 #: A pivot's fragments go to one partition per so large a part of all words.
 SHARE = 1024
 #: Distinct words or fragments that a task counts before it hands them on.
-HELD = 250_000
+HELD = 700_000
 
 # What ends a piece, and what a word is.
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
@@ -126,7 +126,9 @@ def fragments(docs: DataFrame, counts: DataFrame, least: int, size: int, limit:
     byte_batches(spark)
     order, whole = ordered_words(counts, least, limit)
     share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // SHARE)
-    parts = {(r.lang, r.word.encode()): -(-r.n // share) for r in counts.where(F.col("n") > share).collect()}  # at most SHARE words
+    parts: dict[str, dict[bytes, int]] = {}
+    for r in counts.where(F.col("n") > share).collect():  # at most SHARE words
+        parts.setdefault(r.lang, {})[r.word.encode()] = -(-r.n // share)
     for known in order.values():
         known.update(dict.fromkeys(BREAKS, -1))
     shared = spark.sparkContext.broadcast((order, whole, parts))
@@ -138,16 +140,18 @@ def fragments(docs: DataFrame, counts: DataFrame, least: int, size: int, limit:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, skip), counts in held.items():
-                found, prefix = list(counts), lang.encode() + b"\0"
-                pivots = [f.split(b" ", skip + 1)[skip] for f in found]
-                several = [parts.get((lang, p), 1) for p in pivots]
-                route = [crc32(prefix + p) if k == 1 else crc32(b"%d" % (crc32(f) % k), crc32(prefix + p)) for f, p, k in zip(found, pivots, several, strict=True)]
+                found, prefix, sign = list(counts), lang.encode() + b"\0", b"%d " % skip
+                pivots = [f.split(b" ", skip + 1)[skip] for f in found] if skip else [f.partition(b" ")[0] for f in found]
+                route, several = [crc32(prefix + p) for p in pivots], list(map(parts.get(lang, {}).get, pivots))
+                for i, k in enumerate(several):
+                    if k is not None:
+                        route[i] = crc32(b"%d" % (crc32(found[i]) % k), route[i])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(found), pa.string()),
                         pa.array(np.array(route, dtype=np.uint32).view(np.int32)),
-                        pa.array([k > 1 for k in several]),
-                        _strings([b"%d %b" % (skip, f) for f in found]),
+                        pa.array([k is not None for k in several]),
+                        _strings([sign + f for f in found]),
                         pa.array(list(counts.values()), pa.int64()),
                     ],
                     ["lang", "route", "split", "fragment", "n"],
