@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.text import is_stale, sanitise_url
-from siftloom.operators.search import in_scope
+from siftloom.operators.search import character_places, in_scope
 
 
 def every(conditions: Sequence[Column | None]) -> Column:
@@ -205,9 +205,7 @@ def joined_page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     The offset is held within the text. A page that is not the last ends in a
     note, beyond the limit, of where the next one begins.
     """
-    order = Window.partitionBy("document_id").orderBy("chunk_index")
-    end = F.sum(F.length("content") + 2).over(order) - 2
-    placed = chunks.select("document_id", "chunk_index", "content", end.alias("to_char")).withColumn("from_char", F.col("to_char") - F.length("content"))
+    placed = character_places(chunks)
     totals = placed.groupBy("document_id").agg(F.max("to_char").alias("total_chars"))
     # the joint before or behind a chunk may be all that a page has of it
     touched = placed.where((F.col("from_char") - 2 < offset + limit) & (F.col("to_char") + 2 > offset))

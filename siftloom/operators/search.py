@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftloom.functions.text import BROADENED, INSUFFICIENT, KEYWORD_RETRY, LOW, STOPWORDS, claim_tokens, gate_reason, gate_verdict, reuse_multiplier, support_level
-from siftloom.operators import inrow, vector_index
+from siftloom.operators import inrow, scans, vector_index
 
 #: Published defaults of BM25.
 K1, B = 1.2, 0.75
@@ -246,11 +246,12 @@ def final_verdicts(queries: DataFrame, first: DataFrame, keyword: DataFrame | No
 
 def window_ranges(matches: DataFrame, k: int) -> DataFrame:
     """For matches (document_id, chunk_index) the merged ranges of indices within k, touching ones as one: document_id, lo, hi."""
+    key, order = ["document_id"], ["lo", "hi"]
     spans = matches.select("document_id", F.greatest(F.col("chunk_index") - k, F.lit(0)).alias("lo"), (F.col("chunk_index") + k).alias("hi")).distinct()
-    order = Window.partitionBy("document_id").orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("opens", F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0)).withColumn("island", F.sum("opens").over(order))
-    return opened.groupBy("document_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    told = scans.greatest_before(scans.ranged(spans, key, order), key, order, "hi", "reach")
+    opens = F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1), 1).otherwise(0)
+    found = scans.running_sum(told, key, order, opens, "island")
+    return found.groupBy("document_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
 def window_chunks(matches: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -264,15 +265,20 @@ def window_chunks(matches: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return own.join(found, ["document_id", "chunk_index"], "left").select("document_id", "chunk_index", F.coalesce("before", empty).alias("before"), F.coalesce("after", empty).alias("after"))
 
 
+def character_places(chunks: DataFrame) -> DataFrame:
+    """Where each chunk lies in its document's joined text: document_id, chunk_index, content, from_char, to_char; a document of any length is no single task."""
+    key, order = ["document_id"], ["chunk_index"]
+    rows = scans.ranged(chunks.select("document_id", "chunk_index", "content"), key, order)
+    told = scans.running_sum(rows, key, order, F.length("content") + 2, "end")
+    return told.select("document_id", "chunk_index", "content", (F.col("end") - 2 - F.length("content")).alias("from_char"), (F.col("end") - 2).alias("to_char"))
+
+
 def character_page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     """The chunks of each document that the characters [offset, offset + limit) of its joined text touch: document_id, chunk_index, content, from_char, to_char.
 
     Contents are joined by two line feeds; a chunk across a page's edge is on both pages.
     """
-    order = Window.partitionBy("document_id").orderBy("chunk_index")
-    end = F.sum(F.length("content") + 2).over(order) - 2
-    placed = chunks.select("document_id", "chunk_index", "content", end.alias("to_char")).withColumn("from_char", F.col("to_char") - F.length("content"))
-    return placed.where((F.col("from_char") < offset + limit) & (F.col("to_char") > offset))
+    return character_places(chunks).where((F.col("from_char") < offset + limit) & (F.col("to_char") > offset))
 
 
 def claims_supported(claims: DataFrame, evidence: DataFrame) -> DataFrame:

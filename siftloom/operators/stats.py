@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.operators import scans
 from siftloom.operators.search import sized
 
 RISKS = ("none", "low", "medium", "high")
@@ -131,11 +132,10 @@ def throughput(rows: DataFrame, by: str, at: str) -> DataFrame:
 def floored_counters(steps: DataFrame, key: str, run: str, order: str, delta: str) -> DataFrame:
     """Counters that never fall below 0, each run applied once in order: key, value.
 
-    A walk with a floor ends at its sum less the lowest partial sum below 0.
+    A key's steps are cut into ranges, so that one with very many is no single task.
     """
     once = steps.groupBy(key, run).agg(F.min_by(delta, order).alias("delta"), F.min(order).alias("at"))
-    walk = F.sum("delta").over(Window.partitionBy(key).orderBy("at", run))
-    return once.withColumn("walk", walk).groupBy(key).agg((F.sum("delta") - F.least(F.lit(0), F.min("walk"))).alias("value"))
+    return scans.floored_sum(once, [key], ["at", run], "delta", "value")
 
 
 def total_tokens(results: DataFrame, context: DataFrame, by: str = "query_id") -> DataFrame:

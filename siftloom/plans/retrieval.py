@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.operators import evaluation, keyword_index, reuse, search, vector_index
+from siftloom.operators import evaluation, keyword_index, latent, reuse, search, vector_index
 from siftloom.plans.registry import Tables, query
-from siftloom.session import shared_folder
+from siftloom.session import shared_folder, written
 
 _BM25 = r"""
 w AS (SELECT doc_id AS chunk_id, source AS document_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
@@ -130,6 +130,33 @@ def reuse_boosted_topk(t: Tables) -> DataFrame:
     return search.boosted(_keyword(t, 20), uses, 0.1).select("query_id", "chunk_id", "document_id", "score", "pos")
 
 
+def _latent(t: Tables, queries: DataFrame, k: int) -> DataFrame:
+    """Texts near each query by latent semantic vectors that are learned from all documents."""
+    space = latent.fit(_chunks(t))
+    chunks = written(latent.embedded(_chunks(t), space), "latent")
+    asked = latent.embedded(queries, space, "query").select("query_id", F.col("embedding").alias("vector"))
+    return search.vectors_topk(chunks.select("chunk_id", "document_id", "embedding"), asked, k)
+
+
+@query()
+def latent_topk(t: Tables) -> DataFrame:
+    """Benchmark passages against documents by vectors of their words."""
+    return _latent(t, _queries(t), 10).select("query_id", "chunk_id", "document_id", "score", "pos")
+
+
+@query()
+def judged_modes(t: Tables) -> DataFrame:
+    """Recall, MRR, nDCG and hit at 5 by keyword, latent vectors and both, of the first eight words of each passage that documents hold whole."""
+    whole = t.documents.join(F.broadcast(_queries(t)), F.contains("text", "query"))  # stated passages against every text
+    judged = written(whole.select("query_id", F.col("doc_id").alias("id"), F.lit(1).alias("grade")), "judged")
+    asked = written(_queries(t).join(judged.select("query_id").distinct(), "query_id", "left_semi").withColumn("query", F.substring_index("query", " ", 8)), "asked")
+    keyword = written(search.bm25(_chunks(t), asked, 50), "keyword")
+    vector = written(_latent(t, asked, 50), "vector")
+    legs = {"keyword": keyword, "vector": vector, "hybrid": search.hybrid(keyword, vector, 50)}
+    rows = [leg.select(F.lit(mode).alias("mode"), "query_id", F.col("chunk_id").alias("id"), F.col("pos").alias("rank")) for mode, leg in legs.items()]
+    return evaluation.replay_metrics(judged, rows[0].unionByName(rows[1]).unionByName(rows[2]), 5)
+
+
 _SEMANTIC = f"""
 v0 AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS document_id, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark) AND a.label <> b.label),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM v0),

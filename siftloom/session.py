@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,3 +42,12 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         told = "file://" + tempfile.gettempdir() + "/siftloom-checkpoints"
     return f"{told.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: computed once, and no task depends on how it came about. It goes when the driver's JVM ends."""
+    path = shared_folder(df.sparkSession, tag)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ that may be missing, which is an error then; images give a placeholder.
 
 from __future__ import annotations
 
+import datetime as dt
 import email
 import email.message
 import email.policy
@@ -297,6 +298,47 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(f"{next(labels)} {text}" if at else text for text, at in blocks)
 
 
+#: The last column that a workbook may have, XFD.
+MAX_COLUMNS = 16_384
+# Fixed values of the published format: numbers of the built-in formats that show a date or a time, and what such a format of one's own holds outside quotes and brackets.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
+DATE_SIGNS = re.compile("[dmhysDMHYS]")
+
+
+def _column(ref: str) -> int:
+    """The number of a cell's column, 0 without. Raises ValueError beyond the last one that there can be."""
+    letters = re.match("[A-Z]*", ref)[0]
+    column = 0
+    for c in letters[:4]:
+        column = 26 * column + ord(c) - 64
+    if column > MAX_COLUMNS:
+        raise ValueError(f"no column {letters[:8]}")
+    return column
+
+
+def _date_styles(archive: zipfile.ZipFile) -> set[str]:
+    """The numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    root = _tree(archive, "xl/styles.xml")
+    own = {_attr(x, "numFmtId"): re.sub(r'"[^"]*"|\\[\s\S]|\[[^\]]*\]', "", _attr(x, "formatCode") or "") for x in root.iter() if _local(x) == "numFmt"}
+    dates = {str(n) for n in DATE_FORMATS} | {i for i, code in own.items() if i and DATE_SIGNS.search(code.split(";")[0])}
+    styles = next((x for x in root.iter() if _local(x) == "cellXfs"), ())
+    return {str(i) for i, x in enumerate(styles) if (_attr(x, "numFmtId") or "0") in dates}
+
+
+def _date(serial: str, since: dt.datetime) -> str:
+    """A serial number as an ISO date, with its time unless that is midnight; below one day a time; what is no such number stays."""
+    try:
+        days = float(serial)
+        at = since + dt.timedelta(seconds=round(days * 86_400, 3))
+    except (ValueError, OverflowError):
+        return serial
+    if 0 <= days < 1:
+        return at.time().isoformat()
+    return at.date().isoformat() if at.time() == dt.time() else at.isoformat()
+
+
 def xlsx_text(data: bytes) -> str:
     """Each sheet under ``## Sheet: name``, cells joined by `` | ``; heading and head row come again every 50 rows."""
     archive = _zip(data)
@@ -304,6 +346,9 @@ def xlsx_text(data: bytes) -> str:
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in _tree(archive, "xl/sharedStrings.xml") if _local(s) == "si"]
     links = {_attr(r, "Id"): _attr(r, "Target") for r in _tree(archive, "xl/_rels/workbook.xml.rels")}
+    dated = _date_styles(archive)
+    old = any(_local(x) == "workbookPr" and _attr(x, "date1904") in ("1", "true") for x in _tree(archive, "xl/workbook.xml").iter())
+    since = dt.datetime(1904, 1, 1) if old else dt.datetime(1899, 12, 30)
     out, cells, chars = [], 0, 0
     for sheet in (x for x in _tree(archive, "xl/workbook.xml").iter() if _local(x) == "sheet"):
         target = links.get(_attr(sheet, "id")) or ""
@@ -314,12 +359,14 @@ def xlsx_text(data: bytes) -> str:
         for row in (x for x in root.iter() if _local(x) == "row"):
             values: list[str] = []
             for cell in row:
-                column = 0
-                for c in re.match("[A-Z]*", _attr(cell, "r") or "")[0]:
-                    column = 26 * column + ord(c) - 64
+                column = _column(_attr(cell, "r") or "")
                 values += [""] * (column - 1 - len(values))
                 text = "".join(x.text or "" for x in cell.iter() if _local(x) in ("v", "t"))
-                text = shared[int(text)] if _attr(cell, "t") == "s" and text else text
+                kind = _attr(cell, "t")
+                if kind == "s" and text:
+                    text = shared[int(text)]
+                elif kind in (None, "n") and (_attr(cell, "s") or "0") in dated:
+                    text = _date(text, since)
                 if len(text) > MAX_CELL_CHARS:
                     text = f"{text[:MAX_CELL_CHARS]}...[truncated, {len(text)} chars]"
                 if text and (ref := merged.get(_attr(cell, "r") or "")):

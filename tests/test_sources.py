@@ -135,6 +135,24 @@ def test_no_file_kills_the_others(spark):
     assert rows["odd.rtf"].text.startswith("x") and "body" in rows["odd.eml"].text and rows["odd.json"].error is None
 
 
+def test_workbook_dates_and_columns():
+    def book(cells, date1904=""):
+        return archive({
+            "xl/workbook.xml": f'<workbook xmlns:r="r">{date1904}<sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<x><Relationship Id="r1" Target="worksheets/sheet1.xml"/></x>',
+            "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.00&quot; days&quot;;[Red]0"/><numFmt numFmtId="166" formatCode="[$-409]h:mm"/></numFmts>'
+            '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>',
+            "xl/worksheets/sheet1.xml": f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>",
+        })
+
+    cells = '<c r="A1" s="1"><v>45292</v></c><c r="B1" s="2"><v>45292.5</v></c><c r="C1" s="3"><v>45292</v></c><c r="D1" s="4"><v>0.25</v></c><c r="E1"><v>45292</v></c><c r="F1" s="1" t="str"><v>no date</v></c><c r="G1" s="1"><v>1e99</v></c>'
+    assert ex.xlsx_text(book(cells)).split("\n")[1] == "2024-01-01 | 2024-01-01T12:00:00 | 45292 | 06:00:00 | 45292 | no date | 1e99"
+    assert ex.xlsx_text(book('<c r="A1" s="1"><v>43830</v></c>', '<workbookPr date1904="1"/>')).endswith("2024-01-01")
+    assert ex.xlsx_text(book('<c r="XFD1"><v>1</v></c>')).endswith("| 1")
+    for ref in ("XFE1", "ZZZZ1", "ZZZZZZZZZZZZ1"):
+        with pytest.raises(ValueError, match="no column"):
+            ex.xlsx_text(book(f'<c r="{ref}"><v>1</v></c>'))
+
+
 def test_workbook_caps():
     def book(cell, refs="", n=700):
         return archive({
