@@ -84,6 +84,28 @@ def feedback_upserted(feedback: DataFrame, incoming: DataFrame) -> DataFrame:
     return newest(both, ["event_id"], "updated_at", "verdict").drop("query_text").join(firsts, "event_id")
 
 
+def events_inserted(events: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Events with those that come in; an event_id that is there already stays as it is, one that comes twice counts once."""
+    from siftloom.operators.tables import appended
+
+    return events.unionByName(appended(events, incoming, ["event_id"]))
+
+
+def events_of(events: DataFrame, workspaces: Sequence[object], event_id: object = None, limit: int | None = None) -> DataFrame:
+    """Evaluation events of the caller's workspaces, newest first, or the one with an id if it is one of theirs. Raises ValueError without workspaces."""
+    if not workspaces:
+        raise ValueError("workspaces must be named")
+    rows = events.where(F.col("workspace_id").isin(list(workspaces)))
+    rows = rows if event_id is None else rows.where(F.col("event_id") == F.lit(event_id))
+    rows = rows.orderBy(F.col("created_at").desc(), F.col("event_id").desc())
+    return rows if limit is None else rows.limit(limit)
+
+
+def events_kept(events: DataFrame, now: Column, days: int) -> DataFrame:
+    """Evaluation events of the last ``days``; cases that were made of older ones stay in their own table."""
+    return events.where(F.col("created_at") > now.cast(events.schema["created_at"].dataType) - F.make_dt_interval(F.lit(days)))
+
+
 def events_deleted(events: DataFrame, cases: DataFrame, gone: DataFrame, with_cases: bool = False) -> tuple[DataFrame, DataFrame]:
     """Evaluation events without those that are gone; their cases stay unless asked for."""
     return without(events, gone, ["event_id"]), without(cases, gone, ["event_id"]) if with_cases else cases

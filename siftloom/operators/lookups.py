@@ -111,6 +111,15 @@ def workspace_page(workspaces: DataFrame, documents: DataFrame) -> DataFrame:
     return workspaces.join(counts, "workspace_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
 
 
+def workspaces_by_name(workspaces: DataFrame, documents: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of the workspaces (workspace_id, name) by name, with their numbers of documents and the number of all as ``total``; only the page's documents are counted."""
+    total = workspaces.agg(F.count(F.lit(1)).alias("total"))
+    found = workspaces.orderBy("name", "workspace_id").offset(max(offset, 0)).limit(max(limit, 0))
+    counts = documents.join(F.broadcast(found.select("workspace_id")), "workspace_id", "left_semi").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("documents"))  # a page
+    told = found.join(counts, "workspace_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    return told.join(F.broadcast(total))  # one row
+
+
 def within_quota(documents: DataFrame, allowed: Sequence[str], limit: int) -> DataFrame:
     """How many documents the allowed workspaces have, and whether one more is within the limit: used, limit, allowed."""
     used = documents.where(F.col("workspace_id").isin(*allowed)).agg(F.count(F.lit(1)).alias("used"))

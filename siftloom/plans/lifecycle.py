@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import text as fn
-from siftloom.operators import evaluation, lifecycle, lookups, search, stats, tables, tagging
+from siftloom.operators import evaluation, lifecycle, lookups, search, stats, stored, tables, tagging
 from siftloom.plans.registry import Tables, query
 from siftloom.plans.texts import TAG_RULES
+from siftloom.session import shared_folder
 from siftloom.streaming import limits
 
 NOW = "2024-02-01 00:00:00"
@@ -87,6 +88,25 @@ def chunks_of_document(t: Tables) -> DataFrame:
     return lookups.chunks_of(_lines(t), _orders(t), "F", 1)
 
 
+@query(f"WITH {_ORDERS}, {_LINES} SELECT c.document_id, c.chunk_index, c.content, status FROM c JOIN d USING (document_id) WHERE workspace_id = 'F' AND document_id = 1")
+def stored_chunks_of_document(t: Tables) -> DataFrame:
+    """One document's chunks from tables laid out by workspace and document: one bucket of each is read."""
+    path = shared_folder(t.spark, "stored")
+    orders = _orders(t).select("document_id", "workspace_id", "status")
+    stored.put(orders, f"{path}/documents", buckets=4)
+    stored.put(_lines(t).join(orders.select("document_id", "workspace_id"), "document_id"), f"{path}/chunks", order=["chunk_index"], buckets=4)
+    own = stored.of_document(t.spark, f"{path}/documents", "F", 1).select("document_id", "status")
+    return stored.of_document(t.spark, f"{path}/chunks", "F", 1).join(own, "document_id").select("document_id", "chunk_index", "content", "status")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 20 AS workspace_id, ts FROM events WHERE ts > TIMESTAMP '2024-02-01' - INTERVAL 20 DAY)
+SELECT event_id, workspace_id, ts AS created_at FROM e WHERE workspace_id IN (3, 4) ORDER BY ts DESC, event_id DESC LIMIT 50""")
+def captured_events_page(t: Tables) -> DataFrame:
+    """The newest captured events of a caller's workspaces, after those past their time have gone."""
+    events = t.events.select("event_id", (F.col("user_id") % 20).alias("workspace_id"), F.col("ts").alias("created_at"))
+    return lifecycle.events_of(lifecycle.events_kept(events, _now(), 20), [3, 4], limit=50)
+
+
 @query(f"WITH {_ORDERS} SELECT document_id, workspace_id, status, created_at FROM d WHERE tenant_id = '5-LOW' AND workspace_id = 'O' AND status = 'pending' ORDER BY created_at DESC, document_id LIMIT 100 OFFSET 20")
 def documents_by_tenant(t: Tables) -> DataFrame:
     return lookups.tenant_documents(_orders(t), "5-LOW", "O", "pending", 100, 20).select("document_id", "workspace_id", "status", "created_at")
@@ -132,6 +152,12 @@ def workspaces_with_counts(t: Tables) -> DataFrame:
     return lookups.workspace_page(t.customer.select(F.col("c_custkey").alias("workspace_id")), t.orders.select(F.col("o_custkey").alias("workspace_id")))
 
 
+@query("WITH w AS (SELECT c_custkey AS workspace_id, c_name AS name, count(o_orderkey) AS documents FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) SELECT *, count(*) OVER () AS total FROM w ORDER BY name, workspace_id LIMIT 25 OFFSET 50")
+def workspaces_page(t: Tables) -> DataFrame:
+    spaces = t.customer.select(F.col("c_custkey").alias("workspace_id"), F.col("c_name").alias("name"))
+    return lookups.workspaces_by_name(spaces, t.orders.select(F.col("o_custkey").alias("workspace_id")), 50, 25)
+
+
 @query("SELECT count(*) AS used, 1000::BIGINT AS \"limit\", count(*) < 1000 AS allowed FROM orders WHERE o_orderstatus IN ('F', 'P')")
 def quota_limit(t: Tables) -> DataFrame:
     return lookups.within_quota(_orders(t), ["F", "P"], 1000)

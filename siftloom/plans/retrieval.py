@@ -157,6 +157,18 @@ def judged_modes(t: Tables) -> DataFrame:
     return evaluation.replay_metrics(judged, rows[0].unionByName(rows[1]).unionByName(rows[2]), 5)
 
 
+@query(f"""WITH {_BM25}, f AS (SELECT * FROM kw WHERE pos <= 5), g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1),
+l AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY pos) AS chunk_ids, string_agg(document_id, ',' ORDER BY pos) AS document_ids FROM f GROUP BY 1)
+SELECT item_id AS event_id, coalesce(document_ids, '') AS document_ids, coalesce(chunk_ids, '') AS chunk_ids, top AS top_score, CASE WHEN coalesce(n, 0) = 0 THEN 'insufficient_evidence' WHEN top < 0.5 THEN 'low_confidence' WHEN n < 2 THEN 'insufficient_evidence' ELSE 'sufficient' END AS quality_verdict
+FROM benchmark LEFT JOIN g ON query_id = item_id LEFT JOIN l ON l.query_id = item_id""")
+def captured_events(t: Tables) -> DataFrame:
+    """What each search leaves for evaluation: its results side by side, the best score and the verdict."""
+    found = _keyword(t, 5)
+    asked = _queries(t).withColumn("event_id", F.col("query_id"))
+    events = evaluation.captured(asked, found, search.verdicts(asked, found))
+    return events.select("event_id", F.array_join("document_ids", ",").alias("document_ids"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "top_score", "quality_verdict")
+
+
 _SEMANTIC = f"""
 v0 AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS document_id, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark) AND a.label <> b.label),
 v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM v0),

@@ -21,10 +21,17 @@ def write_partitions(rows: DataFrame, path: str, by: Sequence[str] = ("workspace
 
 
 def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Appends the rows whose keys the table at ``path`` lacks, each key once."""
+    """Appends the rows whose keys the table at ``path`` lacks, each key once; without a table all of them are its first.
+
+    Of the table only the keys are read. A repeated append adds nothing.
+    """
     from siftloom.operators.tables import appended
 
-    appended(rows.sparkSession.read.schema(rows.schema).parquet(path), rows, keys).write.mode("append").parquet(path)
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    stored = spark.read.schema(rows.schema).parquet(path) if there else rows.limit(0)
+    appended(stored, rows, keys).write.mode("append").parquet(path)
 
 
 class Encoder(Protocol):

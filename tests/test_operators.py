@@ -313,3 +313,46 @@ def test_percentiles_are_exact(spark):
     for k, v in groups.items():
         assert got[k].n == len(v)
         assert [got[k][f"p{p}"] for p in (0, 50, 95, 99, 100)] == pytest.approx(np.percentile(v, [0, 50, 95, 99, 100]), rel=1e-9, abs=1e-6)
+
+
+def test_stored_lookups_read_one_bucket(spark, tmp_path):
+    from siftloom.operators import stored
+
+    chunks = spark.createDataFrame([("w1" if i % 3 else "w2", f"d{i % 40}", i, "x") for i in range(400)] + [("w1", "hot", i, "y") for i in range(200)] + [(None, "d1", 0, "z")], "workspace_id string, document_id string, chunk_index int, content string")
+    for _ in range(2):  # a repeated write changes nothing
+        stored.put(chunks, str(tmp_path), order=["chunk_index"], buckets=8)
+    found = stored.of_document(spark, str(tmp_path), "w1", "d7")
+    want = chunks.where("workspace_id = 'w1' and document_id = 'd7'")
+    assert rows(found, *chunks.columns) == rows(want, *chunks.columns) and found.count() > 0
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(workspace_id" in plan and "EqualTo(document_id,d7)" in plan
+    assert stored.of_document(spark, str(tmp_path), "w2", "hot").count() == 0 and stored.of_document(spark, str(tmp_path), "w1", None).count() == 0
+    ids = spark.createDataFrame([("d7",), ("d7",), ("hot",), (None,)], "document_id string")
+    assert stored.of_documents(spark, str(tmp_path), "w1", ids).count() == want.count() + 200
+    with pytest.raises(ValueError, match="workspace"):
+        stored.of_document(spark, str(tmp_path), " ", "d7")
+
+
+def test_first_and_repeated_append(spark, tmp_path):
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    for _ in range(2):
+        sinks.append_new(new, str(tmp_path / "t"), ["id"])
+    sinks.append_new(spark.createDataFrame([(2, "other"), (3, "d")], new.schema), str(tmp_path / "t"), ["id"])
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "t")).orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_evaluation_events_as_rows(spark):
+    import datetime as dt
+
+    from siftloom.operators import lifecycle
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    events = spark.createDataFrame([(1, "w", day(1)), (2, "w", day(5)), (3, "v", day(6))], "event_id int, workspace_id string, created_at timestamp")
+    more = spark.createDataFrame([(2, "w", day(9)), (4, "w", day(8)), (4, "w", day(8))], events.schema)
+    every = lifecycle.events_inserted(events, more)
+    assert rows(every, "event_id", "created_at") == [(1, day(1)), (2, day(5)), (3, day(6)), (4, day(8))]
+    assert [r.event_id for r in lifecycle.events_of(every, ["w"], limit=2).collect()] == [4, 2]
+    assert lifecycle.events_of(every, ["w"], 3).count() == 0 and lifecycle.events_of(every, ["v"], 3).count() == 1
+    assert rows(lifecycle.events_kept(every, F.lit(day(9)), 4), "event_id") == [(3,), (4,)]
+    with pytest.raises(ValueError, match="workspaces"):
+        lifecycle.events_of(every, [])
