@@ -22,10 +22,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import small_batches
+from siftloom.llm.common import byte_batches
 
 #: Words that a worker's table holds at most; a full table starts anew.
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 500_000
 #: Longest word, in characters, that is kept in the table of words.
 KEPT_CHARS = 48
 #: Documents that are encoded together.
@@ -408,7 +408,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     no pieces. Repeated rows stay, other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark, "1m")
     shared = broadcast_model(spark, path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The rows with the text of their ids in ``text_col`` in place of the ids; null ids give an empty text. Raises IndexError for ids that the model lacks."""
     spark = encoded.sparkSession
-    small_batches(spark)
+    byte_batches(spark, "1m")
     shared = broadcast_model(spark, path)
     kept = [c for c in encoded.columns if c not in (ids_col, text_col)]
     rows = encoded.select(*kept, F.col(ids_col).cast("array<int>").alias(ids_col))
