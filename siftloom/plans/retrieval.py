@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.operators import evaluation, keyword_index, latent, reuse, search, vector_index
+from siftloom.operators import evaluation, fulltext, keyword_index, latent, reuse, search, vector_index
 from siftloom.plans.registry import Tables, query
 from siftloom.session import shared_folder, written
 
@@ -60,6 +60,13 @@ def full_text_topk(t: Tables) -> DataFrame:
     return search.all_terms(_chunks(t), _queries(t), 10)
 
 
+@query(fulltext.sql(10))
+def stemmed_topk(t: Tables) -> DataFrame:
+    """Documents that hold the stems of a passage's first five words, by how near they lie."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), "lang")
+    return fulltext.stemmed_topk(chunks, _queries(t).withColumn("query", F.substring_index("query", " ", 5)), 10)
+
+
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 

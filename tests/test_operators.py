@@ -356,3 +356,21 @@ def test_evaluation_events_as_rows(spark):
     assert rows(lifecycle.events_kept(every, F.lit(day(9)), 4), "event_id") == [(3,), (4,)]
     with pytest.raises(ValueError, match="workspaces"):
         lifecycle.events_of(every, [])
+
+
+def test_stems_find_inflected_forms(spark):
+    from siftloom.operators import fulltext
+
+    texts = [
+        (1, "The gardeners were watering plants, and the garden grew.", "en"), (2, "She waters a plant in the garden of the house", "en"), (3, "water only", "en"), (4, "Die Wohnungen sind teuer", "de"), (5, "eine teure Wohnung", "de"),
+        (6, "las canciones cantadas", "es"), (7, "Les chanteuses chantent", "fr"), (8, None, "en"), (9, "", None), (10, "watering plants", None), (11, "plant " + "x " * 40 + "watered", "en"),
+    ]
+    chunks = spark.createDataFrame([(i, f"d{i}", t, lang) for i, t, lang in texts], "chunk_id int, document_id string, content string, lang string")
+    asked = spark.createDataFrame([("a", "watered plants"), ("b", "eine Wohnung"), ("c", "the of"), ("d", None), ("e", "chanteuse"), ("f", "watering")], "query_id string, query string")
+    got = {}
+    for r in fulltext.stemmed_topk(chunks, asked, 10).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert got["a"] == [(1, 1.0), (2, 0.6667), (11, 0.0476)]
+    assert [i for i, _ in got["b"]] == [4, 5]
+    assert [i for i, _ in got["e"]] == [7] and {i for i, _ in got["f"]} == {1, 2, 3, 10, 11}
+    assert not {"c", "d"} & got.keys()
