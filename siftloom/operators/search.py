@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from siftloom.functions.text import BROADENED, INSUFFICIENT, KEYWORD_RETRY, LOW, STOPWORDS, claim_tokens, gate_reason, gate_verdict, reuse_multiplier, support_level
 from siftloom.operators import inrow, scans, vector_index
+from siftloom.session import written
 
 #: Published defaults of BM25.
 K1, B = 1.2, 0.75
@@ -181,9 +182,7 @@ def isolated(searches: Mapping[str, Callable[[], DataFrame]], limit: int, fatal:
     pages, failures = [], {}
     for workspace, search in searches.items():
         try:
-            found = search().persist()
-            found.count()
-            pages.append(found)
+            pages.append(written(search(), "page"))
         except fatal:
             raise
         except Exception as e:  # noqa: BLE001  whatever it is, the other workspaces go on

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftloom.session import ship
+from siftloom.operators import scans
+from siftloom.session import ship, written
 
 
 def fixed_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
@@ -58,27 +59,50 @@ def token_bucket(events: DataFrame, key: str, at: str, limit: int, seconds: int
     return walked(rows, key, [at, "event_id"], rows.schema.add("allowed", "boolean"), lambda: {"tokens": float(limit), "last": None}, step)
 
 
+def window_openers(moments: DataFrame, key: str, micros: int) -> DataFrame:
+    """The moments (key, t; each once) that open a window: a key's first, and the first at or after the end of each window before.
+
+    Each moment is linked to the first one at or after its window's end. From a
+    key's first moment the openers are those that the links reach: with links of
+    1, 2, 4 ... steps each round doubles how many are known, so a key of any
+    number of windows takes a logarithm of rounds of joins, not one task's walk.
+    """
+    # backwards in time a moment comes before the ends that it is at or after
+    hits = moments.select(key, F.col("t").alias("of"), (-F.col("t")).alias("back"), F.lit(0).alias("end"), (-F.col("t")).alias("hit"))
+    ends = moments.select(key, F.col("t").alias("of"), (-F.col("t") - micros).alias("back"), F.lit(1).alias("end"), F.lit(None).cast("long").alias("hit"))
+    order = ["back", "end"]
+    met = scans.greatest_before(scans.ranged(hits.unionByName(ends), [key], order), [key], order, "hit", "next")
+    jump = written(met.where("end = 1 and next is not null").select(key, F.col("of").alias("t"), (-F.col("next")).alias("to")), "links")
+    found = written(moments.groupBy(key).agg(F.min("t").alias("t")), "openers")
+    while jump.limit(1).count():
+        more = found.join(jump, [key, "t"]).select(key, F.col("to").alias("t"))
+        found = written(found.unionByName(more), "openers")  # the openers known so far and as many after them
+        far = jump.select(key, "t", F.col("to").alias("mid")).join(jump.select(key, F.col("t").alias("mid"), "to"), [key, "mid"])
+        jump = written(far.select(key, "t", "to"), "links")
+    return found
+
+
 def first_hit_windows(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
     """Each event with the window that it falls in and whether it is allowed: window_start, nth, allowed.
 
     A key's window opens at its first hit and lasts ``seconds`` whatever comes
     in; the first hit at its end or later opens the next. Events of one time go
-    in the order of ``event_id``; those without a key are left out.
+    in the order of ``event_id``; those without a key or time are left out.
     """
-    rows = events.select(key, at, "event_id")
+    kind = events.schema[at].dataType
+    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, "event_id").withColumn("t", F.unix_micros(F.col(at).cast("timestamp")))
+    rows = written(rows, "hits")
+    openers = window_openers(rows.select(key, "t").distinct(), key, int(seconds * 1_000_000))
+    # an opener comes before the hits of its own moment
+    both = rows.select(key, "t", F.lit(1).alias("hit"), F.col(at).alias("shown"), "event_id", F.lit(None).cast("long").alias("opens"))
+    marks = openers.select(key, "t", F.lit(0).alias("hit"), F.lit(None).cast(kind).alias("shown"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.col("t").alias("opens"))
+    order = ["t", "hit", "event_id"]
+    placed = scans.greatest_before(scans.ranged(both.unionByName(marks), [key], order), [key], order, "opens", "window").where("hit = 1")
+    counted = scans.running_sum(scans.ranged(placed.drop("_range"), [key, "window"], ["t", "event_id"]), [key, "window"], ["t", "event_id"], F.lit(1), "nth")
+    start = F.timestamp_micros("window").cast(kind)
+    nth = F.col("nth").cast("long")
+    return counted.select(key, F.col("shown").alias(at), "event_id", start.alias("window_start"), nth.alias("nth"), (nth <= limit).alias("allowed"))
 
-    def step(state: dict[str, Any], part: pd.DataFrame) -> pd.DataFrame:
-        starts, places = [], []
-        for now, shown in zip(_seconds(part[at]), part[at], strict=True):
-            if state["start"] is None or now >= state["start"] + seconds:
-                state.update(start=now, shown=shown, n=0)
-            state["n"] += 1
-            starts.append(state["shown"])
-            places.append(state["n"])
-        return part.assign(window_start=starts, nth=places, allowed=[n <= limit for n in places])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("window_start", rows.schema[at].dataType), T.StructField("nth", T.LongType()), T.StructField("allowed", T.BooleanType())])
-    return walked(rows, key, [at, "event_id"], schema, lambda: {"start": None, "shown": None, "n": 0}, step)
 
 
 def file_queue(spark: SparkSession, path: str, schema: str, per_trigger: int = 10) -> DataFrame:

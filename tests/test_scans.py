@@ -86,3 +86,24 @@ def test_a_long_document_and_islands(spark):
         else:
             merged.append([max(i - 1, 0), i + 1])
     assert sorted([r.lo, r.hi] for r in spans.collect()) == merged
+
+
+def test_first_hit_windows_of_one_key_over_many_ranges(spark):
+    import datetime as dt
+
+    from siftloom.streaming import limits
+
+    r = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    events = [(r.choice(["hot", "hot", "hot", "b", None]), base + dt.timedelta(seconds=r.randrange(4000) / 2), i) for i in range(700)] + [("hot", base, 1000), ("hot", None, 1001)]
+    df = spark.createDataFrame(events, "k string, ts timestamp, event_id int")
+    want, state = {}, {}
+    for k, ts, i in sorted((e for e in events if e[0] and e[1]), key=lambda e: (e[1], e[2])):
+        start, n = state.get(k, (None, 0))
+        if start is None or ts >= start + dt.timedelta(seconds=30):
+            start, n = ts, 0
+        state[k] = start, n + 1
+        want[i] = (start, n + 1, n + 1 <= 2)
+    got = limits.first_hit_windows(df, "k", "ts", 2, 30)
+    assert {x.event_id: (x.window_start, x.nth, x.allowed) for x in got.collect()} == want
+    assert limits.first_hit_windows(df.limit(0), "k", "ts", 2, 30).count() == 0
