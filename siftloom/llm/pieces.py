@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siftloom.llm.common import byte_batches
 
 #: Words that a worker's table holds at most; a full table starts anew.
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 700_000
 #: Longest word, in characters, that is kept in the table of words.
 KEPT_CHARS = 48
 #: Documents that are encoded together.
@@ -167,6 +167,7 @@ class PieceCodec:
         shown = {NORMAL: lambda p: p.replace(SPACE, " "), UNKNOWN: lambda p: model["unknown_text"], CONTROL: lambda p: ""}
         self.shown = [values[i] if k == BYTE else shown[k](p).encode() for i, (p, k) in enumerate(zip(pieces, kinds, strict=True))]
         self.control = {i for i, k in enumerate(kinds) if k == CONTROL}
+        self.last_control = max(self.control, default=-1)
         self.spaced = [k == NORMAL and p.startswith(SPACE) for p, k in zip(pieces, kinds, strict=True)]
         # signs by number, and which may follow which inside a piece: no merge crosses any other pair of neighbours
         joints = {(ord(a), ord(b)) for p in self.ids for a, b in pairwise(p)}
@@ -305,6 +306,14 @@ class PieceCodec:
 
     # -- encoding and decoding ---------------------------------------------
 
+    def _learned(self, word: str) -> Sequence[int]:
+        """A word's ids; they are kept unless the word is long."""
+        if (ids := self.words.get(word)) is None:
+            ids = tuple(self.merged(word))
+            if len(word) <= KEPT_CHARS:
+                self.words[word] = ids
+        return ids
+
     def encode_batch(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids and where each piece starts and ends in the text's UTF-8 bytes."""
         normal = [self.normalised(t) for t in texts]
@@ -312,24 +321,21 @@ class PieceCodec:
         known = self.words
         if len(known) >= WORD_ENTRIES:
             known.clear()
-        here: dict[str, Sequence[int]] = {}
-        for w in set().union(*split) - known.keys():
-            if len(w) <= KEPT_CHARS:
-                known[w] = tuple(self.merged(w))
-            else:
-                here[w] = self.merged(w)
         for (_, origins), words in zip(normal, split, strict=True):
+            found = list(map(known.get, words))
             try:
-                ids = np.array(list(chain.from_iterable(map(known.__getitem__, words))), dtype=np.int32)
-            except KeyError:
-                ids = np.array(list(chain.from_iterable(known.get(w) or here[w] for w in words)), dtype=np.int32)
+                flat = list(chain.from_iterable(found))
+            except TypeError:  # a word that is not known yet
+                flat = list(chain.from_iterable(self._learned(w) if ids is None else ids for w, ids in zip(words, found, strict=True)))
+            ids = np.array(flat, dtype=np.int32)
             bounds = np.concatenate([[0], np.cumsum(self.size[ids])])
             yield ids, origins[bounds[:-1]], origins[bounds[1:]]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The pieces as text; bytes that are not UTF-8 become U+FFFD. Raises IndexError for ids that the model lacks."""
         shown = self.shown
-        if len(ids) and min(ids) < 0:
+        least = min(ids, default=0)
+        if least < 0:
             raise IndexError("ids are from 0 on")
         parts = [shown[i] for i in ids]
         # the first piece that shows anything loses the space that encoding put before the text; if spaces are squeezed, so do those up to the first other sign
@@ -339,7 +345,7 @@ class PieceCodec:
                     parts[k] = parts[k][1:]
                 if parts[k] or (self.spaced[i] and not self.squeeze):
                     break
-        if self.control.isdisjoint(ids):  # one inside a run of byte pieces ends it
+        if least > self.last_control or self.control.isdisjoint(ids):  # one inside a run of byte pieces ends it
             try:
                 return b"".join(parts).decode()
             except UnicodeDecodeError:
