@@ -180,7 +180,7 @@ def _sums(columns: Sequence[str]) -> list[Column]:
 
 
 def _number(path: str) -> Column:
-    return F.regexp_extract(F.col(path), r"part-(\d+)-[^/]*$", 1).cast("int")
+    return F.regexp_extract(F.col(path), r"part-(\d+)-[^/]*$", 1).try_cast("int")
 
 
 def ids_digest(rows: DataFrame) -> DataFrame:
