@@ -167,3 +167,25 @@ def test_no_vectors(spark, vectors):
     assert vector_index.near_pairs(vectors, asked).count() == 0
     with pytest.raises(ValueError, match="no vector"):
         vector_index.fit(vectors.where("embedding is null"))
+
+
+def test_tasks_grow_in_number_with_the_words(spark, chunks, monkeypatch):
+    """Blocks of a bucket are written, and blocks of a batch scored, by as many tasks as the words need; all blocks of a chunk are of one part."""
+    monkeypatch.setattr(keyword_index, "WRITTEN", 500)
+    monkeypatch.setattr(keyword_index, "SCORED", 50)
+    found = shared_folder(spark, "test-index")
+    keyword_index.append(chunks, found, "a", buckets=2)
+    blocks = spark.read.parquet(f"{found}/postings")
+    assert blocks.select("_metadata.file_path").distinct().count() > 10
+    rare = blocks.groupBy("term").agg(F.max("n").alias("n"), F.count_distinct("_metadata.file_path").alias("files")).where(f"n < {keyword_index.BLOCK}")
+    assert rare.count() and rare.where("files > 1").count() == 0
+    assert blocks.select("part", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+    queries = spark.createDataFrame([("q1", "w1 w2 w59"), ("q2", "w0"), ("q3", "w3 w4 unknown")], "query_id string, query string")
+    assert page(keyword_index.search_index(spark, found, queries, 5)) == page(search.bm25(chunks, queries, 5))
+
+
+def test_a_task_holds_a_part_at_a_time(spark):
+    """A batch of Arrow may have many times HELD words."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("t"), ((i * 7 + F.col("id")) % 3000).cast("string"))), " ")
+    long = spark.range(0, 2000, 1, 1).select(F.col("id").alias("chunk_id"), text.alias("content"))
+    assert keyword_index._blocks(long).select("part").distinct().count() == 4
