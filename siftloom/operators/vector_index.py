@@ -36,8 +36,8 @@ ROUNDS = 12
 ROWS, QUERIES = 2048, 64
 #: Files that a list's rows are spread over, so that a list with very many rows is no single task.
 SLICES = 8
-#: Vectors of a bucket that are joined as one row, vectors that a task packs at a time, and pairs that it holds before it keeps the best.
-BLOCK, PACKED, PAIRS = 256, 20_000, 200_000
+#: Vectors of a bucket that are joined as one row, numbers of vectors that a task packs at a time and that leave it as one batch, and pairs that it holds before it keeps the best.
+BLOCK, PACKED, SENT, PAIRS = 256, 1_280_000, 1_000_000, 200_000
 
 
 @dataclass
@@ -215,47 +215,59 @@ def ranked(pairs: DataFrame, k: int, floor: float, certainty: bool) -> DataFrame
     return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
-def _packed(rows: DataFrame, planes: np.ndarray, tables: int, flips: int) -> DataFrame:
-    """Rows (id, document, vector) as blocks of a bucket: bucket, ids, documents, data (their numbers).
-
-    A vector is in a bucket of each table, by the sides of that table's planes
-    that it lies on; with ``flips`` also in those across its nearest planes.
-    """
-    ship(rows.sparkSession)
+def packed_blocks(parts: list[pa.RecordBatch], planes: np.ndarray, tables: int, flips: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of each bucket of some rows (id, document, vector), in batches of about SENT numbers: a vector is in many blocks."""
     dim, bits = len(planes), planes.shape[1] // tables
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "document")}
-
-    def blocks(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        unit, good = unit_rows(table.column("vector").chunk(0), dim)
-        at = np.flatnonzero(good)
-        if not len(at):
-            return
-        numbers = np.array(table.column("vector").chunk(0).take(pa.array(at)).flatten(), dtype=np.float32).reshape(len(at), dim)
-        side = (unit[at] @ planes).reshape(len(at), tables, bits)
+    table = pa.Table.from_batches(parts).combine_chunks()
+    unit, good = unit_rows(table.column("vector").chunk(0), dim)
+    at = np.flatnonzero(good)
+    if not len(at):
+        return
+    numbers = np.array(table.column("vector").chunk(0).take(pa.array(at)).flatten(), dtype=np.float32).reshape(len(at), dim)
+    told = [table.column(c).chunk(0).take(pa.array(at)) for c in ("id", "document")]
+    for t in range(tables):
+        side = unit[at] @ planes[:, t * bits : (t + 1) * bits]
         own = (side > 0) @ (1 << np.arange(bits))
-        near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
-        codes = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << near)], axis=2)
-        buckets = ((np.arange(tables)[None, :, None] << bits) + codes).reshape(len(at), -1)
+        near = np.argsort(np.abs(side), axis=1)[:, :flips]
+        buckets = (t << bits) + np.concatenate([own[:, None], own[:, None] ^ (1 << near)], axis=1)
         flat, row = buckets.ravel(), np.repeat(np.arange(len(at)), buckets.shape[1])
         order = np.argsort(flat, kind="stable")
         flat, row = flat[order], row[order]
         nth = np.arange(len(flat)) - np.searchsorted(flat, flat)
         starts = np.flatnonzero(nth % BLOCK == 0)
         edges = np.append(starts, len(flat))
-        lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), table.column(c).chunk(0).take(pa.array(at[row]))) for c in ("id", "document")]
-        data = [numbers[row[a:b]].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(flat[starts]), *lists, pa.array(data, pa.binary())], ["bucket", "ids", "documents", "data"])
+        first = 0
+        while first < len(starts):
+            last = max(int(np.searchsorted(edges, edges[first] + SENT // dim, side="right")) - 1, first + 1)
+            some, rows_ = edges[first : last + 1], row[edges[first] : edges[last]]
+            lists = [pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), x.take(pa.array(rows_))) for x in told]
+            data = [numbers[row[a:b]].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[starts[first:last]]), *lists, pa.array(data, pa.binary())], ["bucket", "ids", "documents", "data"])
+            first = last
+
+
+def _packed(rows: DataFrame, planes: np.ndarray, tables: int, flips: int) -> DataFrame:
+    """Rows (id, document, vector) as blocks of a bucket: bucket, ids, documents, data (their numbers).
+
+    A vector is in a bucket of each table, by the sides of that table's planes
+    that it lies on; with ``flips`` also in those across its nearest planes.
+    """
+    ship(rows.sparkSession)
+    dim = len(planes)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "document")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        most, n = max(PACKED // max(dim, 1), BLOCK), 0
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= PACKED:
-                yield from blocks(held)
-                held = []
+            for start in range(0, batch.num_rows, most):
+                held.append(batch.slice(start, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield from packed_blocks(held, planes, tables, flips)
+                    held, n = [], 0
         if held:
-            yield from blocks(held)
+            yield from packed_blocks(held, planes, tables, flips)
 
     return rows.mapInArrow(run, f"bucket long, ids array<{kinds['id']}>, documents array<{kinds['document']}>, data binary")
 
@@ -290,7 +302,6 @@ def near_pairs(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        most = PAIRS
 
         def best() -> pa.Table:
             table = pa.concat_tables(held).group_by(["query_id", "chunk_id"]).aggregate([("document_id", "min"), ("cos", "max")])
@@ -301,20 +312,34 @@ def near_pairs(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float
 
         for batch in batches:
             lists = {c: batch.column(c) for c in ("q_ids", "q_documents", "ids", "documents")}
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            n = sum(t.num_rows for t in held)
             for i in range(batch.num_rows):
                 a, b = (unit(batch.column(c)[i].as_py()) for c in ("q_data", "data"))
                 cos = half_up(a @ b.T, 6)
-                told = {c: x[i].values for c, x in lists.items()}
-                mine, other = (np.array(told[c].to_pylist(), dtype=object) for c in ("q_documents", "documents"))
+                mine, other = (lists[c][i].values for c in ("q_documents", "documents"))
+                if mine.type == other.type:
+                    both = pa.concat_arrays([mine, other]).dictionary_encode().indices.to_numpy()
+                    mine, other = both[: len(mine)], both[len(mine) :]
+                else:
+                    mine, other = (np.array(x.to_pylist(), dtype=object) for x in (mine, other))
                 cos = np.where((mine[:, None] != other[None]) & (cos >= floor), cos, -np.inf)
                 if cos.shape[1] > k:
                     cos = np.where(cos >= np.partition(cos, -k, axis=1)[:, -k][:, None], cos, -np.inf)
                 q, v = np.nonzero(cos > -np.inf)
                 if len(q):
-                    held.append(pa.table([told["q_ids"].take(pa.array(q)), told["ids"].take(pa.array(v)), told["documents"].take(pa.array(v)), pa.array(cos[q, v])], ["query_id", "chunk_id", "document_id", "cos"]))
-                if sum(t.num_rows for t in held) >= most:
+                    found.append((q + lists["q_ids"].offsets[i].as_py(), v + lists["ids"].offsets[i].as_py(), cos[q, v]))
+                    n += len(q)
+                if found and (n >= PAIRS or i == batch.num_rows - 1):
+                    q, v, near = (np.concatenate(x) for x in zip(*found, strict=True))
+                    held.append(pa.table([lists["q_ids"].values.take(pa.array(q)), lists["ids"].values.take(pa.array(v)), lists["documents"].values.take(pa.array(v)), pa.array(near)], ["query_id", "chunk_id", "document_id", "cos"]))
+                    found = []
+                if n >= PAIRS:
                     held = [best()]
-                    most = max(PAIRS, 2 * held[0].num_rows)
+                    n = held[0].num_rows
+                    if n >= PAIRS // 2:  # the best of many queries: what follows ranks them with those of other tasks anyway
+                        yield from held[0].to_batches()
+                        held, n = [], 0
         if held:
             yield from best().to_batches()
 

@@ -12,10 +12,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that Spark hands to Python at most, so that a worker's memory does not follow the width of the rows.
+BATCH_BYTES = 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors through Spark, once for each application; they need no copy of their own."""
+    """Sends the package to the executors through Spark, once for each application; they need no copy of their own. Bounds the session's Arrow batches, unless its bound is lower."""
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     if getattr(context, "_siftloom_shipped", False):
         return
     root = Path(__file__).resolve().parent

@@ -189,3 +189,24 @@ def test_a_task_holds_a_part_at_a_time(spark):
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("t"), ((i * 7 + F.col("id")) % 3000).cast("string"))), " ")
     long = spark.range(0, 2000, 1, 1).select(F.col("id").alias("chunk_id"), text.alias("content"))
     assert keyword_index._blocks(long).select("part").distinct().count() == 4
+
+
+def test_packed_vectors_leave_a_few_at_a_time():
+    """A vector is in a block of each bucket that it meets; a batch of such blocks stays small however many vectors a task packs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siftloom.operators import vector_index
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(20_000, 64)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.array(np.arange(20_000) % 7), pa.array(list(vectors), pa.list_(pa.float32()))], ["id", "document", "vector"])
+    met, n = np.zeros(20_000, dtype=np.int64), 0
+    for batch in vector_index.packed_blocks([rows], rng.normal(size=(64, 8 * 9)), 8, 6):
+        data, ids = batch.column("data").to_pylist(), batch.column("ids")
+        assert sum(map(len, data)) <= 4 * vector_index.SENT
+        assert max(map(len, ids.to_pylist())) <= vector_index.BLOCK and len(set(zip(batch.column("bucket").to_pylist(), data, strict=True))) == len(data)
+        assert b"".join(data) == vectors[ids.flatten().to_numpy()].tobytes()
+        np.add.at(met, ids.flatten().to_numpy(), 1)
+        n += 1
+    assert n > 50 and (met == 8 * 7).all()
