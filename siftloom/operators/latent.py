@@ -81,33 +81,39 @@ def rows_of(texts: DataFrame, space: Space, text_col: str = "content") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.row(t) for t in batch.column(0).to_pylist()]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0), *some]), kind, safe=False)) for some, kind in zip(zip(*found, strict=True), (pa.int32(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(lists, ["at", "weights"])
+            for start in range(0, batch.num_rows, ROWS):
+                found = [shared.value.row(t) for t in batch.column(0).slice(start, ROWS).to_pylist()]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0), *some]), kind, safe=False)) for some, kind in zip(zip(*found, strict=True), (pa.int32(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(lists, ["at", "weights"])
 
     return written(texts.select(text_col).mapInArrow(run, "at array<int>, weights array<double>"), "rows")
 
 
-def _summed(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over tasks of the matrices whose blocks ``make`` gives (block, data): blocks meet by a shuffle, and each is added up as it streams by."""
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the matrices (block, data) that come sorted by block, of which one sum and one matrix are held at a time."""
+    now, total = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, part = batch.column("block")[i].as_py(), np.frombuffer(batch.column("data")[i].as_buffer())
+            if block != now:
+                if now is not None:
+                    yield _block(now, total)
+                now, total = block, np.zeros(len(part))
+            total += part
+    if now is not None:
+        yield _block(now, total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                part = np.frombuffer(data)
-                if block != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
-                    now, total = block, np.zeros(len(part))
-                total = total + part
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
+def _block(block: int, numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([numbers.tobytes()], pa.binary())], ["block", "data"])
+
+
+def _summed(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over tasks of the matrices whose blocks ``make`` gives (block, data): blocks meet by a shuffle, and each is added up as it streams by."""
     schema = "block int, data binary"
     out = np.zeros(shape)
-    for r in rows.mapInArrow(make, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema).collect():  # the matrix itself
+    for r in rows.mapInArrow(make, schema).repartition("block").sortWithinPartitions("block").mapInArrow(added, schema).collect():  # the matrix itself
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data).reshape(-1, shape[1])
     return out
 
@@ -131,8 +137,8 @@ def squared(rows: DataFrame, q: np.ndarray) -> np.ndarray:
                 total[own] += dense.T @ (dense @ q[own])
                 any_ = True
         if any_:
-            blocks = range(0, len(total), BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in blocks], pa.int32()), pa.array([total[b : b + BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "data"])
+            for b in range(0, len(total), BLOCK):
+                yield _block(b // BLOCK, total[b : b + BLOCK])
 
     return _summed(run, rows, q.shape)
 

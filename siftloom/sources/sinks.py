@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from siftloom.functions.text import chunk_uuid
 from siftloom.session import ship
 
+#: Rows that are given their vectors at a time.
+ROWS = 256
+
 
 def write_partitions(rows: DataFrame, path: str, by: Sequence[str] = ("workspace_id",)) -> None:
     """Replaces just the partitions that ``rows`` has; a repeated write gives the same table."""
@@ -64,14 +67,16 @@ def embedded(rows: DataFrame, encoder: Encoder, text_col: str = "content", batch
     schema = f"{rows.schema.simpleString()[7:-1]}, embedding: array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-            out = np.zeros((len(texts), encoder.dim), dtype=np.float32)
-            full = [i for i, t in enumerate(texts) if t and t.strip()]
-            for at in range(0, len(full), batch):
-                out[full[at : at + batch]] = encoder.encode([texts[i] for i in full[at : at + batch]])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * encoder.dim, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "embedding"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                part = whole.slice(start, ROWS)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                out = np.zeros((len(texts), encoder.dim), dtype=np.float32)
+                full = [i for i, t in enumerate(texts) if t and t.strip()]
+                for at in range(0, len(full), batch):
+                    out[full[at : at + batch]] = encoder.encode([texts[i] for i in full[at : at + batch]])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * encoder.dim, pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "embedding"])
 
     return rows.mapInArrow(run, schema)
 

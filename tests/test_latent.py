@@ -60,3 +60,22 @@ def test_nothing_to_learn(spark):
     df = texts(spark).where("chunk_id >= 300")
     space = latent.fit(df)
     assert space.dim == 0 and not space.terms
+
+
+def test_sums_of_tasks_are_added_as_they_come():
+    """Beside one batch, a task that adds up blocks holds one sum and one matrix, however many tasks sent it theirs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batch(block):
+        data = [np.full(40_000, float(i)).tobytes() for i in range(200)]
+        return pa.RecordBatch.from_arrays([pa.array([block] * 200, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+    batches = [batch(0), batch(0), batch(3)]
+    tracemalloc.start()
+    found = {b.column("block")[0].as_py(): np.frombuffer(b.column("data")[0].as_py()) for b in latent.added(iter(batches))}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000
+    assert (found[0] == 2 * sum(range(200))).all() and (found[3] == sum(range(200))).all() and len(found[0]) == 40_000
