@@ -24,6 +24,8 @@ from siftloom.session import ship
 MAX_BYTES = 32 << 20
 #: Rows, queries and terms of them that are multiplied at a time.
 ROWS, QUERIES, TERMS = 256, 512, 20_000
+#: Tables of rows that are held at most; ones of few rows take more memory than their rows.
+HELD = 500
 
 _KEPT = bytes.maketrans(bytes(x for x in range(256) if not (48 <= x <= 57 or 97 <= x <= 122)), b" " * (256 - 36))
 
@@ -137,7 +139,7 @@ class Best:
             told = rows.take(pa.array(row))
             self.held.append(told.append_column("_q", pa.array(q + at, pa.int64())).append_column("score", pa.array(scores[row, q], pa.float64())))
             self.rows += len(row)
-        if self.rows > max(4 * self.k * len(self.least), 100_000):
+        if self.rows > max(4 * self.k * len(self.least), 100_000) or len(self.held) > HELD:
             self._prune()
 
     def _prune(self) -> None:
@@ -147,7 +149,7 @@ class Best:
         nth = np.arange(len(q)) - np.searchsorted(q, q)
         last = np.flatnonzero(nth == self.k - 1)
         self.least[q[last]] = table.column("score").to_numpy()[last]
-        kept = table.filter(pa.array(nth < self.k))
+        kept = table.filter(pa.array(nth < self.k)).combine_chunks()
         self.held, self.rows = [kept], kept.num_rows
 
     def result(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -190,11 +192,12 @@ def term_statistics(chunks: DataFrame, asked: Asked, text_col: str = "content")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, length, df = 0, 0, np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = words(text)
-                n, length = n + 1, length + len(found)
-                at = np.array([p for p in map(shared.value.places.get, set(found)) if p is not None], dtype=np.int64)
-                df[at] += 1
+            for start in range(0, batch.num_rows, ROWS):
+                for text in batch.column(0).slice(start, ROWS).to_pylist():
+                    found = words(text)
+                    n, length = n + 1, length + len(found)
+                    at = np.array([p for p in map(shared.value.places.get, set(found)) if p is not None], dtype=np.int64)
+                    df[at] += 1
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(size)], pa.int64()), pa.array([n, length, *df.tolist()], pa.int64())], ["at", "n"])
 
     rows = chunks.select(text_col).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a term

@@ -374,3 +374,17 @@ def test_stems_find_inflected_forms(spark):
     assert [i for i, _ in got["b"]] == [4, 5]
     assert [i for i, _ in got["e"]] == [7] and {i for i, _ in got["f"]} == {1, 2, 3, 10, 11}
     assert not {"c", "d"} & got.keys()
+
+
+def test_best_rows_are_held_in_few_tables():
+    """Each step may add a better row to a query: what is held is put together again and again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siftloom.operators import inrow
+
+    best = inrow.Best(1, 10, pa.schema([("chunk_id", pa.int64())]))
+    for i in range(3000):
+        best.add(0, np.array([[float(i)]]), np.ones((1, 1), dtype=bool), pa.table({"chunk_id": pa.array([i])}))
+        assert sum(t.column("score").num_chunks for t in best.held) <= inrow.HELD + 1
+    assert [r["chunk_id"] for b in best.result(pa.array(["q"])) for r in b.to_pylist()] == list(range(2999, 2989, -1))
