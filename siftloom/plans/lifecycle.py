@@ -9,7 +9,7 @@ from siftloom.functions import text as fn
 from siftloom.operators import evaluation, lifecycle, lookups, search, stats, stored, tables, tagging
 from siftloom.plans.registry import Tables, query
 from siftloom.plans.texts import TAG_RULES
-from siftloom.session import shared_folder
+from siftloom.session import dealt, shared_folder
 from siftloom.streaming import limits
 
 NOW = "2024-02-01 00:00:00"
@@ -39,7 +39,7 @@ _ORDERS = """d AS (SELECT o_orderkey AS document_id, o_orderstatus AS workspace_
 
 def _lines(t: Tables) -> DataFrame:
     """Line items as chunks, each key once."""
-    kept = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    kept = dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     return kept.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.concat(F.lit("part "), F.col("part").cast("string")).alias("content"))
 
 

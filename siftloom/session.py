@@ -58,3 +58,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task where keys meet, about.
+DEALT = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of the keys over as many tasks as its rows need, so that what a task sorts or groups does not grow; meant for stored tables, whose rows are counted by their footers.
+
+    Left to itself Spark puts partitions together by their compressed bytes, which short keys have few of.
+    """
+    tasks = max(-(-df.count() // DEALT), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

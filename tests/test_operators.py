@@ -388,3 +388,18 @@ def test_best_rows_are_held_in_few_tables():
         best.add(0, np.array([[float(i)]]), np.ones((1, 1), dtype=bool), pa.table({"chunk_id": pa.array([i])}))
         assert sum(t.column("score").num_chunks for t in best.held) <= inrow.HELD + 1
     assert [r["chunk_id"] for b in best.result(pa.array(["q"])) for r in b.to_pylist()] == list(range(2999, 2989, -1))
+
+
+def test_tasks_where_keys_meet_grow_in_number_with_the_rows(spark, monkeypatch):
+    """Line items are dealt by key over tasks of so many rows, and chunks and their edits meet there without another shuffle."""
+    from siftloom import session
+    from siftloom.plans import lifecycle
+    from siftloom.plans.registry import Tables
+
+    monkeypatch.setattr(session, "DEALT", 500)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    tasks = -(-t.lineitem.count() // 500)
+    assert tasks > spark.sparkContext.defaultParallelism
+    assert lifecycle._lines(t).rdd.getNumPartitions() == tasks
+    plan = lifecycle.edited_chunks(t)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
