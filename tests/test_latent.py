@@ -79,3 +79,31 @@ def test_sums_of_tasks_are_added_as_they_come():
     tracemalloc.stop()
     assert most < 8_000_000
     assert (found[0] == 2 * sum(range(200))).all() and (found[3] == sum(range(200))).all() and len(found[0]) == 40_000
+
+
+def test_a_large_batch_is_held_a_few_texts_at_a_time(spark, monkeypatch):
+    """Of an Arrow batch of 24 MB a task that weighs or embeds texts has some hundred as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        """Stands in for a table: gives what a task would run."""
+
+        sparkSession, schema = spark, spark.range(0).selectExpr("'' as content").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(latent, "written", lambda run, _: run)
+    space = latent.Space({b"a": 0, b"b": 1}, np.ones(2), np.eye(2))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a b {i} " + "x" * 2000 for i in range(12_000)])], ["content"])
+    for run in (latent.rows_of(Rows(), space), latent.embedded(Rows(), space)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 12_000 and most < 4_000_000
